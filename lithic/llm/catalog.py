@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lithic.llm.near_dedup import op3_minhash_near_dedup
+from lithic.llm.substring_dedup import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
