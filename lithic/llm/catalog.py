@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lithic.llm.near_dedup import op3_minhash_near_dedup
+from lithic.llm.quality import op2_quality_rules
 from lithic.llm.substring_dedup import op10_substring_dedup
+from lithic.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
