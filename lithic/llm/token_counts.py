@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from lithic.llm.common import table
 #: pre-tokens of the byte-level pattern; fixed values of the vocabulary format
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: pre-tokens whose counts are remembered, and their longest length
-REMEMBER, REMEMBER_LENGTH = 1 << 19, 64
+REMEMBER, REMEMBER_LENGTH = 1 << 20, 64
 #: a vocabulary file may have this many bytes at most, as it is broadcast
 MAX_VOCABULARY = 64 << 20
 
@@ -95,28 +96,28 @@ def count_merged(raw: bytes, merges: dict[tuple[int, int], tuple[int, int]]) ->
 
 
 class Counter:
-    """Token counts of texts, with a bounded memory of pre-token counts."""
+    """Token counts of texts, with a bounded memory of pre-token counts.
+
+    A space between two characters that are no white space always starts a
+    pre-token, so a text falls into independent chunks there; most chunks are
+    words met before.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self._merges = vocabulary.merges
-        self._pieces = regex.compile(PATTERN).findall
+        merges, pieces = vocabulary.merges, regex.compile(PATTERN).findall
         self._special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
         self._any_special = vocabulary.special
-        counter = self
-
-        class Memory(dict):
-            def __missing__(self, piece: str) -> int:
-                n = count_merged(piece.encode(), counter._merges)
-                if len(piece) <= REMEMBER_LENGTH:
-                    if len(self) >= REMEMBER:
-                        self.clear()
-                    self[piece] = n
-                return n
-
-        self._memory = Memory()
+        piece_count = _Memory(lambda piece: count_merged(piece.encode(), merges)).__getitem__
+        self._slow = lambda text: sum(map(piece_count, pieces(text)))
+        self._chunks = _Memory(lambda chunk: self._slow(" " + chunk) if chunk and not chunk[0].isspace() and not chunk[-1].isspace() else _UNSAFE)
 
     def plain(self, text: str) -> int:
-        return sum(map(self._memory.__getitem__, self._pieces(text)))
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            n = sum(map(self._chunks.__getitem__, rest))
+            if n >= 0:
+                return n + self._slow(first)
+        return self._slow(text)
 
     def count(self, text: str) -> int:
         if not any(s in text for s in self._any_special):
@@ -125,9 +126,34 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+class _Memory(dict):
+    """Values of a function of strings, remembered up to a bound."""
+
+    def __init__(self, make) -> None:
+        self._make = make
+
+    def __missing__(self, key: str) -> int:
+        value = self._make(key)
+        if len(key) <= REMEMBER_LENGTH:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[key] = value
+        return value
+
+
+#: count of a chunk that is not independent of its neighbours; below minus any number of tokens
+_UNSAFE = -(1 << 50)
+
+
+@lru_cache(maxsize=2)
+def _counter(content: bytes) -> Counter:
+    """One counter for all tasks of a worker."""
+    return Counter(Vocabulary(content))
+
+
 def _count_batches(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(Vocabulary(vocabulary.value))
+        counter = _counter(vocabulary.value)
         for batch in batches:
             counts = np.fromiter((counter.count(t.as_py() or "") for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
