@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lithic.llm.decontaminate import op7_decontaminate
+from lithic.llm.html_text import op4_html_text
 from lithic.llm.near_dedup import op3_minhash_near_dedup
 from lithic.llm.quality import op2_quality_rules
 from lithic.llm.substring_dedup import op10_substring_dedup
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_html_text": op4_html_text,
         "op7_decontaminate": op7_decontaminate,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
