@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lithic.llm.decontaminate import op7_decontaminate
 from lithic.llm.html_text import op4_html_text
+from lithic.llm.mixing import OP1_SQL, op1_mix_sources
 from lithic.llm.near_dedup import op3_minhash_near_dedup
 from lithic.llm.quality import op2_quality_rules
+from lithic.llm.sharding import op6_shard_tree
 from lithic.llm.substring_dedup import op10_substring_dedup
 from lithic.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_html_text": op4_html_text,
+        "op6_shard_tree": op6_shard_tree,
         "op7_decontaminate": op7_decontaminate,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
@@ -26,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": OP1_SQL}
