@@ -11,6 +11,7 @@ from lithic.llm.html_text import op4_html_text
 from lithic.llm.mixing import OP1_SQL, op1_mix_sources
 from lithic.llm.near_dedup import op3_minhash_near_dedup
 from lithic.llm.quality import op2_quality_rules
+from lithic.llm.secrets import op8_secret_scan
 from lithic.llm.sharding import op6_shard_tree
 from lithic.llm.substring_dedup import op10_substring_dedup
 from lithic.llm.token_counts import op9_token_counts
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_text": op4_html_text,
         "op6_shard_tree": op6_shard_tree,
         "op7_decontaminate": op7_decontaminate,
+        "op8_secret_scan": op8_secret_scan,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
     }
