@@ -15,6 +15,7 @@ from lithic.llm.secrets import op8_secret_scan
 from lithic.llm.sharding import op6_shard_tree
 from lithic.llm.substring_dedup import op10_substring_dedup
 from lithic.llm.token_counts import op9_token_counts
+from lithic.llm.warc import op5_warc_round_trip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_html_text": op4_html_text,
+        "op5_warc_round_trip": op5_warc_round_trip,
         "op6_shard_tree": op6_shard_tree,
         "op7_decontaminate": op7_decontaminate,
         "op8_secret_scan": op8_secret_scan,
