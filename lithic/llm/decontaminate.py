@@ -318,8 +318,11 @@ def _find_batches(blocks):
     return run
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Every row of docs as a struct ``row`` with its hit words, items and removal spans (word numbers, end exclusive)."""
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: list[str] | None = None) -> DataFrame:
+    """Every row of docs as a struct ``row`` with its hit words, items and removal spans.
+
+    Spans are word numbers, end exclusive, and do not overlap or touch.
+    """
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
@@ -331,7 +334,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             blocks.append(held)
             held = []
     blocks.append(held)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL(_OUT)])
     shared = spark.sparkContext.broadcast([(block, window) for block in blocks])
     return rows.mapInArrow(_find_batches(shared), schema)
@@ -339,10 +342,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans for every row of docs(doc_id, text)."""
-    found = find_passages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
+    found = find_passages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, ["doc_id"])
     return found.select("row.doc_id", *(x.split()[0] for x in _OUT.split(", ")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs without a removal span, with all their columns."""
+    return find_passages(docs, benchmark, window).where(~F.col("contaminated")).select("row.*")
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Windows of ten words of all benchmark items against all documents."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")

@@ -84,6 +84,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     return found.drop("_place", "_source", "_name", "_round", "_last")
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, repeats: int = 3) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with all its columns."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = mix_sources(packed, weights, share, repeats).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 in turn, all words, at most three times, over all documents."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
