@@ -36,19 +36,18 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(value: Column) -> Column:
-    """SHA-1 in upper-case base 32."""
-    digest = F.sha1(value)
-    bits = F.concat(*(F.lpad(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)))
-    letter = lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+def base32(hexadecimal: Column) -> Column:
+    """Upper-case base 32 of 40 hexadecimal digits: five of them give four letters."""
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexadecimal, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    letter = lambda v, shift: F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    return F.array_join(F.transform(chunks, lambda v: F.concat(*(letter(v, shift) for shift in (15, 10, 5, 0)))), "")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """One record for every row of pages(page_id, url, html) as files under ``path``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html").cast("long")})
+    rows = rows.withColumns({"sha": F.sha1("html"), "bytes": F.octet_length("html").cast("long")}).withColumn("digest", base32(F.col("sha")))
     firsts = save(rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("same"), "first"), "firsts")
     rows = rows.join(firsts, (F.col("digest") == F.col("same")) & (F.col("bytes") >= least), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -85,7 +84,8 @@ def _digested(records: DataFrame) -> DataFrame:
     block = records.withColumn("block_", F.expr("substring(cast(whole as binary), octet_length(head) + 5, cast(length as int))"))
     payload = block.withColumn("payload", F.expr("substring(block_, octet_length(substring_index(cast(block_ as string), '\\r\\n\\r\\n', 1)) + 5)"))
     whole = F.col("whole").isNotNull()
-    return payload.withColumns({"payload_bytes": F.when(whole, F.octet_length("payload").cast("long")), "payload_digest": F.when(whole, base32_sha1(F.col("payload")))}).drop("whole", "block_", "payload")
+    hashed = payload.withColumns({"payload_bytes": F.when(whole, F.octet_length("payload").cast("long")), "sha": F.when(whole, F.sha1("payload"))})
+    return hashed.withColumn("payload_digest", base32(F.col("sha"))).drop("whole", "block_", "payload", "sha")
 
 
 def _reachable(candidates: DataFrame) -> DataFrame:
