@@ -40,7 +40,7 @@ def base32(hexadecimal: Column) -> Column:
     """Upper-case base 32 of 40 hexadecimal digits: five of them give four letters."""
     chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexadecimal, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
     letter = lambda v, shift: F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-    return F.array_join(F.transform(chunks, lambda v: F.concat(*(letter(v, shift) for shift in (15, 10, 5, 0)))), "")
+    return F.when(hexadecimal.isNotNull(), F.array_join(F.transform(chunks, lambda v: F.concat(*(letter(v, shift) for shift in (15, 10, 5, 0)))), ""))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
