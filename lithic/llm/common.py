@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +53,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def word_count(text: Column | str, pattern: str = r"[^\x20\x09-\x0D]+") -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def packed(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int | None]:
+    """docs as (row, text), or as (row) alone with the field number of a string text inside ``row``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")
+    if "text" in carry and docs.schema["text"].dataType == StringType():
+        return docs.select(row), carry.index("text")
+    return docs.select(row, F.col("text").cast("string").alias("text")), None

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import table
+from lithic.llm.common import packed, table
 
 SHARD_WORDS = 1 << 20
 #: suffix positions kept: one in so many
@@ -253,8 +253,8 @@ class _Shard:
 _OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 
 
-def _find_batches(blocks):
-    """Marks each row's last column, a text; the other columns are passed on."""
+def _find_batches(blocks, inside: int | None):
+    """Marks each row's text; the other columns are passed on."""
 
     def marked(held: list, all_phrases: list[Phrases]) -> pa.RecordBatch:
         counts = np.concatenate([np.diff(ranges) for _, ranges, _ in held])
@@ -303,9 +303,9 @@ def _find_batches(blocks):
         hasher = T.WordHasher(_SEED, fold_case=True)
         held, size = [], 0
         for batch in batches:
-            *others, text = range(batch.num_columns)
+            text, others = T.text_and_rest(batch, inside)
             rest = batch.select(others)
-            for piece in T.slices(batch.column(text)):
+            for piece in T.slices(text):
                 starts, ends, ranges = piece.words(T.ALNUM)
                 held.append((hasher.ranges(piece.data, starts, ends), ranges, rest.slice(piece.first, piece.rows)))
                 size += len(starts)
@@ -334,10 +334,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry
             blocks.append(held)
             held = []
     blocks.append(held)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows, inside = packed(docs, carry or docs.columns)
     schema = StructType([rows.schema["row"], *StructType.fromDDL(_OUT)])
     shared = spark.sparkContext.broadcast([(block, window) for block in blocks])
-    return rows.mapInArrow(_find_batches(shared), schema)
+    return rows.mapInArrow(_find_batches(shared, inside), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 #: white space of the word pattern [^\x20\x09-\x0D]+
@@ -115,6 +116,18 @@ class Slice:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
+def text_and_rest(batch: pa.RecordBatch, inside: int | None) -> tuple[pa.Array, list[int]]:
+    """A batch's text and the numbers of its other columns.
+
+    The text is the last column, or field ``inside`` of the first one, a struct
+    that is passed on as it is: then it crosses to Python only once.
+    """
+    if inside is None:
+        *others, text = range(batch.num_columns)
+        return batch.column(text), others
+    return pc.struct_field(batch.column(0), [inside]), list(range(batch.num_columns))
+
+
 def slices(column: pa.Array) -> Iterator[Slice]:
     """Cut a string column into slices; null counts as the empty text."""
     if column.null_count:
