@@ -151,7 +151,7 @@ def job_events(d: Duck) -> str:
     return f"""
 SELECT event_id, user_id + 1 AS snapshot_id, event_id % 5 AS unit_index, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failure' ELSE 'pending' END AS event,
   CAST(floor(value) AS BIGINT) AS cursor_at, CASE WHEN event_type = 'error' THEN concat('reason ', event_id % 4) END AS reason,
-  event_id % 7 AS files_processed, event_id % 1000 AS bytes_processed, {d.millis('ts')} AS at_ms_ms
+  event_id % 7 AS files_processed, event_id % 1000 AS bytes_processed, {d.millis('ts')} AS at_ms
 FROM {d.ref('events')}"""
 
 
