@@ -9,8 +9,8 @@ must exceed ``MARGIN`` and the token must mix letters and digits.
 The models are trained on labelled samples from the corpus itself, chosen by a
 hash of the text: the values that the base patterns find in about
 ``RANDOM_FROM`` documents at most are random strings, the words of about
-``ORDINARY_FROM`` documents without any find are ordinary. Every document is
-scanned; only the models rest on samples. Only the counts of character pairs
+``ORDINARY_FROM`` documents without any find are ordinary, but for those that
+the models are to decide. Every document is scanned; only the models rest on samples. Only the counts of character pairs
 (at most 65 * 65 numbers) come to the driver. DataFrame operations alone;
 positions come from the lengths of the pieces between matches, so they count
 code points.
@@ -44,6 +44,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=-_"
 CANDIDATE = "[A-Za-z0-9+/=_-]{16,}"
 #: documents whose finds, and whose words, train the models, at most on average
 RANDOM_FROM, ORDINARY_FROM = 50_000, 5_000
+#: weight, in pairs, of a symbol's own frequency in the models
+BACKOFF = 20.0
 #: nats a character pair by which the random model must be better
 MARGIN = 0.5
 
@@ -94,14 +96,18 @@ def train(docs: DataFrame) -> list[float] | None:
     random = _pair_counts(values.where(F.length("token") > 1))
     if not random:
         return None
-    ordinary = _pair_counts(words.where(F.length("token") > 1))
+    undecided = (F.length("token") >= 16) & F.rlike("token", F.lit("[0-9]")) & F.rlike("token", F.lit("[A-Za-z]"))
+    ordinary = _pair_counts(words.where((F.length("token") > 1) & ~undecided))
     n = len(ALPHABET) + 1
 
-    def model(counts: dict, smooth: float) -> list[float]:
+    def model(counts: dict) -> list[float]:
+        """Log probabilities of a symbol after another, drawn towards the symbol's own frequency."""
         rows = [sum(counts.get((a, b), 0) for b in range(n)) for a in range(n)]
-        return [log((counts.get((a, b), 0) + smooth) / (rows[a] + n * smooth)) for a in range(n) for b in range(n)]
+        own = [sum(counts.get((a, b), 0) for a in range(n)) for b in range(n)]
+        single = [(c + 1) / (sum(own) + n) for c in own]
+        return [log((counts.get((a, b), 0) + BACKOFF * single[b]) / (rows[a] + BACKOFF)) for a in range(n) for b in range(n)]
 
-    return [x - y for x, y in zip(model(random, 1.0), model(ordinary, 1.0), strict=True)]
+    return [x - y for x, y in zip(model(random), model(ordinary), strict=True)]
 
 
 def _score(token: Column, ratios: list[float]) -> Column:
