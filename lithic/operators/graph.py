@@ -155,10 +155,11 @@ def resolve_names(facts: DataFrame, symbols: DataFrame, kinds: list[str], most:
 
 
 def _symbols(t) -> DataFrame:
-    """Lines of source files as symbols with their language family."""
+    """Lines of source files as symbols with their language family; the texts are taken apart once."""
     family = F.when(F.col("language") == "java", "java").otherwise("script")
     languages = t("extractions").where("language is not null").select("file_id", family.alias("family"))
-    return t("text_lines").where("name <> ''").join(languages, "file_id").withColumn("fact", F.concat("path", F.lit("#"), "start_line"))
+    named = t("text_lines").where("name <> ''").join(languages, "file_id").withColumn("fact", F.concat("path", F.lit("#"), "start_line"))
+    return t.saved("symbols", lambda: named)
 
 
 SYMBOLS = "(SELECT l.*, CASE WHEN e.language = 'java' THEN 'java' ELSE 'script' END AS family, concat(l.path, '#', l.start_line) AS fact FROM text_lines l JOIN extractions e USING (file_id) WHERE e.language IS NOT NULL AND l.name <> '')"
@@ -324,6 +325,11 @@ def rel14_graph(t):
     return build(t).select("snapshot_id", "type", "source", "target", "state", "key")
 
 
+def _graph(t) -> DataFrame:
+    """The edges for what reads them several times."""
+    return t.saved("edges", lambda: build(t))
+
+
 def canonical_lines(edges: DataFrame) -> DataFrame:
     """One line of text for each edge, free of row ids."""
     either = lambda c: F.coalesce(c, F.lit(NONE))
@@ -363,36 +369,51 @@ def rel17_describe(t):
 
 
 def invariants(edges: DataFrame, symbols: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
-    """Violations of each rule of a sound graph."""
-    refs = {"symbol": symbols.select("snapshot_id", F.col("fact").alias("ref")), "file": files.select("snapshot_id", F.col("path").alias("ref")), "directory": directories.select("snapshot_id", F.col("path").alias("ref"))}
-    count = lambda rows: rows.agg(F.count(F.lit(1)).alias("violations"))
-    missing = lambda rows, ref, kind: count(rows.select("snapshot_id", F.col(ref).alias("ref")).join(refs[kind], ["snapshot_id", "ref"], "left_anti"))
-    size = F.coalesce(F.size("candidates"), F.lit(0))
-    size = F.greatest(size, F.lit(0))
-    state = F.col("state")
-    each = edges.where("state = 'AMBIGUOUS'").select("snapshot_id", F.explode("candidates").alias("ref"))
+    """Violations of each rule of a sound graph.
+
+    Rules on single edges are one aggregate; all references are checked by one
+    join; so the edges are read three times, however many rules there are.
+    """
+    state, size = F.col("state"), F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0))
+    single = {
+        "open state with target": state.isin("AMBIGUOUS", "UNKNOWN") & F.col("target").isNotNull(),
+        "settled state without target": state.isin("RESOLVED", "EXTRACTED") & F.col("target").isNull(),
+        "candidates on a settled edge": (state != "AMBIGUOUS") & (size > 0),
+        "ambiguous without candidates": (state == "AMBIGUOUS") & (size == 0),
+        "ambiguous with fewer than two": (state == "AMBIGUOUS") & (size < 2),
+        "too many candidates": size > CANDIDATES,
+        "containment not extracted": (F.col("type") == "CONTAINS") & (state != "EXTRACTED"),
+    }
+    parts = [_rules(edges, single)]
+
+    nodes = reduce(UNION, (rows.select("snapshot_id", F.lit(kind).alias("kind"), F.col(ref).alias("ref")) for kind, rows, ref in (("symbol", symbols, "fact"), ("file", files, "path"), ("directory", directories, "path"))))
+    known = nodes.distinct().withColumn("known", F.lit(True))
+    end = lambda rule, kind, ref: F.struct(rule.alias("rule"), kind.alias("kind"), ref.alias("ref"))
+    ends = F.array(*(end(F.concat(F.lit(f"dangling {e} "), f"{e}_kind"), F.col(f"{e}_kind"), F.col(e)) for e in ("source", "target")))
+    others = F.when(state == "AMBIGUOUS", F.transform("candidates", lambda c: end(F.lit("dangling candidate"), F.lit("symbol"), c)))
+    used = edges.select("snapshot_id", F.explode(F.concat(ends, F.coalesce(others, F.array().cast("array<struct<rule:string,kind:string,ref:string>>")))).alias("u")).select("snapshot_id", "u.*")
+    orphans = directories.where("parent_path is not null").select("snapshot_id", F.lit("orphan directory").alias("rule"), F.lit("directory").alias("kind"), F.col("parent_path").alias("ref"))
+    strays = symbols.select("snapshot_id", F.lit("extraction without file").alias("rule"), F.lit("file").alias("kind"), F.col("path").alias("ref")).distinct()
+    used = reduce(UNION, [used.where("kind is not null"), orphans, strays])
+    missing = used.join(known, ["snapshot_id", "kind", "ref"], "left").groupBy("rule").agg(F.count_if(F.col("known").isNull()).alias("violations"))
+    names = edges.sparkSession.createDataFrame([(r,) for r in RULES if r.startswith(("dangling", "orphan", "extraction"))], "rule string")
+    parts.append(names.join(missing, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).alias("violations")))
+
     kinds = symbols.select("snapshot_id", F.col("fact").alias("target"), "kind", F.col("family").alias("t_family"))
-    typed = edges.where("state = 'RESOLVED' and target_kind = 'symbol'").join(kinds, ["snapshot_id", "target"], "left")
-    wrong = ((F.col("type") == "CALLS") & ~F.col("kind").isin("function", "method")) | (F.col("type").isin("EXTENDS", "IMPLEMENTS") & ~F.col("kind").isin("class", "interface"))
     families = symbols.select("file_id", "family").distinct()
-    parents = directories.where("parent_path is not null").select("snapshot_id", F.col("parent_path").alias("ref"))
-    rules = {f"dangling {end} {kind}": missing(edges.where(F.col(f"{end}_kind") == kind), end, kind) for end in ("source", "target") for kind in refs}
-    rules |= {
-        "open state with target": count(edges.where(state.isin("AMBIGUOUS", "UNKNOWN") & F.col("target").isNotNull())),
-        "settled state without target": count(edges.where(state.isin("RESOLVED", "EXTRACTED") & F.col("target").isNull())),
-        "candidates on a settled edge": count(edges.where((state != "AMBIGUOUS") & (size > 0))),
-        "ambiguous without candidates": count(edges.where((state == "AMBIGUOUS") & (size == 0))),
-        "ambiguous with fewer than two": count(edges.where((state == "AMBIGUOUS") & (size < 2))),
-        "too many candidates": count(edges.where(size > CANDIDATES)),
-        "dangling candidate": count(each.join(refs["symbol"], ["snapshot_id", "ref"], "left_anti")),
-        "repeated symbol key": count(symbols.groupBy("snapshot_id", "fact").agg(F.count(F.lit(1)).alias("n")).where("n > 1")),
-        "target of a wrong kind": count(typed.where(wrong)),
-        "target of another family": count(typed.where(F.col("type").isin("CALLS", "EXTENDS", "IMPLEMENTS")).join(families, "file_id").where("family <> t_family")),
-        "orphan directory": count(parents.join(refs["directory"], ["snapshot_id", "ref"], "left_anti")),
-        "containment not extracted": count(edges.where((F.col("type") == "CONTAINS") & (state != "EXTRACTED"))),
-        "extraction without file": count(symbols.select("snapshot_id", F.col("path").alias("ref")).distinct().join(refs["file"], ["snapshot_id", "ref"], "left_anti")),
-    }
-    return reduce(UNION, (rows.select(F.lit(rule).alias("rule"), "violations") for rule, rows in rules.items()))
+    typed = edges.where("state = 'RESOLVED' and target_kind = 'symbol'").join(kinds, ["snapshot_id", "target"], "left").join(families, "file_id", "left")
+    heritage = F.col("type").isin("EXTENDS", "IMPLEMENTS")
+    crossing = ((F.col("type") == "CALLS") | heritage) & (F.col("family") != F.col("t_family"))
+    parts.append(_rules(typed, {"target of a wrong kind": ((F.col("type") == "CALLS") & ~F.col("kind").isin("function", "method")) | (heritage & ~F.col("kind").isin("class", "interface")), "target of another family": crossing}))
+    twice = symbols.groupBy("snapshot_id", "fact").agg(F.count(F.lit(1)).alias("n"))
+    parts.append(_rules(twice, {"repeated symbol key": F.col("n") > 1}))
+    return reduce(UNION, parts)
+
+
+def _rules(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """How many rows break each rule: one aggregate for all."""
+    counted = rows.agg(*(F.count_if(broken).alias(f"r{k}") for k, broken in enumerate(rules.values())))
+    return counted.select(F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"r{k}").alias("violations")) for k, rule in enumerate(rules)))).alias("r")).select("r.*")
 
 
 RULES = [*(f"dangling {e} {k}" for e in ("source", "target") for k in ("symbol", "file", "directory")), "open state with target", "settled state without target", "candidates on a settled edge", "ambiguous without candidates", "ambiguous with fewer than two", "too many candidates", "dangling candidate", "repeated symbol key", "target of a wrong kind", "target of another family", "orphan directory", "containment not extracted", "extraction without file"]
@@ -400,7 +421,7 @@ RULES = [*(f"dangling {e} {k}" for e in ("source", "target") for k in ("symbol",
 
 @query("rel18", "SELECT rule, 0::BIGINT AS violations FROM (VALUES " + ", ".join(f"('{r}')" for r in RULES) + ") v(rule)")
 def rel18_invariants(t):
-    return invariants(build(t), _nested(t), t("files"), t("directories"))
+    return invariants(_graph(t), _nested(t), t("files"), t("directories"))
 
 
 def completeness(edges: DataFrame, symbols: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
@@ -413,7 +434,7 @@ def completeness(edges: DataFrame, symbols: DataFrame, files: DataFrame, directo
 
 @query("rel19", f"SELECT 'symbol' AS kind, 0::BIGINT AS violations, (SELECT count(*) FROM {SYMBOLS} s) AS nodes UNION ALL SELECT 'file', 0, (SELECT count(*) FROM files) UNION ALL SELECT 'directory', 0, (SELECT count(*) FROM directories WHERE parent_path IS NOT NULL)")
 def rel19_completeness(t):
-    return completeness(build(t), _nested(t), t("files"), t("directories"))
+    return completeness(_graph(t), _nested(t), t("files"), t("directories"))
 
 
 def graph_diff(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -452,7 +473,7 @@ def relationships(edges: DataFrame, wanted: DataFrame, kind: str | None = None,
 @query("rel22", f"""WITH g AS MATERIALIZED (SELECT *, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM {GRAPH} g), w AS (SELECT snapshot_id, path AS ref FROM files WHERE id % 10 = 1), u AS (SELECT w.ref, 'out' AS side, key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.source UNION ALL SELECT w.ref, 'in', key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.target)
     SELECT ref, side, key, CASE WHEN state = 'AMBIGUOUS' THEN len(string_split(cands, ','))::INTEGER END AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, ref, side ORDER BY key) AS k FROM u) q WHERE k <= 3""")
 def rel22_relationships(t):
-    return relationships(build(t), t("files").where("id % 10 = 1").select("snapshot_id", F.col("path").alias("ref")), limit=3)
+    return relationships(_graph(t), t("files").where("id % 10 = 1").select("snapshot_id", F.col("path").alias("ref")), limit=3)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

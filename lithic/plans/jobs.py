@@ -31,7 +31,7 @@ def graph_job(t: Tables) -> DataFrame:
 
 
 def audit_job(t: Tables) -> DataFrame:
-    edges, symbols = g.build(t), g._nested(t)
+    edges, symbols = g._graph(t), g._nested(t)
     broken = g.invariants(edges, symbols, t("files"), t("directories"))
     lonely = g.completeness(edges, symbols, t("files"), t("directories"))
     return broken.unionByName(lonely.select(F.concat(F.lit("parents of "), "kind").alias("rule"), "violations"))

@@ -7,10 +7,13 @@ methods of a dialect. In the Spark text other tables stand in braces.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lithic.saved import save
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -245,6 +248,12 @@ class Tables:
                 self._made[name] = self.sql(VIEWS[name](self._dialect))
         return self._made[name]
 
+    def saved(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that is written once and read by all that ask for it."""
+        if f"saved {name}" not in self._made:
+            self._made[f"saved {name}"] = save(make(), name)
+        return self._made[f"saved {name}"]
+
     def sql(self, text: str) -> DataFrame:
         names = set(re.findall(r"\{(\w+)\}", text))
         return self.spark.sql(text, **{n: self(n) for n in names})
