@@ -10,6 +10,7 @@ from lithic.llm.decontaminate import op7_decontaminate
 from lithic.llm.html_text import op4_html_text
 from lithic.llm.mixing import OP1_SQL, op1_mix_sources
 from lithic.llm.near_dedup import op3_minhash_near_dedup
+from lithic.llm.oracles import OP3_SQL, OP5_SQL, OP7_SQL, OP10_SQL
 from lithic.llm.quality import op2_quality_rules
 from lithic.llm.secrets import op8_secret_scan
 from lithic.llm.sharding import op6_shard_tree
@@ -34,4 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {
+        "op1_mix_sources": OP1_SQL,
+        "op3_minhash_near_dedup": OP3_SQL,
+        "op5_warc_round_trip": OP5_SQL,
+        "op7_decontaminate": OP7_SQL,
+        "op10_substring_dedup": OP10_SQL,
+    }

@@ -1,0 +1,34 @@
+"""The corpus pipeline keeps its columns and lets each stage's decisions take effect."""
+
+import corpus_pipeline
+from lithic.llm import decontaminate, near_dedup
+from lithic.llm.common import save, table
+
+
+def test_stages(spark, small):
+    docs = table(spark, small, "documents")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, save(stage(spark, docs, small), "stage")
+        assert docs.columns == columns
+        seen[name] = (before, docs)
+    assert all(after.count() for _, after in seen.values())
+    before, after = seen["near-duplicates"]
+    kept = {r.doc_id for r in near_dedup.near_duplicates(before).where("kept").collect()}
+    assert {r.doc_id for r in after.collect()} == kept
+    _, clean = seen["decontamination"]
+    assert decontaminate.decontaminate(clean, table(spark, small, "benchmark")).where("contaminated").count() == 0
+    mixed = seen["mixing"][1]
+    assert mixed.groupBy("doc_id").count().where("count > 3").count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, mixed, small)
+    assert last.count() == mixed.count() and set(columns) <= set(last.columns)
+    sizes = {r.shard: (r.n, r.most) for r in last.groupBy("shard").agg({"slot": "max", "doc_id": "count"}).toDF("shard", "most", "n").collect()}
+    assert all(most == n - 1 for n, most in sizes.values())
+
+
+def test_no_rows(spark, small, tmp_path):
+    """Every stage takes a table without rows."""
+    docs = table(spark, small, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = save(stage(spark, docs, small), "stage")
+        assert docs.count() == 0
