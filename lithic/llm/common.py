@@ -55,6 +55,14 @@ def word_count(text: Column | str, pattern: str = r"[^\x20\x09-\x0D]+") -> Colum
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on: texts are long, and a task holds a few batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def packed(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int | None]:
     """docs as (row, text), or as (row) alone with the field number of a string text inside ``row``."""
     row = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import packed, table
+from lithic.llm.common import modest_batches, packed, table
 
 SHARD_WORDS = 1 << 20
 #: suffix positions kept: one in so many
@@ -326,6 +326,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
+    modest_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     held, blocks = [], []
     for item in items.toLocalIterator():  # the stated query set, block by block

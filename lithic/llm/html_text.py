@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import table
+from lithic.llm.common import modest_batches, table
 
 WINDOW = 3
 ENOUGH = 40
@@ -175,6 +175,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages(page_id, url, html)."""
+    modest_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_text_batches, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 

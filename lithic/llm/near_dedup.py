@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import save, table
+from lithic.llm.common import modest_batches, save, table
 from lithic.llm.components import connected_components
 
 BLOCK = 128
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int =
 
     Links join texts whose shingle sets have 100 * intersection >= percent * union.
     """
+    modest_batches(docs.sparkSession)
     bands = bands_for(percent, rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = save(docs.mapInArrow(_profile_batches(n, bands, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "profiles")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import table, text_bytes
+from lithic.llm.common import modest_batches, table, text_bytes
 
 ANCHOR = 18
 ROWS = 2
@@ -289,6 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     anywhere else. Words are runs of non-space characters.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     anchor = min(anchor, window)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_bytes(docs)

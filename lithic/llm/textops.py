@@ -146,6 +146,7 @@ def slices(column: pa.Array) -> Iterator[Slice]:
         to = min(n, max(to, at + 1))
         yield Slice(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

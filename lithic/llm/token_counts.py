@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import table
+from lithic.llm.common import modest_batches, table
 
 #: pre-tokens of the byte-level pattern; fixed values of the vocabulary format
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -163,6 +163,7 @@ def _count_batches(vocabulary):
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every row of docs(doc_id, text); ``vocabulary`` is a file."""
+    modest_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         content = file.read(MAX_VOCABULARY + 1)
     if len(content) > MAX_VOCABULARY:
