@@ -29,6 +29,15 @@ def rdm1_latest(t):
     return latest_completed(t("snapshots").where("id % 211 < 3 and not (repository_id % 3 = 0 and status = 'completed')"))
 
 
+_LATEST = "(SELECT repository_id, arg_max(id, (completed_at, id)) FILTER (WHERE status = 'completed') AS snapshot_id, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (created_at, id)) IN ('pending', 'in_progress') THEN 'snapshot_in_progress' ELSE 'no_snapshot' END AS state FROM snapshots GROUP BY 1)"
+
+
+@query("rdm1_whole", f"SELECT * FROM {_LATEST} l")
+def rdm1_whole(t):
+    """``rdm1`` over all attempts."""
+    return latest_completed(t("snapshots"))
+
+
 def composition(files: DataFrame, languages: DataFrame) -> DataFrame:
     """Files and bytes of each bucket of a snapshot: language, else extension."""
     ext = extension_of(F.col("path"))
@@ -81,6 +90,14 @@ def rdm4_overview(t):
     return overview(t("snapshots").where("id < 40"), t("files"), t("directories"), t("extractions"), counts, 4)
 
 
+@query("rdm4_whole", f"""SELECT repository_id, l.snapshot_id, state, files, bytes, directories, extracted, symbols, buckets FROM {_LATEST} l LEFT JOIN (SELECT snapshot_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files GROUP BY 1) f USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, count(*) AS directories FROM directories GROUP BY 1) d USING (snapshot_id)
+    LEFT JOIN (SELECT snapshot_id, extracted, symbols FROM {_EXTRACTED} x) e USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, string_agg(key, '|' ORDER BY bytes DESC, key) AS buckets FROM {_TOP} x GROUP BY 1) b USING (snapshot_id)""")
+def rdm4_whole(t):
+    """``rdm4`` over all attempts."""
+    counts = t("text_lines").groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"))
+    return overview(t("snapshots"), t("files"), t("directories"), t("extractions"), counts, 4)
+
+
 def child_directories(files: DataFrame, directory: str) -> DataFrame:
     """Next path parts under a directory of each snapshot with the files below them."""
     skip = len(directory) + 2 if directory else 1
@@ -146,6 +163,12 @@ def rdm9_file_symbols(t):
     return file_symbols(t("text_lines").where("file_id % 5 = 0"), 12).select("file_id", "name", "start_line", "k", "n", "truncated")
 
 
+@query("rdm9_whole", "SELECT file_id, name, start_line, k, n, n > 12 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines) q WHERE k <= 12")
+def rdm9_whole(t):
+    """``rdm9`` over the lines of all files."""
+    return file_symbols(t("text_lines"), 12).select("file_id", "name", "start_line", "k", "n", "truncated")
+
+
 def file_symbols(symbols: DataFrame, most: int = SYMBOLS) -> DataFrame:
     """The first symbols of each file by position with their true number."""
     k, n = F.row_number().over(W.partitionBy("file_id").orderBy("start_line")).cast("long"), F.count(F.lit(1)).over(W.partitionBy("file_id"))
