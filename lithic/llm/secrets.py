@@ -6,12 +6,11 @@ compared under two first-order character models, one of random strings and one
 of ordinary identifiers: the mean log-likelihood ratio of its character pairs
 must exceed ``MARGIN`` and the token must mix letters and digits.
 
-The models are trained on labelled samples from the corpus itself, chosen by a
-hash of the text: the values that the base patterns find in about
-``RANDOM_FROM`` documents at most are random strings, the words of about
-``ORDINARY_FROM`` documents without any find are ordinary, but for those that
-the models are to decide. Every document is scanned; only the models rest on samples. Only the counts of character pairs
-(at most 65 * 65 numbers) come to the driver. DataFrame operations alone;
+The models are trained on the whole corpus: the values of all base finds are
+random strings, the words of all documents without any find are ordinary, but
+for those that the models are to decide. Equal strings are counted first, then
+their character pairs; only the counts of pairs (at most two for each pair of
+symbols) come to the driver. DataFrame operations alone;
 positions come from the lengths of the pieces between matches, so they count
 code points.
 
@@ -42,8 +41,6 @@ KINDS = ("assign", "access", "hex")
 #: the alphabet of the models; any other character is the last symbol
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=-_"
 CANDIDATE = "[A-Za-z0-9+/=_-]{16,}"
-#: documents whose finds, and whose words, train the models, at most on average
-RANDOM_FROM, ORDINARY_FROM = 50_000, 5_000
 #: weight, in pairs, of a symbol's own frequency in the models
 BACKOFF = 20.0
 #: nats a character pair by which the random model must be better
@@ -78,26 +75,28 @@ def _base(docs: DataFrame) -> DataFrame:
     return found.withColumns({"assign": assign, "access": _matches(F.col("text"), ACCESS, ("AKIA",)), "hex": _matches(F.col("text"), HEX)})
 
 
-def _pair_counts(tokens: DataFrame) -> dict[tuple[int, int], int]:
-    """Counts of adjacent symbols in tokens(token); symbol len(ALPHABET) is any other."""
-    pairs = tokens.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("pair"))
+def _pair_counts(tokens: DataFrame) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """Counts of adjacent symbols in tokens(random, token), ordinary and random, but for ordinary ones that the models are to decide; symbol len(ALPHABET) is any other."""
+    undecided = (F.length("token") >= 16) & F.rlike("token", F.lit("[0-9]")) & F.rlike("token", F.lit("[A-Za-z]"))
+    strings = tokens.groupBy("random", "token").agg(F.count(F.lit(1)).alias("n")).where((F.length("token") > 1) & (F.col("random") | ~undecided))
+    pairs = strings.select("random", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("pair"))
     index = lambda k: F.pmod(F.instr(F.lit(ALPHABET), F.substring("pair", k, 1)) - 1, F.lit(len(ALPHABET) + 1))
-    return {(r.a, r.b): r["count"] for r in pairs.groupBy(index(1).alias("a"), index(2).alias("b")).count().collect()}
+    counts: tuple[dict, dict] = ({}, {})
+    for r in pairs.groupBy("random", index(1).alias("a"), index(2).alias("b")).agg(F.sum("n").alias("n")).collect():
+        counts[r.random][r.a, r.b] = r.n
+    return counts
 
 
 def train(docs: DataFrame) -> list[float] | None:
     """log(p_random / p_ordinary) of every symbol pair, or None without random strings."""
-    n = max(1, docs.count())
-    share = lambda most: F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 40)) < int(min(1.0, most / n) * (1 << 40))
-    some = F.size("assign") + F.size("access") + F.size("hex") > 0
     finds = F.concat(F.transform("assign", lambda m: F.regexp_replace(m["value"], ASSIGN_HEAD, "")), F.transform(F.concat("access", "hex"), lambda m: m["value"]))
-    values = _base(docs.where(share(RANDOM_FROM))).select(F.explode(finds).alias("token"))
-    words = _base(docs.where(share(ORDINARY_FROM))).where(~some).select(F.explode(F.split("text", r"[^A-Za-z0-9+/=_-]+")).alias("token"))
-    random = _pair_counts(values.where(F.length("token") > 1))
+    words = F.split("text", r"[^A-Za-z0-9+/=_-]+")
+    found = _base(docs).select("text", finds.alias("finds"))
+    some = F.size("finds") > 0
+    tokens = found.select(some.alias("random"), F.explode(F.when(some, F.col("finds")).otherwise(words)).alias("token"))
+    ordinary, random = _pair_counts(tokens)
     if not random:
         return None
-    undecided = (F.length("token") >= 16) & F.rlike("token", F.lit("[0-9]")) & F.rlike("token", F.lit("[A-Za-z]"))
-    ordinary = _pair_counts(words.where((F.length("token") > 1) & ~undecided))
     n = len(ALPHABET) + 1
 
     def model(counts: dict) -> list[float]:
