@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithic.saved import save
 
-def number_rows(rows: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
-    """``rows`` with their 1-based place in ``order``.
 
-    Rows are dealt out by ranges of the order; each range numbers its own and
-    adds the sizes of those before it, of which there is one row a partition.
+def number_rows(rows: DataFrame, order: list[Column], out: str = "position", group: list[str] | None = None) -> DataFrame:
+    """``rows`` with their 1-based place in ``order``, in all or within each value of the ``group`` columns.
+
+    Rows are dealt out by ranges of group and order and written with the number
+    of their range: ranges depend on a sample and on how partitions are put
+    together, so they are fixed once and both readers see the same. Each range
+    numbers its own rows and adds those of its group in the ranges before it, of
+    which there is one row a group and range. So no group is held by one task.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_range", before.alias("_before"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.join(offsets, "_range").withColumn(out, F.col("_before") + own).drop("_range", "_before")
+    keys = group or []
+    ranged = save(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    numbered = ranged.withColumn("_own", own).join(offsets, same)
+    return numbered.withColumn(out, F.col("_before") + F.col("_own")).select(*rows.columns, out)
