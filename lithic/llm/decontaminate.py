@@ -11,9 +11,12 @@ intervals walk back to the next sampled suffix position, which gives the place.
 Overlapping occurrences merge into removal spans.
 
 The phrases are the windows of ``window`` consecutive words of every item, or
-the whole item where it is shorter. They are sent to all tasks, ``BLOCK_ITEMS``
-items at a time, so that a benchmark of any size goes through in blocks of a
-bounded size, each against all documents.
+the whole item where it is shorter. The benchmark is dealt out by hashes into
+blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text at most. One
+block at a time comes to the driver, is broadcast and goes against all
+documents; its finds are written to the shared folder and the broadcast is
+destroyed before the next block is read. At the end the finds of all blocks come
+together by text. A benchmark of one block needs no writing and no join.
 
 Defined results: null texts have no words and are clean; items without words
 are ignored; items that share an item_id count as one item; null item_ids are
@@ -24,22 +27,23 @@ an empty result, an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lithic.llm import textops as T
-from lithic.llm.common import modest_batches, packed, table
+from lithic.llm.common import drop_saved, modest_batches, new_path, packed, save, table
 
 SHARD_WORDS = 1 << 20
 #: suffix positions kept: one in so many
 SAMPLE = 16
-#: items of one block of test phrases
-BLOCK_ITEMS = 20_000
+#: items and bytes of text of one block of test phrases, about
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 _U = np.uint64
 _SEED = 7
 
@@ -250,30 +254,30 @@ class _Shard:
         return phrase, np.concatenate(self._places)[index.locate(rows)]
 
 
-_OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
+_SPANS = "array<struct<start:int,end:int>>"
+_FOUND = f"n_words long, spans {_SPANS}, items array<string>"
+_OUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
 
-def _find_batches(blocks, inside: int | None):
+def _find_batches(block, inside: int | None):
     """Marks each row's text; the other columns are passed on."""
 
-    def marked(held: list, all_phrases: list[Phrases]) -> pa.RecordBatch:
+    def marked(held: list, phrases: Phrases) -> pa.RecordBatch:
         counts = np.concatenate([np.diff(ranges) for _, ranges, _ in held])
         offsets = np.concatenate([[0], np.cumsum(counts)])
         hit = np.zeros(offsets[-1], dtype=bool)
+        shard, first = _Shard(phrases), 0
+        for words, ranges, _ in held:
+            shard.add(words, ranges, first)
+            first += len(words)
+        phrase, place = shard.occurrences()
+        for size in np.unique(phrases.lengths[phrase]).tolist():
+            hit |= T.covered(place[phrases.lengths[phrase] == size], size, len(hit))
+        doc = np.searchsorted(offsets, place, side="right") - 1
+        seen = np.unique(doc * len(phrases.lengths) + phrase)
         items: dict[int, set[str]] = {}
-        for phrases in all_phrases:
-            shard, first = _Shard(phrases), 0
-            for words, ranges, _ in held:
-                shard.add(words, ranges, first)
-                first += len(words)
-            phrase, place = shard.occurrences()
-            for size in np.unique(phrases.lengths[phrase]).tolist():
-                hit |= T.covered(place[phrases.lengths[phrase] == size], size, len(hit))
-            doc = np.searchsorted(offsets, place, side="right") - 1
-            seen = np.unique(doc * len(phrases.lengths) + phrase)
-            for d, p in zip((seen // len(phrases.lengths)).tolist(), (seen % len(phrases.lengths)).tolist(), strict=True):
-                items.setdefault(d, set()).update(phrases.items[p])
-        n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), offsets[:-1]) * (counts > 0) if len(counts) else counts
+        for d, p in zip((seen // len(phrases.lengths)).tolist(), (seen % len(phrases.lengths)).tolist(), strict=True):
+            items.setdefault(d, set()).update(phrases.items[p])
         # spans of hit words by row
         row = np.repeat(np.arange(len(counts)), counts)
         begin, end = hit.copy(), hit.copy()
@@ -282,24 +286,20 @@ def _find_batches(blocks, inside: int | None):
         a, b = np.flatnonzero(begin), np.flatnonzero(end)
         spans = pa.StructArray.from_arrays([pa.array((a - offsets[row[a]]).astype(np.int32)), pa.array((b + 1 - offsets[row[b]]).astype(np.int32))], names=["start", "end"])
         span_offsets = np.concatenate([[0], np.cumsum(np.bincount(row[a], minlength=len(counts)))]).astype(np.int32)
-        lists = [",".join(sorted(items.get(d, ()))) for d in range(len(counts))]
         names = held[0][2].schema.names
         own = pa.Table.from_batches([x for _, _, x in held]).combine_chunks()
         return pa.record_batch(
             [
                 *(own.column(k).combine_chunks() for k in range(own.num_columns)),
                 pa.array(counts),
-                pa.array(n_hit),
-                pa.array([len(items.get(d, ())) for d in range(len(counts))], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists]),
-                pa.array(n_hit > 0),
                 pa.ListArray.from_arrays(pa.array(span_offsets), spans),
+                pa.array([sorted(items.get(d, ())) for d in range(len(counts))], pa.list_(pa.string())),
             ],
-            names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+            names=[*names, "n_words", "spans", "items"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_phrases = [Phrases(*block) for block in blocks.value]
+        phrases = Phrases(*block.value)
         hasher = T.WordHasher(_SEED, fold_case=True)
         held, size = [], 0
         for batch in batches:
@@ -310,41 +310,87 @@ def _find_batches(blocks, inside: int | None):
                 held.append((hasher.ranges(piece.data, starts, ends), ranges, rest.slice(piece.first, piece.rows)))
                 size += len(starts)
                 if size >= SHARD_WORDS:
-                    yield marked(held, all_phrases)
+                    yield marked(held, phrases)
                     held, size = [], 0
         if held:
-            yield marked(held, all_phrases)
+            yield marked(held, phrases)
 
     return run
 
 
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each key without overlaps."""
+    for batch in batches:
+        merged = []
+        for row in batch.column(1).to_pylist():
+            own: list[list[int]] = []
+            for start, end in sorted((s["start"], s["end"]) for s in row):
+                if own and start <= own[-1][1]:
+                    own[-1][1] = max(own[-1][1], end)
+                else:
+                    own.append([start, end])
+            merged.append([{"start": a, "end": b} for a, b in own])
+        spans = pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        yield pa.record_batch([batch.column(0), spans, batch.column(2)], names=["key", "spans", "items"])
+
+
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The different items with their block, written by block, and the number of blocks."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    path = new_path(benchmark.sparkSession, "items")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
+    return benchmark.sparkSession.read.schema("item_id string, text string, block int").parquet(path), blocks
+
+
+def send_block(spark: SparkSession, items: DataFrame, block: int, window: int):
+    """One block of items on its way to all tasks."""
+    rows = items.where(F.col("block") == block).select("item_id", "text").collect()
+    return spark.sparkContext.broadcast(([(r.item_id, r.text) for r in rows], window))
+
+
+def _text_key(text: Column) -> Column:
+    """The same for equal texts only: finds depend on nothing but the text."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: list[str] | None = None) -> DataFrame:
     """Every row of docs as a struct ``row`` with its hit words, items and removal spans.
 
     Spans are word numbers, end exclusive, and do not overlap or touch.
     """
-    from pyspark.sql.types import StructType
-
     spark = docs.sparkSession
     modest_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    held, blocks = [], []
-    for item in items.toLocalIterator():  # the stated query set, block by block
-        held.append((item.item_id, item.text))
-        if len(held) == BLOCK_ITEMS:
-            blocks.append(held)
-            held = []
-    blocks.append(held)
+    items, blocks = _blocks(benchmark)
     rows, inside = packed(docs, carry or docs.columns)
-    schema = StructType([rows.schema["row"], *StructType.fromDDL(_OUT)])
-    shared = spark.sparkContext.broadcast([(block, window) for block in blocks])
-    return rows.mapInArrow(_find_batches(shared, inside), schema)
+    if blocks == 1:
+        found = rows.mapInArrow(_find_batches(send_block(spark, items, 0, window), inside), StructType([rows.schema["row"], *StructType.fromDDL(_FOUND)]))
+    else:
+        text = F.col("text").cast("string")
+        keyed = docs.select(_text_key(text).alias("key"), text.alias("text"))
+        parts = []
+        for block in range(blocks):
+            sent = send_block(spark, items, block, window)
+            hits = keyed.mapInArrow(_find_batches(sent, None), f"key string, {_FOUND}").where("size(spans) > 0")
+            parts.append(save(hits.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "finds"))
+            sent.destroy()
+        together = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        merged = save(together.mapInArrow(_merge_batches, f"key string, spans {_SPANS}, items array<string>"), "passages")
+        drop_saved(*parts)
+        n_words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), n_words.alias("n_words"), _text_key(text).alias("key"))
+        found = whole.join(merged, "key", "left").drop("key")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    found = found.select("row", "n_words", none("spans", _SPANS).alias("spans"), F.array_sort(none("items", "array<string>")).alias("items"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("row", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans for every row of docs(doc_id, text)."""
     found = find_passages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, ["doc_id"])
-    return found.select("row.doc_id", *(x.split()[0] for x in _OUT.split(", ")))
+    return found.select("row.doc_id", *_OUT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
