@@ -12,6 +12,7 @@ from lithic.functions.hashing import unit_hash
 from lithic.operators.catalogue import CATEGORIES, CLASSIFIED, catalogue_order, classify
 from lithic.operators.ordering import number_rows
 from lithic.registry import query
+from lithic.saved import save
 
 _CATEGORY_ROWS = ", ".join(f"({k}, '{c}')" for k, c in enumerate(CATEGORIES))
 C = f"({CLASSIFIED}) c"
@@ -68,9 +69,9 @@ def _topic_sql(n: int) -> str:
     return f"""SELECT topic, count(*) AS n FROM (SELECT id, unnest(topics) AS topic, generate_subscripts(topics, 1) AS place FROM repos) q GROUP BY topic ORDER BY n DESC, min(id * 10 + place) LIMIT {n}"""
 
 
-@query("qry5", _topic_sql(8))
+@query("qry5", _topic_sql(30))
 def qry5_topics(t):
-    return topic_facet(t("repos").withColumn("ordinal", F.col("id")), 8)
+    return topic_facet(t("repos").withColumn("ordinal", F.col("id")), 30)
 
 
 def category_counts(rows: DataFrame) -> DataFrame:
@@ -182,7 +183,12 @@ def qry17_match_flags(t):
     return flagged.select("id", (F.col("category") == "Mobile").alias("by_category"), F.coalesce(F.col("language") == "Go", F.lit(False)).alias("by_language"), topic.alias("by_topic"), same.alias("same"), (~(same | topic)).alias("dimmed"))
 
 
-@query("qry18")
+def _unit_sql(text: str) -> str:
+    """32-bit FNV-1a of an ASCII text in DuckDB."""
+    return f"list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) / 4294967295.0::DOUBLE"
+
+
+@query("qry18", f"SELECT id, {_unit_sql("concat(id, ':a')")} AS a, {_unit_sql("concat(id, ':b')")} AS b, {_unit_sql("concat(id, ':c')")} AS c FROM repos")
 def qry18_unit_hash(t):
     salted = lambda salt: unit_hash(F.concat(F.col("id").cast("string"), F.lit(":"), F.lit(salt)))
     return t("repos").select("id", salted("a").alias("a"), salted("b").alias("b"), salted("c").alias("c"))
@@ -191,6 +197,7 @@ def qry18_unit_hash(t):
 def map_places(rows: DataFrame, total: Column) -> DataFrame:
     """x, y, z of each row(id, category, position) in a funnel ordered by position."""
     seed = {s: unit_hash(F.concat(F.col("id").cast("string"), F.lit(f":{s}"))) for s in "abc"}
+    # ---- fixed values: the funnel's shape
     seeded = rows.withColumns({f"_{s}": h for s, h in seed.items()}).withColumn("t", (F.col("position") - 1) / F.greatest(F.lit(1), total - 1))
     a, b, c, at = F.col("_a"), F.col("_b"), F.col("_c"), F.col("t")
     crown = 0.5 + F.pow(1 - at, F.lit(1.4)) * 5.2
@@ -202,26 +209,56 @@ def map_places(rows: DataFrame, total: Column) -> DataFrame:
     return seeded.select("id", (F.cos(angle) * radius).alias("x"), (6.2 - at * 12.4 + (a - 0.5) * 1.4).alias("y"), (F.sin(angle) * radius * 0.7).alias("z"))
 
 
-@query("qry19")
+_PLACES = f"""WITH r AS (SELECT id, category, row_number() OVER (ORDER BY stars DESC, coalesce(pushed_at, '') DESC, id) AS position, count(*) OVER () AS total FROM {C}),
+    h AS (SELECT *, (position - 1) / greatest(1, total - 1) AS t, {_unit_sql("concat(id, ':a')")} AS a, {_unit_sql("concat(id, ':b')")} AS b, {_unit_sql("concat(id, ':c')")} AS c FROM r),
+    m AS (SELECT *, greatest(0.3, (0.5 + pow(1 - t, 1.4) * 5.2 - 0.55 * sin(t * pi() * 1.8) * (0.7 + c * 0.3) + 0.4 * pow(t, 3.5)) * (0.72 + b * 0.38)) AS radius, t * 12 + (list_position({CATEGORIES!r}, category) - 1) * (pi() * 2 / {len(CATEGORIES)}) + a * 1.6 AS angle FROM h)
+    SELECT id, round(cos(angle) * radius, 6) AS x, round(6.2 - t * 12.4 + (a - 0.5) * 1.4, 6) AS y, round(sin(angle) * radius * 0.7, 6) AS z FROM m"""
+
+
+@query("qry19", _PLACES)
 def qry19_map_places(t):
     ranked = number_rows(_classified(t).select("id", "category", "stars", "pushed_at", "ordinal"), catalogue_order())
     total = ranked.agg(F.count(F.lit(1)).alias("total"))
-    return map_places(ranked.crossJoin(F.broadcast(total)), F.col("total"))  # one row
+    places = map_places(ranked.crossJoin(F.broadcast(total)), F.col("total"))  # one row
+    return places.select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+#: groups whose middles are broadcast
+_GROUPS = 10_000
 
 
 def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_in_group(rows: DataFrame, blocks: int = 8) -> DataFrame:
+def nearest_in_group(rows: DataFrame, probes: int = 8, step: int = 32) -> DataFrame:
     """For each row(id, group, v) the nearest other row of its group, the least id on ties.
 
-    Each group's candidates are cut into blocks and every row meets each block,
-    so no task holds a whole group.
+    Rows of a group are put in order of their distance from the group's middle;
+    two rows are at least as far apart as those distances. The ``probes`` rows
+    on either side in that order give each row a bound, and only rows whose
+    distance from the middle lies within the bound are compared at all. They
+    meet in strips of about ``step`` rows' breadth, so a group of any size is
+    spread over many tasks; what cannot win is never joined.
     """
-    left = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.select(F.col("group"), F.col("id").alias("other"), F.col("v").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    pairs = left.join(right, ["group", "block"]).where("id <> other").select("id", "other", F.round(_distance("v", "w"), 9).alias("d"))
+    middle = rows.select("group", F.posexplode("v").alias("k", "x")).groupBy("group", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    middle = middle.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("_m"))
+    placed = rows.join(F.broadcast(middle) if middle.count() <= _GROUPS else middle, "group").withColumn("_r", F.sqrt(_distance("v", "_m"))).drop("_m")
+    ranked = number_rows(placed, [F.asc("_r"), F.asc("id")], "_k", ["group"])
+    # strips of equal breadth in distance, about ``step`` rows each
+    breadth = ranked.groupBy("group").agg((F.greatest((F.max("_r") - F.min("_r")) / F.greatest(F.count(F.lit(1)) / step, F.lit(1.0)), F.lit(1e-9))).alias("_w"))
+    ranked = save(ranked.join(breadth, "group"), "ranked")
+    # neighbours in the order meet in stretches of the order
+    near = ranked.select("group", F.col("id").alias("other"), F.col("v").alias("w"), F.col("_k").alias("_at"), F.floor(F.col("_k") / probes).alias("_s"))
+    own = ranked.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_k") / probes) - 1, F.floor(F.col("_k") / probes) + 1)))
+    bound = own.join(near, ["group", "_s"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("_k") - F.col("_at")) <= probes)).groupBy("group", "id").agg(F.min(_distance("v", "w")).alias("_b"))
+    # rounding of roots and sums must not shut a winner out
+    reach = F.sqrt(F.col("_b")) * (1 + 1e-9) + 1e-6
+    wide = save(ranked.join(bound, ["group", "id"]), "bounded")
+    seekers = wide.withColumn("_s", F.explode(F.sequence(F.floor((F.col("_r") - reach) / F.col("_w")), F.floor((F.col("_r") + reach) / F.col("_w")))))
+    strips = ranked.select("group", F.col("id").alias("other"), F.col("v").alias("w"), F.col("_r").alias("_o"), F.floor(F.col("_r") / F.col("_w")).alias("_s"))
+    pairs = seekers.join(strips, ["group", "_s"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("_r") - F.col("_o")) <= reach))
+    pairs = pairs.select("id", "other", F.round(_distance("v", "w"), 9).alias("d"))
     return pairs.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", F.col("m.other").alias("nearest"), F.col("m.d").alias("d"))
 
 

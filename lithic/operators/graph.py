@@ -1,8 +1,11 @@
 """Typed relationship graph: resolution of facts to edges, invariants, fingerprints, queries.
 
 Edges are rows (snapshot_id, type, source, target, target_kind, state, method,
-key, candidates). A reference is a path for files and directories and
-path#line for symbols, so that nothing depends on row ids.
+key, candidates). A reference is a path for files and directories and path#line
+for symbols (path#line:column where they come from text), so that nothing
+depends on row ids. ``build_from_text`` makes a graph of source files alone:
+declarations, nesting, facts, the symbols around them, resolution. ``build``
+does the second half of it from symbols and facts that are given.
 """
 
 from __future__ import annotations
@@ -13,52 +16,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithic.operators.code import NO_CALL, scan_files
+from lithic.operators.symbols import BIN, directory_chain, in_bins, nest
 from lithic.registry import query
+from lithic.saved import save
 
 # ---- fixed values
 CANDIDATES = 20
 SCRIPT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
 SCRIPT_SWAPS = [".ts", ".tsx", ".mts", ".cts"]
+TYPES = ["CONTAINS", "IMPORTS", "CALLS", "EXTENDS", "IMPLEMENTS", "EXPORTS"]
 NONE = "∅"
 UNION = DataFrame.unionByName
 
 
-def enclosing(facts: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Innermost symbol(file_id, symbol, start_at, end_at) around each fact(file_id, fact, at), null outside."""
-    inner = facts.join(symbols, "file_id").where("start_at <= at and at <= end_at")
-    found = inner.groupBy("fact").agg(F.max_by("symbol", F.struct("start_at", -F.col("end_at"), "symbol")).alias("symbol"))
-    return facts.join(found, "fact", "left").select("fact", "symbol")
+def enclosing(facts: DataFrame, symbols: DataFrame, width: int = BIN) -> DataFrame:
+    """Innermost symbol(file_id, symbol, start_at, end_at) around each fact(file_id, fact, at), null outside.
+
+    Facts and symbols meet in stretches of ``width`` positions of the file.
+    """
+    spans = in_bins(symbols, "start_at", "end_at", width).select("file_id", "bin", "symbol", "start_at", "end_at")
+    inner = facts.select("file_id", "fact", "at", F.floor(F.col("at") / width).alias("bin")).join(spans, ["file_id", "bin"]).where("start_at <= at and at <= end_at")
+    found = inner.groupBy("file_id", "fact").agg(F.max_by("symbol", F.struct("start_at", -F.col("end_at"), "symbol")).alias("symbol"))
+    return facts.join(found, ["file_id", "fact"], "left").select("file_id", "fact", "symbol")
 
 
 @query("rel2", "SELECT f.event_id AS fact, arg_max(s.event_id, (s.start_at, -s.end_at, s.event_id)) AS symbol FROM events f LEFT JOIN spans s ON s.user_id = f.user_id AND s.event_id % 5 = 0 AND s.start_at <= f.event_id % 997 AND f.event_id % 997 <= s.end_at GROUP BY 1")
 def rel2_enclosing(t):
     facts = t("events").select(F.col("event_id").alias("fact"), F.col("user_id").alias("file_id"), (F.col("event_id") % 997).alias("at"))
     symbols = t("spans").where("event_id % 5 = 0").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("symbol"), "start_at", "end_at")
-    return enclosing(facts, symbols)
-
-
-# ---- fixed values: facts on a line of code, by type
-_FACTS = {
-    "IMPORTS": [r"\bimport\b[^'\"]*['\"]([^'\"]+)['\"]", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)", r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;"],
-    "EXTENDS": [r"\b(?:class|interface)\s+\w+[^{]*?\bextends\s+([\w$.]+)"],
-    "IMPLEMENTS": [r"\bclass\s+\w+[^{]*?\bimplements\s+([\w$.]+)"],
-    "EXPORTS": [r"\bexport\s+(?:default\s+)?(?:abstract\s+)?(?:class|function|interface|const|let)\s+(\w+)"],
-}
-_CALL, _NO_CALL = r"(?<![\w$])(?:new\s+)?(\w+)\s*\(", {"if", "for", "while", "switch", "catch", "function", "return", "super", "constructor", "import", "require"}
+    return enclosing(facts, symbols).select("fact", "symbol")
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
-    """Import, call, heritage and export facts of files(file_id, text) with their line, in order."""
-    lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "code"))
-    bare = F.regexp_replace("code", "//.*$", "")
-    single = [F.struct(F.lit(kind).alias("type"), F.regexp_extract(bare, p, 1).alias("name")) for kind, ps in _FACTS.items() for p in ps]
-    declared = r"\b(?:function|class|interface)\s+\w+|^\s*(?:(?:public|private|protected|static|final|async)\s+)+[\w<>\[\] ]*\w+\s*\("
-    calls = F.regexp_extract_all(F.regexp_replace(bare, declared, " "), F.lit(_CALL), 1)
-    each = F.concat(F.array(*single), F.transform(F.filter(calls, lambda c: ~c.isin(*_NO_CALL)), lambda c: F.struct(F.lit("CALLS").alias("type"), c.alias("name"))))
-    return lines.select("file_id", "line", F.posexplode(each).alias("place", "f")).where("f.name <> ''").select("file_id", "line", "place", "f.*")
+    """Import, call, heritage and export facts of files(file_id, text[, language]) with their line, in order."""
+    found = scan_files(files, ["file_id"]).where("what = 'fact'")
+    return found.select("file_id", "line", F.col("column").alias("place"), "type", "name")
 
 
-@query("rel1", "SELECT file_id, start_line AS line, 'CALLS' AS type, callee AS name FROM text_lines WHERE callee <> '' AND callee NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function', 'return', 'super', 'constructor', 'import', 'require') AND start_line < 500000 UNION ALL SELECT file_id, start_line, 'IMPORTS', concat('./', name) FROM text_lines WHERE kind = 'class' AND name <> ''")
+@query("rel1", "SELECT file_id, start_line AS line, 'CALLS' AS type, callee AS name FROM text_lines WHERE callee <> '' AND callee NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function', 'return', 'super', 'constructor', 'import', 'require') UNION ALL SELECT file_id, start_line, 'IMPORTS', concat('./', name) FROM text_lines WHERE kind = 'class' AND name <> ''")
 def rel1_facts(t):
     """Facts in code made of the documents' lines: a call a line, an import for each first line."""
     code = F.concat(F.when(F.col("kind") == "class", F.concat(F.lit("import x from './"), "name", F.lit("'; "))).otherwise(""), F.when(F.col("callee") != "", F.concat("callee", F.lit("(1);"))).otherwise(""))
@@ -102,10 +98,11 @@ def rel3_candidates(t):
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """The first candidate path that the snapshot has: file_id, target, state."""
+    """The first candidate path that the snapshot has, for each import(snapshot_id, file_id, path, spec): target, state."""
     known = files.select("snapshot_id", F.col("path").alias("candidate"))
-    found = import_candidates(imports).join(known, ["snapshot_id", "candidate"]).groupBy("file_id").agg(F.min_by("candidate", "precedence").alias("target"))
-    return imports.join(found, "file_id", "left").select("snapshot_id", "file_id", "path", "target", F.when(F.col("target").isNull(), "UNKNOWN").otherwise("RESOLVED").alias("state"))
+    tries = import_candidates(imports.select("snapshot_id", "file_id", "path", "spec").distinct())
+    found = tries.join(known, ["snapshot_id", "candidate"]).groupBy("file_id", "spec").agg(F.min_by("candidate", "precedence").alias("target"))
+    return imports.join(found, ["file_id", "spec"], "left").select("snapshot_id", "file_id", "path", "spec", "target", F.when(F.col("target").isNull(), "UNKNOWN").otherwise("RESOLVED").alias("state"))
 
 
 @query("rel4", f"SELECT f.id AS file_id, arg_min(g.path, precedence) AS target, CASE WHEN arg_min(g.path, precedence) IS NULL THEN 'UNKNOWN' ELSE 'RESOLVED' END AS state FROM files f LEFT JOIN (SELECT x.file_id, g.path, precedence FROM {_TRY} x JOIN files g ON g.snapshot_id = x.snapshot_id AND g.path = candidate) g ON g.file_id = f.id GROUP BY 1")
@@ -114,14 +111,20 @@ def rel4_imports(t):
 
 
 def resolve_dotted(imports: DataFrame, types: DataFrame) -> DataFrame:
-    """Dotted names to the file that declares them: types(name, path) named by the last part, path by all parts."""
-    tail = F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".java"))
-    wanted = imports.withColumns({"name": F.substring_index("spec", ".", -1), "_tail": tail})
-    same = (F.col("t_path") == F.col("_tail")) | F.endswith("t_path", F.concat(F.lit("/"), "_tail"))
-    hits = wanted.join(types.select("snapshot_id", "name", F.col("path").alias("t_path")), ["snapshot_id", "name"]).where(same)
-    counts = hits.groupBy("file_id").agg(F.count_distinct("t_path").alias("n"), F.min("t_path").alias("path"))
+    """Dotted names of imports(snapshot_id, file_id, spec) to the file that declares them.
+
+    types(snapshot_id, name, path) are named by the last part of a dotted name
+    and found by all its parts. One row stands for all files with the same name
+    and path ending, so an ending that many files share costs one row an import.
+    """
+    parts = F.split("path", "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    table = types.select("snapshot_id", "name", "path", F.explode(endings).alias("_tail")).groupBy("snapshot_id", "name", "_tail").agg(F.count_distinct("path").alias("n"), F.min("path").alias("found"), F.slice(F.array_sort(F.collect_set("path")), 1, CANDIDATES).alias("several"))
+    wanted = imports.withColumns({"name": F.substring_index("spec", ".", -1), "_tail": F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".java"))})
+    joined = wanted.join(table, ["snapshot_id", "name", "_tail"], "left")
     n = F.coalesce("n", F.lit(0))
-    return imports.select("file_id", "spec").join(counts, "file_id", "left").select("file_id", F.when(n == 1, F.col("path")).alias("target"), F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("UNKNOWN").alias("state"))
+    state = F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("UNKNOWN")
+    return joined.select(*imports.columns, F.when(n == 1, F.col("found")).alias("target"), state.alias("state"), F.when(n > 1, F.col("several")).alias("candidates"))
 
 
 @query("rel5", "WITH i AS (SELECT id AS file_id, snapshot_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('m', (doc_id - doc_id % 10 + 2) % 6, '.f', doc_id - doc_id % 10 + 2) ELSE concat('x.f', doc_id - doc_id % 10 + 2) END AS spec FROM files), h AS (SELECT i.file_id, count(DISTINCT f.path) AS n, min(f.path) AS path FROM i JOIN files f ON f.snapshot_id = i.snapshot_id AND ends_with(f.path, '.java') AND ends_with(f.path, concat('/', replace(spec, '.', '/'), '.java')) GROUP BY 1) SELECT i.file_id, CASE WHEN n = 1 THEN path END AS target, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNKNOWN' END AS state FROM i LEFT JOIN h USING (file_id)")
@@ -129,15 +132,21 @@ def rel5_dotted(t):
     k = F.col("doc_id") - F.col("doc_id") % 10 + 2
     spec = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("m"), k % 6, F.lit(".f"), k)).otherwise(F.concat(F.lit("x.f"), k))
     types = t("files").where(F.endswith("path", F.lit(".java"))).select("snapshot_id", F.regexp_extract("path", r"([^/]*)\.java$", 1).alias("name"), "path")
-    return resolve_dotted(t("files").select(F.col("id").alias("file_id"), "snapshot_id", spec.alias("spec")), types)
+    return resolve_dotted(t("files").select(F.col("id").alias("file_id"), "snapshot_id", spec.alias("spec")), types).select("file_id", "target", "state")
 
 
 def _table(symbols: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Number of symbols under each key and the first ones in order: one row a key, however common the name."""
-    k = F.row_number().over(W.partitionBy(*keys).orderBy("path", "start_line"))
-    ranked = symbols.withColumn("k", k)
-    first = F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", F.concat("path", F.lit("#"), "start_line").alias("ref")))))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.transform(first, lambda x: x["ref"]).alias("refs"))
+    """Number of symbols under each key and the first ones in order: one row a key, however common the name.
+
+    Numbers are counted before the shuffle; of the symbols only the first ones of
+    each key leave a task.
+    """
+    ref = F.col("fact") if "fact" in symbols.columns else F.concat("path", F.lit("#"), "start_line")
+    order = [c for c in ("path", "start_line", "start_column") if c in symbols.columns]
+    counts = symbols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    first = symbols.select(*keys, ref.alias("ref"), F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias("k")).where(F.col("k") <= most)
+    refs = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ref"))), lambda x: x["ref"]).alias("refs"))
+    return counts.join(refs, keys)
 
 
 def resolve_names(facts: DataFrame, symbols: DataFrame, kinds: list[str], most: int = CANDIDATES) -> DataFrame:
@@ -145,7 +154,7 @@ def resolve_names(facts: DataFrame, symbols: DataFrame, kinds: list[str], most:
 
     One hit resolves, several leave it ambiguous with the first candidates, none unknown.
     """
-    fit = symbols.where(F.col("kind").isin(*kinds)).select("snapshot_id", "file_id", "family", "path", "start_line", F.col("name").alias("callee"))
+    fit = symbols.where(F.col("kind").isin(*kinds)).select("snapshot_id", "file_id", "family", "path", "start_line", F.col("name").alias("callee"), *(c for c in ("start_column", "fact") if c in symbols.columns))
     near = _table(fit, ["file_id", "callee"], most).select("file_id", "callee", F.col("n").alias("n1"), F.col("refs").alias("refs1"))
     far = _table(fit, ["snapshot_id", "family", "callee"], most).select("snapshot_id", "family", "callee", F.col("n").alias("n2"), F.col("refs").alias("refs2"))
     joined = facts.join(near, ["file_id", "callee"], "left").join(far, ["snapshot_id", "family", "callee"], "left")
@@ -200,7 +209,7 @@ def rel7_heritage(t):
 
 def resolve_exports(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     """The first class, function or interface of the file with the exported name(file_id, callee)."""
-    fit = symbols.where(F.col("kind").isin("class", "function", "interface")).select("file_id", F.col("name").alias("callee"), F.struct("start_line").alias("o"), F.concat("path", F.lit("#"), "start_line").alias("ref"))
+    fit = symbols.where(F.col("kind").isin("class", "function", "interface")).select("file_id", F.col("name").alias("callee"), F.struct(*(c for c in ("start_line", "start_column") if c in symbols.columns)).alias("o"), "fact").withColumnRenamed("fact", "ref")
     first = fit.groupBy("file_id", "callee").agg(F.min_by("ref", "o").alias("target"))
     return facts.join(first, ["file_id", "callee"], "left").withColumn("state", F.when(F.col("target").isNull(), "UNKNOWN").otherwise("RESOLVED"))
 
@@ -315,6 +324,112 @@ def build(t) -> DataFrame:
     ])
 
 
+#: offsets that calls and functions of a text meet in
+_OFFSETS = 2048
+_TYPES = ["class", "interface"]
+
+
+def symbols_and_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and facts of files(snapshot_id, id, path, language, text); each text is read once.
+
+    symbols: snapshot_id, file_id, path, family, fact (the reference), kind, name,
+    start_line, start_column, start_at, end_at, parent, qualified_name. facts:
+    snapshot_id, file_id, path, family, type, name, at, owner_at.
+    """
+    family = F.when(F.col("language") == "java", "java").otherwise("script")
+    rows = files.where("language is not null").select("snapshot_id", F.col("id").alias("file_id"), "path", "language", family.alias("family"), "text")
+    own = ["snapshot_id", "file_id", "path", "family"]
+    scanned = save(scan_files(rows, own), "scanned")
+    ref = F.concat("path", F.lit("#"), "line", F.lit(":"), "column")
+    symbols = scanned.where("what = 'symbol'").select(*own, ref.alias("fact"), F.col("type").alias("kind"), "name", F.col("line").alias("start_line"), F.col("column").alias("start_column"), F.col("at").alias("start_at"), "end_at")
+    nested = nest(symbols.select("file_id", F.col("fact").alias("symbol"), "name", "start_at", "end_at")).withColumnRenamed("symbol", "fact")
+    symbols = save(symbols.join(nested, ["file_id", "fact"]), "symbols")
+    return symbols, scanned.where("what = 'fact'").select(*own, "type", "name", "at", "owner_at")
+
+
+def build_from_text(files: DataFrame) -> DataFrame:
+    """The whole graph of files(snapshot_id, id, path, language, text), with nothing else given.
+
+    A call comes from the innermost function or method around it, else from its
+    file; heritage from the type that has it; imports and exports from the file.
+    Equal facts of one source make one edge.
+    """
+    symbols, facts = symbols_and_facts(files)
+    of = lambda *types: facts.where(F.col("type").isin(*types))
+    own = ["snapshot_id", "file_id", "path", "family", "type"]
+
+    spec = of("IMPORTS").select(*own, F.col("name").alias("spec")).distinct()
+    script = resolve_imports(spec.where("family = 'script'"), files).withColumn("candidates", F.lit(None).cast("array<string>"))
+    declared = symbols.where((F.col("family") == "java") & F.col("kind").isin(*_TYPES)).select("snapshot_id", "name", "path").distinct()
+    java = resolve_dotted(spec.where("family = 'java'").select("snapshot_id", "file_id", "path", "spec"), declared)
+    imports = script.unionByName(java.select(script.columns)).select("snapshot_id", "file_id", "path", F.lit("IMPORTS").alias("type"), F.col("path").alias("source"), F.lit("file").alias("source_kind"), F.lit("file").alias("kind"), "target", "state", "candidates", F.col("spec").alias("name"))
+
+    calls = of("CALLS").withColumn("fact", F.struct("at", "name"))
+    bodies = symbols.where(F.col("kind").isin("function", "method")).select("file_id", F.col("fact").alias("symbol"), "start_at", "end_at")
+    around = enclosing(calls.select("file_id", "fact", "at"), bodies, _OFFSETS)
+    calls = calls.join(around, ["file_id", "fact"]).select(*own, F.col("name").alias("callee"), F.col("symbol").alias("source")).distinct()
+    calls = resolve_names(calls, symbols, ["function", "method"])
+
+    heads = symbols.select("file_id", F.col("start_at").alias("owner_at"), F.col("fact").alias("source"))
+    heritage = of("EXTENDS", "IMPLEMENTS").join(heads, ["file_id", "owner_at"]).select(*own, F.element_at(F.split("name", "\\."), -1).alias("callee"), "source").distinct()
+    heritage = resolve_names(heritage, symbols, _TYPES)
+
+    exports = resolve_exports(of("EXPORTS").select(*own, F.col("name").alias("callee")).distinct(), symbols).withColumns({"source": F.lit(None).cast("string"), "candidates": F.lit(None).cast("array<string>")})
+    named = ["snapshot_id", "file_id", "path", "type", "source", "target", "state", "candidates", "callee"]
+    between = reduce(UNION, (rows.select(named) for rows in (calls, heritage, exports)))
+    to_symbols = between.select("snapshot_id", "file_id", "path", "type", F.coalesce("source", "path").alias("source"), F.when(F.col("source").isNull(), "file").otherwise("symbol").alias("source_kind"), F.lit("symbol").alias("kind"), "target", "state", "candidates", F.col("callee").alias("name"))
+    found = UNION(imports, to_symbols).withColumn("target_kind", F.when(F.col("target").isNotNull(), F.col("kind")))
+    found = found.withColumn("key", edge_key(F.col("snapshot_id"), F.col("type"), F.col("source"), F.col("target"), F.col("name"))).select(EDGE)
+    return UNION(contains_edges(files, symbols, directory_chain(files)), found)
+
+
+def code_of(t) -> DataFrame:
+    """Source files made of the documents' lines: imports, a type with its heritage, a method with a call for each line.
+
+    The words are the documents'; ``w_`` keeps them apart from the languages' own.
+    """
+    files = t("files").join(t("extractions").where("language is not null").select(F.col("file_id").alias("id"), "language"), "id")
+    word = lambda c: F.concat(F.lit("w_"), c)
+    lines = t("text_lines").where("name <> '' and callee <> ''").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "name", "callee"))).alias("ls"))
+    rows = files.join(lines.withColumnRenamed("file_id", "id"), "id", "left").withColumn("ls", F.coalesce("ls", F.array().cast("array<struct<start_line:bigint,name:string,callee:string>>")))
+    k, first, second = F.col("doc_id"), F.get("ls", F.lit(0)), F.get("ls", F.lit(1))
+    java = F.col("language") == "java"
+    near = F.concat(F.lit("import { x } from './f"), k + 6, F.when(k % 4 == 0, ".js").otherwise(""), F.lit("';"))
+    head = F.when(java, F.concat(F.lit("import w_"), first["callee"], F.lit(";"))).otherwise(near)
+    kind = F.concat(F.when(java, "public class ").otherwise("export class "), word(first["name"]))
+    heir = F.when(second.isNotNull(), F.concat(F.lit(" extends "), word(second["name"]), F.lit(" implements "), word(second["callee"]), F.lit(", "), word(first["callee"]))).otherwise("")
+    body = lambda x: F.concat(F.when(java, "  public void ").otherwise("  "), word(x["name"]), F.lit('() { log("}"); '), word(x["callee"]), F.lit("(1); }"))
+    code = F.concat_ws("\n", head, F.concat(kind, heir, F.lit(" {")), F.array_join(F.transform(F.slice("ls", F.lit(2), F.greatest(F.size("ls"), F.lit(1))), body), "\n"), F.lit("}"))
+    path = F.when(java & first.isNotNull(), F.concat("lang", F.lit("/m"), k % 6, F.lit("/d"), k, F.lit("/w_"), first["name"], F.lit(".java"))).otherwise(F.col("path"))
+    rows = rows.withColumn("lang", F.substring_index("path", "/", 1))
+    return rows.select("snapshot_id", "id", path.alias("path"), "language", F.when(first.isNotNull(), code).otherwise("").alias("text"))
+
+
+_CODE = f"""f AS MATERIALIZED (SELECT f.snapshot_id, f.id AS file_id, f.doc_id, e.language = 'java' AS java, f.path AS old, split_part(f.path, '/', 1) AS lang FROM files f JOIN extractions e ON e.file_id = f.id WHERE e.language IS NOT NULL),
+  l AS MATERIALIZED (SELECT l.file_id, concat('w_', l.name) AS name, concat('w_', l.callee) AS callee, row_number() OVER (PARTITION BY l.file_id ORDER BY l.start_line) AS k FROM text_lines l JOIN f USING (file_id) WHERE l.name <> '' AND l.callee <> ''),
+  c AS MATERIALIZED (SELECT f.snapshot_id, f.file_id, f.doc_id, f.java, f.lang, CASE WHEN f.java AND l.name IS NOT NULL THEN concat(f.lang, '/m', f.doc_id % 6, '/d', f.doc_id, '/', l.name, '.java') ELSE f.old END AS path, l.name AS class, l.callee AS word FROM f LEFT JOIN l ON l.file_id = f.file_id AND l.k = 1),
+  y AS MATERIALIZED (SELECT snapshot_id, file_id, java, path, 'class' AS kind, class AS name, NULL AS callee, 1 AS line, concat(path, '#1:13') AS fact FROM c WHERE class IS NOT NULL UNION ALL SELECT c.snapshot_id, c.file_id, c.java, c.path, 'method', l.name, l.callee, l.k, concat(c.path, '#', l.k, CASE WHEN c.java THEN ':14' ELSE ':2' END) FROM c JOIN l USING (file_id) WHERE l.k > 1),
+  r AS (SELECT snapshot_id, file_id, java, 'CALLS' AS type, fact AS source, callee AS name, 'method' AS kind FROM y WHERE kind = 'method' UNION SELECT snapshot_id, file_id, java, 'CALLS', fact, 'log', 'method' FROM y WHERE kind = 'method' UNION SELECT c.snapshot_id, file_id, java, 'EXTENDS', concat(path, '#1:13'), l.name, 'class' FROM c JOIN l USING (file_id) WHERE k = 2
+    UNION SELECT c.snapshot_id, file_id, java, 'IMPLEMENTS', concat(path, '#1:13'), l.callee, 'class' FROM c JOIN l USING (file_id) WHERE k = 2 UNION SELECT c.snapshot_id, file_id, java, 'IMPLEMENTS', concat(path, '#1:13'), word, 'class' FROM c JOIN l USING (file_id) WHERE k = 2),
+  a AS (SELECT file_id, kind, name, count(*) AS n, list(fact ORDER BY path, line) AS refs FROM y GROUP BY ALL), b AS (SELECT snapshot_id, java, kind, name, count(*) AS n, list(fact ORDER BY path, line) AS refs FROM y GROUP BY ALL),
+  named AS (SELECT r.snapshot_id, r.type, r.source, CASE WHEN coalesce(a.n, b.n) = 1 THEN coalesce(a.refs, b.refs)[1] END AS target, CASE coalesce(a.n, b.n, 0) WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state, r.name, CASE WHEN coalesce(a.n, b.n) > 1 THEN array_to_string(coalesce(a.refs, b.refs)[1:20], ',') END AS candidates
+    FROM r LEFT JOIN a ON a.file_id = r.file_id AND a.kind = r.kind AND a.name = r.name LEFT JOIN b ON b.snapshot_id = r.snapshot_id AND b.java = r.java AND b.kind = r.kind AND b.name = r.name),
+  tries AS (SELECT snapshot_id, file_id, path, spec, unnest(range(1, len(tries) + 1)) AS k, unnest(tries) AS candidate FROM (SELECT *, list_concat([base], [base || e for e in {SCRIPT_EXTENSIONS}], CASE WHEN doc_id % 4 = 0 THEN [replace(base, '.js', '') || e for e in {SCRIPT_SWAPS}] ELSE [] END, [base || '/index' || e for e in {SCRIPT_EXTENSIONS}]) AS tries
+    FROM (SELECT *, concat(lang, '/m', doc_id % 6, substr(spec, 2)) AS base FROM (SELECT *, concat('./f', doc_id + 6, CASE WHEN doc_id % 4 = 0 THEN '.js' ELSE '' END) AS spec FROM c WHERE NOT java AND class IS NOT NULL) q) q) q),
+  near AS (SELECT t.snapshot_id, t.path, t.spec, arg_min(g.path, t.k) AS target FROM tries t LEFT JOIN c g ON g.snapshot_id = t.snapshot_id AND g.path = t.candidate GROUP BY ALL),
+  far AS (SELECT i.snapshot_id, i.path, i.word AS spec, count(g.path) AS n, min(g.path) AS target, array_to_string(list_sort(list(g.path) FILTER (WHERE g.path IS NOT NULL))[1:20], ',') AS paths FROM c i LEFT JOIN (SELECT * FROM c WHERE java AND class IS NOT NULL) g ON g.snapshot_id = i.snapshot_id AND g.class = i.word WHERE i.java AND i.class IS NOT NULL GROUP BY ALL),
+  d AS (SELECT DISTINCT snapshot_id, array_to_string(parts[1:n - 1], '/') AS parent, array_to_string(parts[1:n], '/') AS path FROM (SELECT snapshot_id, parts, unnest(range(1, len(parts))) AS n FROM (SELECT snapshot_id, string_split(path, '/') AS parts FROM c) q) q),
+  g AS (SELECT * FROM named UNION ALL SELECT snapshot_id, 'IMPORTS', path, target, CASE WHEN target IS NULL THEN 'UNKNOWN' ELSE 'RESOLVED' END, spec, NULL FROM near UNION ALL SELECT snapshot_id, 'IMPORTS', path, CASE WHEN n = 1 THEN target END, CASE n WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END, spec, CASE WHEN n > 1 THEN paths END FROM far
+    UNION ALL SELECT snapshot_id, 'EXPORTS', path, fact, 'RESOLVED', name, NULL FROM y WHERE kind = 'class' AND NOT java UNION ALL SELECT snapshot_id, 'CONTAINS', parent, path, 'EXTRACTED', NULL, NULL FROM d UNION ALL SELECT snapshot_id, 'CONTAINS', regexp_extract(path, '^(.*)/', 1), path, 'EXTRACTED', NULL, NULL FROM c
+    UNION ALL SELECT snapshot_id, 'CONTAINS', path, fact, 'EXTRACTED', NULL, NULL FROM y WHERE kind = 'class' UNION ALL SELECT snapshot_id, 'CONTAINS', concat(path, '#1:13'), fact, 'EXTRACTED', NULL, NULL FROM y WHERE kind = 'method')"""
+
+
+@query("rel14_text", f"WITH {_CODE} SELECT snapshot_id, type, source, target, state, candidates, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM g")
+def rel14_from_text(t):
+    """The graph of source files, from their text alone."""
+    return build_from_text(code_of(t)).select("snapshot_id", "type", "source", "target", "state", F.array_join("candidates", ",").alias("candidates"), "key")
+
+
 _IMPORTED = f"(SELECT f.snapshot_id, f.path, arg_min(g.path, precedence) AS target FROM files f LEFT JOIN (SELECT x.file_id, g.path, precedence FROM {_TRY} x JOIN files g ON g.snapshot_id = x.snapshot_id AND g.path = candidate) g ON g.file_id = f.id GROUP BY 1, 2, f.id)"
 GRAPH = f"""(SELECT snapshot_id, 'CONTAINS' AS type, source, target, 'EXTRACTED' AS state, NULL AS name, NULL AS cands FROM {CONTAINED} x UNION ALL SELECT snapshot_id, 'IMPORTS', path, target, CASE WHEN target IS NULL THEN 'UNKNOWN' ELSE 'RESOLVED' END, NULL, NULL FROM {_IMPORTED} i
   UNION ALL SELECT snapshot_id, 'CALLS', fact, target, state, callee, array_to_string(candidates, ',') FROM {CALLS} c UNION ALL SELECT snapshot_id, 'EXTENDS', fact, target, state, callee, array_to_string(candidates, ',') FROM {HERITAGE} h UNION ALL SELECT snapshot_id, 'EXPORTS', path, target, state, callee, NULL FROM (SELECT e.*, s.callee FROM {EXPORTS} e JOIN {SYMBOLS} s USING (fact, snapshot_id)) e)"""
@@ -345,23 +460,45 @@ def rel15_lines(t):
     return canonical_lines(build(t))
 
 
-def fingerprints(lines: DataFrame, buckets: int = 64) -> DataFrame:
+def _sums(lines: Column) -> list[Column]:
+    """Four sums over the SHA-256 of texts, 60 bits of it in each."""
+    part = lambda k: F.conv(F.substring(F.sha2(lines, 256), 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")
+    return [F.sum(part(k)).cast("string").alias(f"s{k}") for k in range(4)]
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
     """A hash for each snapshot that does not depend on the order of its lines.
 
-    Lines are hashed in buckets and the buckets' hashes again, so no task holds
-    the lines of a whole snapshot.
+    The lines' hashes are added up, so tasks combine them before the shuffle and
+    none holds the lines of a snapshot; the number and the sums are hashed.
     """
-    bucket = F.pmod(F.crc32("line"), F.lit(buckets)).alias("bucket")
-    part = lines.groupBy("snapshot_id", bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("hash"), F.count(F.lit(1)).alias("n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "hash"))), lambda x: F.concat(x["bucket"], F.lit(":"), x["hash"])), "\n")
-    return part.groupBy("snapshot_id").agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("edges"))
+    summed = lines.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edges"), *_sums(F.col("line")))
+    return summed.select("snapshot_id", F.sha2(F.concat_ws(":", F.col("edges").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("fingerprint"), "edges")
+
 
+_SUMS = ", ".join(f"sum(('0x' || substr(sha256(line), {15 * k + 1}, 15))::BIGINT)::VARCHAR AS s{k}" for k in range(4))
 
-@query("rel16")
+
+@query("rel16", f"SELECT snapshot_id, sha256(concat_ws(':', edges, s0, s1, s2, s3)) AS fingerprint, edges FROM (SELECT snapshot_id, count(*) AS edges, {_SUMS} FROM (SELECT snapshot_id, {_LINE.replace('cands', 'array_to_string(list_sort(string_split(cands, chr(44))), chr(44))')} AS line FROM {GRAPH} g) l GROUP BY 1) q")
 def rel16_fingerprints(t):
     return fingerprints(canonical_lines(build(t)))
 
 
+def node_lines(symbols: DataFrame, extractions: DataFrame, directories: DataFrame) -> DataFrame:
+    """One line of text for each symbol, file and folder, free of row ids."""
+    either = lambda c: F.coalesce(c, F.lit(NONE))
+    return reduce(UNION, (
+        symbols.select("snapshot_id", F.concat_ws("|", F.lit("sym"), "fact", "kind", "name", either("parent")).alias("line")),
+        extractions.select("snapshot_id", F.concat_ws("|", F.lit("fe"), "path", "status", either("language")).alias("line")),
+        directories.select("snapshot_id", F.concat_ws("|", F.lit("dir"), "path", either("parent_path")).alias("line")),
+    ))
+
+
+@query("rel15_nodes", f"WITH y AS MATERIALIZED (SELECT * FROM {SYMBOLS} y) SELECT a.snapshot_id, concat_ws('|', 'sym', a.fact, a.kind, a.name, CASE WHEN b.fact <> a.fact THEN b.fact ELSE '∅' END) AS line FROM y a LEFT JOIN (SELECT * FROM y WHERE kind = 'class') b ON b.file_id = a.file_id UNION ALL SELECT snapshot_id, concat_ws('|', 'fe', path, status, coalesce(language, '∅')) FROM extractions UNION ALL SELECT snapshot_id, concat_ws('|', 'dir', path, coalesce(parent_path, '∅')) FROM directories")
+def rel15_nodes(t):
+    return node_lines(_nested(t), t("extractions"), t("directories"))
+
+
 @query("rel17", f"SELECT snapshot_id, concat(type, ' ', source, ' -> ', coalesce(target, '∅'), ' [', state, ']', CASE WHEN cands IS NOT NULL THEN concat(' cands=', array_to_string(list_sort(string_split(cands, ',')), '|')) ELSE '' END) AS line FROM {GRAPH} g WHERE type <> 'CONTAINS'")
 def rel17_describe(t):
     cands = F.coalesce(F.concat(F.lit(" cands="), F.array_join(F.array_sort("candidates"), "|")), F.lit(""))
@@ -390,7 +527,8 @@ def invariants(edges: DataFrame, symbols: DataFrame, files: DataFrame, directori
     known = nodes.distinct().withColumn("known", F.lit(True))
     end = lambda rule, kind, ref: F.struct(rule.alias("rule"), kind.alias("kind"), ref.alias("ref"))
     ends = F.array(*(end(F.concat(F.lit(f"dangling {e} "), f"{e}_kind"), F.col(f"{e}_kind"), F.col(e)) for e in ("source", "target")))
-    others = F.when(state == "AMBIGUOUS", F.transform("candidates", lambda c: end(F.lit("dangling candidate"), F.lit("symbol"), c)))
+    held = F.when(F.col("type") == "IMPORTS", "file").otherwise("symbol")
+    others = F.when(state == "AMBIGUOUS", F.transform("candidates", lambda c: end(F.lit("dangling candidate"), held, c)))
     used = edges.select("snapshot_id", F.explode(F.concat(ends, F.coalesce(others, F.array().cast("array<struct<rule:string,kind:string,ref:string>>")))).alias("u")).select("snapshot_id", "u.*")
     orphans = directories.where("parent_path is not null").select("snapshot_id", F.lit("orphan directory").alias("rule"), F.lit("directory").alias("kind"), F.col("parent_path").alias("ref"))
     strays = symbols.select("snapshot_id", F.lit("extraction without file").alias("rule"), F.lit("file").alias("kind"), F.col("path").alias("ref")).distinct()
@@ -401,10 +539,12 @@ def invariants(edges: DataFrame, symbols: DataFrame, files: DataFrame, directori
 
     kinds = symbols.select("snapshot_id", F.col("fact").alias("target"), "kind", F.col("family").alias("t_family"))
     families = symbols.select("file_id", "family").distinct()
-    typed = edges.where("state = 'RESOLVED' and target_kind = 'symbol'").join(kinds, ["snapshot_id", "target"], "left").join(families, "file_id", "left")
-    heritage = F.col("type").isin("EXTENDS", "IMPLEMENTS")
-    crossing = ((F.col("type") == "CALLS") | heritage) & (F.col("family") != F.col("t_family"))
-    parts.append(_rules(typed, {"target of a wrong kind": ((F.col("type") == "CALLS") & ~F.col("kind").isin("function", "method")) | (heritage & ~F.col("kind").isin("class", "interface")), "target of another family": crossing}))
+    typed = edges.where("state = 'RESOLVED'").join(kinds, ["snapshot_id", "target"], "left").join(families, "file_id", "left")
+    call, heritage, symbol = F.col("type") == "CALLS", F.col("type").isin("EXTENDS", "IMPLEMENTS"), F.col("target_kind") == "symbol"
+    one_of = lambda *names: symbol & F.coalesce(F.col("kind").isin(*names), F.lit(True))  # noqa: E731 a dangling target is another rule's
+    wrong = (call & ~one_of("function", "method")) | (heritage & ~one_of("class", "interface")) | ((F.col("type") == "IMPORTS") & (F.col("target_kind") != "file")) | ((F.col("type") == "EXPORTS") & ~symbol)
+    crossing = symbol & (call | heritage) & (F.col("family") != F.col("t_family"))
+    parts.append(_rules(typed, {"target of a wrong kind": wrong, "target of another family": crossing}))
     twice = symbols.groupBy("snapshot_id", "fact").agg(F.count(F.lit(1)).alias("n"))
     parts.append(_rules(twice, {"repeated symbol key": F.col("n") > 1}))
     return reduce(UNION, parts)
@@ -449,18 +589,47 @@ def rel20_diff(t):
     return graph_diff(lines, changed)
 
 
-@query("rel21", f"SELECT v.type, s.state, count(g.source) AS n FROM (VALUES ('CONTAINS'), ('IMPORTS'), ('CALLS'), ('EXTENDS'), ('EXPORTS')) v(type) CROSS JOIN (VALUES ('EXTRACTED'), ('RESOLVED'), ('AMBIGUOUS'), ('UNKNOWN')) s(state) LEFT JOIN {GRAPH} g ON g.type = v.type AND g.state = s.state GROUP BY 1, 2")
+def changed_files(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(snapshot_id, path) whose edges(path, key, state) differ, in any order, between two graphs."""
+    keys = ["snapshot_id", "path"]
+    line = F.concat_ws("|", "type", "key", "state")
+    own = lambda edges, name: edges.where("path is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_sums(line)).select(*keys, F.concat_ws(":", "n", "s0", "s1", "s2", "s3").alias(name))
+    return own(base, "a").join(own(head, "b"), keys, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(*keys)
+
+
+@query("rel20_files", f"SELECT DISTINCT snapshot_id, path FROM {CALLS} c WHERE length(fact) % 5 = 0 AND state = 'UNKNOWN'")
+def rel20_files(t):
+    """Files whose calls change where some open calls are settled."""
+    edges = _edges_of(_calls(t), "CALLS")
+    settled = edges.withColumn("state", F.when((F.length("source") % 5 == 0) & (F.col("state") == "UNKNOWN"), "EXTRACTED").otherwise(F.col("state")))
+    return changed_files(edges, settled)
+
+
+@query("rel21", f"SELECT v.type, s.state, count(g.source) AS n FROM (VALUES ('CONTAINS'), ('IMPORTS'), ('CALLS'), ('EXTENDS'), ('IMPLEMENTS'), ('EXPORTS')) v(type) CROSS JOIN (VALUES ('EXTRACTED'), ('RESOLVED'), ('AMBIGUOUS'), ('UNKNOWN')) s(state) LEFT JOIN {GRAPH} g ON g.type = v.type AND g.state = s.state GROUP BY 1, 2")
 def rel21_counts(t):
     return edge_counts(build(t))
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:
     """Edges by type and state, 0 where there are none."""
-    names = edges.sparkSession.createDataFrame([(k, s) for k in ("CONTAINS", "IMPORTS", "CALLS", "EXTENDS", "EXPORTS") for s in ("EXTRACTED", "RESOLVED", "AMBIGUOUS", "UNKNOWN")], "type string, state string")
+    names = edges.sparkSession.createDataFrame([(k, s) for k in TYPES for s in ("EXTRACTED", "RESOLVED", "AMBIGUOUS", "UNKNOWN")], "type string, state string")
     counts = edges.groupBy("type", "state").agg(F.count(F.lit(1)).alias("n"))
     return names.join(counts, ["type", "state"], "left").select("type", "state", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def totals(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols, edges, candidates and files of each snapshot."""
+    n = F.count(F.lit(1))
+    parts = [symbols.groupBy("snapshot_id").agg(n.alias("symbols")), edges.groupBy("snapshot_id").agg(n.alias("edges"), F.sum(F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0))).cast("long").alias("candidates")), files.groupBy("snapshot_id").agg(n.alias("files"))]
+    joined = reduce(lambda a, b: a.join(b, "snapshot_id", "full_outer"), parts)
+    return joined.select("snapshot_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("symbols", "edges", "candidates", "files")))
+
+
+@query("rel21_totals", f"SELECT snapshot_id, coalesce(y, 0) AS symbols, coalesce(e, 0) AS edges, coalesce(c, 0)::BIGINT AS candidates, coalesce(f, 0) AS files FROM (SELECT snapshot_id, count(*) AS y FROM {SYMBOLS} s GROUP BY 1) a FULL JOIN (SELECT snapshot_id, count(*) AS e, sum(CASE WHEN cands IS NULL THEN 0 ELSE len(string_split(cands, ',')) END) AS c FROM {GRAPH} g GROUP BY 1) b USING (snapshot_id) FULL JOIN (SELECT snapshot_id, count(*) AS f FROM extractions GROUP BY 1) x USING (snapshot_id)")
+def rel21_totals(t):
+    return totals(_graph(t), _symbols(t), t("extractions"))
+
+
 def relationships(edges: DataFrame, wanted: DataFrame, kind: str | None = None, limit: int = 100) -> DataFrame:
     """The first edges out of and into each wanted(snapshot_id, ref), with candidates where ambiguous."""
     rows = edges.where(F.col("type") == kind) if kind else edges
@@ -470,10 +639,10 @@ def relationships(edges: DataFrame, wanted: DataFrame, kind: str | None = None,
     return found.select("ref", "side", "key", F.when(F.col("state") == "AMBIGUOUS", F.size("candidates")).alias("candidates"))
 
 
-@query("rel22", f"""WITH g AS MATERIALIZED (SELECT *, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM {GRAPH} g), w AS (SELECT snapshot_id, path AS ref FROM files WHERE id % 10 = 1), u AS (SELECT w.ref, 'out' AS side, key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.source UNION ALL SELECT w.ref, 'in', key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.target)
-    SELECT ref, side, key, CASE WHEN state = 'AMBIGUOUS' THEN len(string_split(cands, ','))::INTEGER END AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, ref, side ORDER BY key) AS k FROM u) q WHERE k <= 3""")
+@query("rel22", f"""WITH g AS MATERIALIZED (SELECT *, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM {GRAPH} g), w AS (SELECT snapshot_id, path AS ref FROM files), u AS (SELECT w.ref, 'out' AS side, key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.source UNION ALL SELECT w.ref, 'in', key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.target)
+    SELECT ref, side, key, CASE WHEN state = 'AMBIGUOUS' THEN len(string_split(cands, ','))::INTEGER END AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, ref, side ORDER BY key) AS k FROM u) q WHERE k <= 100""")
 def rel22_relationships(t):
-    return relationships(_graph(t), t("files").where("id % 10 = 1").select("snapshot_id", F.col("path").alias("ref")), limit=3)
+    return relationships(_graph(t), t("files").select("snapshot_id", F.col("path").alias("ref")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -489,6 +658,24 @@ def rel23_degrees(t):
     return degrees(build(t))
 
 
+def degree_statistics(nodes: DataFrame) -> DataFrame:
+    """For each snapshot and direction over nodes that have edges in it: number, statistics, the node with most (the least name on ties)."""
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("n")) for side, c in (("out", "out_degree"), ("in", "in_degree"), ("called", "called"))))
+    each = nodes.select("snapshot_id", "ref", F.explode(sides).alias("e")).select("snapshot_id", "ref", "e.*").where("n > 0")
+    n = F.col("n")
+    return each.groupBy("snapshot_id", "side").agg(
+        F.count(n).alias("nodes"), F.min(n).alias("low"), F.median(n).alias("mid"), F.expr("percentile_disc(0.95) within group (order by n)").cast("long").alias("p95"), F.max(n).alias("high"), F.round(F.avg(n), 6).alias("mean"),
+        F.min_by("ref", F.struct(-n, "ref")).alias("hub"),
+    )
+
+
+@query("rel23_hubs", f"""WITH e AS (SELECT snapshot_id, source AS ref, 1 AS o, 0 AS i, 0 AS c FROM {GRAPH} g UNION ALL SELECT snapshot_id, target, 0, 1, CASE WHEN type = 'CALLS' THEN 1 ELSE 0 END FROM {GRAPH} g WHERE target IS NOT NULL), d AS (SELECT snapshot_id, ref, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i, sum(c)::BIGINT AS c FROM e GROUP BY 1, 2),
+    s AS (SELECT snapshot_id, ref, 'out' AS side, o AS n FROM d UNION ALL SELECT snapshot_id, ref, 'in', i FROM d UNION ALL SELECT snapshot_id, ref, 'called', c FROM d)
+    SELECT snapshot_id, side, count(*) AS nodes, min(n) AS low, median(n) AS mid, quantile_disc(n, 0.95) AS p95, max(n) AS high, round(avg(n), 6) AS mean, arg_min(ref, (-n, ref)) AS hub FROM s WHERE n > 0 GROUP BY 1, 2""")
+def rel23_hubs(t):
+    return degree_statistics(degrees(_graph(t)))
+
+
 from lithic.operators.snapshots import JOBS, job_states  # noqa: E402
 
 

@@ -19,13 +19,13 @@ def number_rows(rows: DataFrame, order: list[Column], out: str = "position", gro
     which there is one row a group and range. So no group is held by one task.
     """
     keys = group or []
-    ranged = save(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
-    same = F.col("_range") == F.col("_r")
+    ranged = save(rows.repartitionByRange(*keys, *order).withColumn("_nr_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*keys, "_nr_range").agg(F.count(F.lit(1)).alias("_nr_n"))
+    earlier = W.partitionBy(*keys).orderBy("_nr_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(k).alias(f"_nr_group_{k}") for k in keys), F.col("_nr_range").alias("_nr_of"), F.coalesce(F.sum("_nr_n").over(earlier), F.lit(0)).alias("_nr_before"))
+    own = F.row_number().over(W.partitionBy(*keys, "_nr_range").orderBy(*order))
+    same = F.col("_nr_range") == F.col("_nr_of")
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    numbered = ranged.withColumn("_own", own).join(offsets, same)
-    return numbered.withColumn(out, F.col("_before") + F.col("_own")).select(*rows.columns, out)
+        same &= F.col(k).eqNullSafe(F.col(f"_nr_group_{k}"))
+    numbered = ranged.withColumn("_nr_own", own).join(offsets, same)
+    return numbered.withColumn(out, F.col("_nr_before") + F.col("_nr_own")).select(*rows.columns, out)

@@ -24,9 +24,9 @@ def latest_completed(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("repository_id").agg(done, last).select("repository_id", F.col("done.id").alias("snapshot_id"), state.alias("state"))
 
 
-@query("rdm1", "WITH s AS (SELECT * FROM snapshots WHERE id % 211 < 3 AND NOT (repository_id % 3 = 0 AND status = 'completed')) SELECT repository_id, arg_max(id, (completed_at, id)) FILTER (WHERE status = 'completed') AS snapshot_id, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (created_at, id)) IN ('pending', 'in_progress') THEN 'snapshot_in_progress' ELSE 'no_snapshot' END AS state FROM s GROUP BY 1")
+@query("rdm1", "WITH s AS (SELECT * FROM snapshots) SELECT repository_id, arg_max(id, (completed_at, id)) FILTER (WHERE status = 'completed') AS snapshot_id, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (created_at, id)) IN ('pending', 'in_progress') THEN 'snapshot_in_progress' ELSE 'no_snapshot' END AS state FROM s GROUP BY 1")
 def rdm1_latest(t):
-    return latest_completed(t("snapshots").where("id % 211 < 3 and not (repository_id % 3 = 0 and status = 'completed')"))
+    return latest_completed(t("snapshots"))
 
 
 _LATEST = "(SELECT repository_id, arg_max(id, (completed_at, id)) FILTER (WHERE status = 'completed') AS snapshot_id, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (created_at, id)) IN ('pending', 'in_progress') THEN 'snapshot_in_progress' ELSE 'no_snapshot' END AS state FROM snapshots GROUP BY 1)"
@@ -61,12 +61,12 @@ def top_buckets(composed: DataFrame, most: int = BUCKETS) -> DataFrame:
     return kept.groupBy("snapshot_id", "key").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-_TOP = f"(SELECT snapshot_id, CASE WHEN k <= 4 THEN key ELSE 'other' END AS key, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY bytes DESC, files DESC, key) AS k FROM {_COMPOSED} c) q GROUP BY 1, 2)"
+_TOP = f"(SELECT snapshot_id, CASE WHEN k <= 8 THEN key ELSE 'other' END AS key, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY bytes DESC, files DESC, key) AS k FROM {_COMPOSED} c) q GROUP BY 1, 2)"
 
 
 @query("rdm3", f"SELECT * FROM {_TOP} x")
 def rdm3_top_buckets(t):
-    return top_buckets(composition(t("files"), t("extractions")), 4)
+    return top_buckets(composition(t("files"), t("extractions")))
 
 
 def overview(snapshots: DataFrame, files: DataFrame, directories: DataFrame, extractions: DataFrame, counts: DataFrame, most: int = BUCKETS) -> DataFrame:
@@ -82,12 +82,12 @@ def overview(snapshots: DataFrame, files: DataFrame, directories: DataFrame, ext
     return latest.select("repository_id", "snapshot_id", "state", "files", "bytes", "directories", "extracted", "symbols", "buckets")
 
 
-@query("rdm4", f"""WITH l AS (SELECT repository_id, arg_max(id, (completed_at, id)) FILTER (WHERE status = 'completed') AS snapshot_id, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (created_at, id)) IN ('pending', 'in_progress') THEN 'snapshot_in_progress' ELSE 'no_snapshot' END AS state FROM snapshots WHERE id < 40 GROUP BY 1)
+@query("rdm4", f"""WITH l AS (SELECT repository_id, arg_max(id, (completed_at, id)) FILTER (WHERE status = 'completed') AS snapshot_id, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (created_at, id)) IN ('pending', 'in_progress') THEN 'snapshot_in_progress' ELSE 'no_snapshot' END AS state FROM snapshots GROUP BY 1)
     SELECT repository_id, l.snapshot_id, state, files, bytes, directories, extracted, symbols, buckets FROM l LEFT JOIN (SELECT snapshot_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files GROUP BY 1) f USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, count(*) AS directories FROM directories GROUP BY 1) d USING (snapshot_id)
     LEFT JOIN (SELECT snapshot_id, extracted, symbols FROM {_EXTRACTED} x) e USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, string_agg(key, '|' ORDER BY bytes DESC, key) AS buckets FROM {_TOP} x GROUP BY 1) b USING (snapshot_id)""")
 def rdm4_overview(t):
     counts = t("text_lines").groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"))
-    return overview(t("snapshots").where("id < 40"), t("files"), t("directories"), t("extractions"), counts, 4)
+    return overview(t("snapshots"), t("files"), t("directories"), t("extractions"), counts)
 
 
 @query("rdm4_whole", f"""SELECT repository_id, l.snapshot_id, state, files, bytes, directories, extracted, symbols, buckets FROM {_LATEST} l LEFT JOIN (SELECT snapshot_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files GROUP BY 1) f USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, count(*) AS directories FROM directories GROUP BY 1) d USING (snapshot_id)
@@ -95,7 +95,7 @@ def rdm4_overview(t):
 def rdm4_whole(t):
     """``rdm4`` over all attempts."""
     counts = t("text_lines").groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"))
-    return overview(t("snapshots"), t("files"), t("directories"), t("extractions"), counts, 4)
+    return overview(t("snapshots"), t("files"), t("directories"), t("extractions"), counts)
 
 
 def child_directories(files: DataFrame, directory: str) -> DataFrame:
@@ -158,15 +158,15 @@ def rdm8_page(t):
     return level_page(level(t("files"), "en"), 2, 3)
 
 
-@query("rdm9", "SELECT file_id, name, start_line, k, n, n > 12 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines WHERE file_id % 5 = 0) q WHERE k <= 12")
+@query("rdm9", "SELECT file_id, name, start_line, k, n, n > 200 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines) q WHERE k <= 200")
 def rdm9_file_symbols(t):
-    return file_symbols(t("text_lines").where("file_id % 5 = 0"), 12).select("file_id", "name", "start_line", "k", "n", "truncated")
+    return file_symbols(t("text_lines")).select("file_id", "name", "start_line", "k", "n", "truncated")
 
 
-@query("rdm9_whole", "SELECT file_id, name, start_line, k, n, n > 12 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines) q WHERE k <= 12")
+@query("rdm9_whole", "SELECT file_id, name, start_line, k, n, n > 200 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines) q WHERE k <= 200")
 def rdm9_whole(t):
     """``rdm9`` over the lines of all files."""
-    return file_symbols(t("text_lines"), 12).select("file_id", "name", "start_line", "k", "n", "truncated")
+    return file_symbols(t("text_lines")).select("file_id", "name", "start_line", "k", "n", "truncated")
 
 
 def file_symbols(symbols: DataFrame, most: int = SYMBOLS) -> DataFrame:
@@ -230,7 +230,7 @@ def overflow(rows: DataFrame, most: int = NODES) -> DataFrame:
 
 
 _FLAT = "(SELECT snapshot_id, CASE WHEN id % 3 = 0 THEN 'directory' ELSE 'file' END AS kind, path AS name, size_bytes AS weight FROM files)"
-_KEPT = f"(SELECT *, count(*) FILTER (WHERE place > keep) OVER (PARTITION BY snapshot_id, kind) AS hidden FROM (SELECT *, CASE WHEN n <= 20 THEN n WHEN d > 18 AND n > d THEN 18 ELSE 19 END AS keep FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY kind, weight DESC, name) AS place, count(*) OVER (PARTITION BY snapshot_id) AS n, count(*) FILTER (WHERE kind = 'directory') OVER (PARTITION BY snapshot_id) AS d FROM {_FLAT} f) a) b)"
+_KEPT = f"(SELECT *, count(*) FILTER (WHERE place > keep) OVER (PARTITION BY snapshot_id, kind) AS hidden FROM (SELECT *, CASE WHEN n <= 60 THEN n WHEN d > 58 AND n > d THEN 58 ELSE 59 END AS keep FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY kind, weight DESC, name) AS place, count(*) OVER (PARTITION BY snapshot_id) AS n, count(*) FILTER (WHERE kind = 'directory') OVER (PARTITION BY snapshot_id) AS d FROM {_FLAT} f) a) b)"
 
 
 def _flat(t) -> DataFrame:
@@ -239,7 +239,7 @@ def _flat(t) -> DataFrame:
 
 @query("rdm13", f"SELECT snapshot_id, kind, name, place, hidden FROM {_KEPT} k WHERE place <= keep")
 def rdm13_overflow(t):
-    return overflow(_flat(t), 20).select("snapshot_id", "kind", "name", "place", "hidden")
+    return overflow(_flat(t)).select("snapshot_id", "kind", "name", "place", "hidden")
 
 
 def layout(shown: DataFrame, width: float = 800, height: float = 600) -> DataFrame:
@@ -264,4 +264,4 @@ def layout(shown: DataFrame, width: float = 800, height: float = 600) -> DataFra
     SELECT snapshot_id, kind, name, floor((400 + spacing * sqrt(place - 0.5) * cos((place - 1) * (pi() * (3 - sqrt(5))))) * 100 + 0.5) / 100 AS x, floor((300 + spacing * sqrt(place - 0.5) * sin((place - 1) * (pi() * (3 - sqrt(5))))) * 100 + 0.5) / 100 AS y,
     floor(CASE WHEN kind = 'file' THEN greatest(3.0, base * 0.75) ELSE base END * 100 + 0.5) / 100 AS r FROM b""")
 def rdm14_layout(t):
-    return layout(overflow(_flat(t), 20))
+    return layout(overflow(_flat(t)))

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithic.operators.code import scan_files
+from lithic.operators.ordering import number_rows
 from lithic.operators.snapshots import JOBS, job_states, keyset_page
 from lithic.registry import query
+from lithic.saved import drop_saved, save
 
 # ---- fixed values
 LANGUAGES = {"java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx"}
 SIZE_CEILING = 10 << 20
 VERSION = "1"
 UNIT = 50
+#: positions of a file that spans and facts meet in
+BIN = 64
 
 
 def language_of(path: Column) -> Column:
@@ -62,36 +67,14 @@ def sym3_gate(t):
     return gate(rows, 5000).select("id", "status", "failure_reason")
 
 
-# ---- fixed values: what declares a symbol on a line, by language family
-_DECLARATIONS = {
-    "java": [("class", r"\b(?:class|enum|record)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]*?\b(\w+)\s*\([^;{]*(?:\{.*)?$")],
-    "script": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("function", r"\bfunction\s*\*?\s+(\w+)"), ("function", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("module", r"\b(?:namespace|module)\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)(\w+)\s*\([^;]*\)\s*(?::\s*[\w<>\[\]| ]+)?\s*\{")],
-}
-
-
 def declarations(files: DataFrame) -> DataFrame:
-    """Declared symbols of files(file_id, language, text): kind, name and span in lines.
+    """Declared symbols of files(file_id, language, text): kind, name, span in lines and place in the line.
 
-    A declaration ends on the first later line that brings the braces back to
-    the depth before it; without braces it ends where it starts.
+    Every declaration counts, however many share a line. One ends at the line of
+    the brace that closes its body; without a body it ends where it starts.
     """
-    lines = files.where("language is not null").select("file_id", "language", F.posexplode(F.split("text", "\n")).alias("line", "code"))
-    # literals and line comments hold no braces that count
-    bare = F.regexp_replace(F.regexp_replace("code", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", ""), "//.*$", "")
-    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
-    order = W.partitionBy("file_id").orderBy("line")
-    depth = F.sum(count("{") - count("}")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    lines = lines.withColumns({"bare": bare, "opened": count("{"), "after": depth}).withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0)))
-    family = {"java": F.col("language") == "java", "script": F.col("language") != "java"}
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for name, rules in reversed(_DECLARATIONS.items()):
-        for kind, pattern in reversed(rules):
-            match = F.regexp_extract("bare", pattern, 1)
-            found = F.when(family[name] & (match != ""), F.struct(F.lit(kind).alias("kind"), match.alias("name"))).otherwise(found)
-    starts = lines.withColumn("d", found).where("d is not null").select("file_id", "d.*", F.col("line").alias("start_line"), "before", "opened", "after")
-    ends = lines.select(F.col("file_id").alias("f"), F.col("line").alias("end_line"), F.col("after").alias("level"))
-    closed = starts.join(ends, (F.col("file_id") == F.col("f")) & (F.col("end_line") >= F.col("start_line")) & (F.col("level") <= F.col("before")) & (F.col("opened") > 0), "left")
-    return closed.groupBy("file_id", "kind", "name", "start_line").agg(F.coalesce(F.min("end_line"), F.col("start_line")).alias("end_line"))
+    found = scan_files(files.where("language is not null"), ["file_id"]).where("what = 'symbol'")
+    return found.select("file_id", F.col("type").alias("kind"), "name", F.col("line").alias("start_line"), F.col("column").alias("start_column"), "end_line")
 
 
 @query("sym4", """WITH l AS (SELECT file_id, e.language, coalesce(nullif(name, ''), 'x') AS name, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines JOIN extractions e USING (file_id) WHERE e.language IS NOT NULL)
@@ -107,20 +90,26 @@ def sym4_declarations(t):
     return found.select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
+def in_bins(spans: DataFrame, start: str, end: str, width: int = BIN) -> DataFrame:
+    """spans once for each stretch of ``width`` positions that they touch, as column bin: what meets at a position shares its bin."""
+    return spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, end) / width))))
+
+
 def nest(symbols: DataFrame) -> DataFrame:
     """Parent and qualified name of symbols(file_id, symbol, name, start_at, end_at) by containment.
 
     The enclosing symbols of a symbol are those of its file that begin no later
-    and end no earlier; the nearest begins last.
+    and end no earlier; the nearest begins last. They meet in the stretch of the
+    file where the symbol begins, not in the whole file.
     """
-    outer = symbols.select("file_id", F.col("symbol").alias("o"), F.col("name").alias("o_name"), F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"))
+    outer = in_bins(symbols, "start_at", "end_at").select("file_id", "bin", F.col("symbol").alias("o"), F.col("name").alias("o_name"), F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"))
     wider = (F.col("o_start") < F.col("start_at")) & (F.col("o_end") >= F.col("end_at")) | (F.col("o_start") == F.col("start_at")) & (F.col("o_end") > F.col("end_at"))
-    pairs = symbols.join(outer, "file_id").where(wider)
-    around = pairs.groupBy("symbol").agg(
+    pairs = symbols.withColumn("bin", F.floor(F.col("start_at") / BIN)).join(outer, ["file_id", "bin"]).where(wider)
+    around = pairs.groupBy("file_id", "symbol").agg(
         F.max_by("o", F.struct("o_start", -F.col("o_end"), "o")).alias("parent"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_start", (-F.col("o_end")).alias("e"), "o", "o_name"))), lambda x: x["o_name"]), ".").alias("outer_names"),
     )
-    joined = symbols.join(around, "symbol", "left")
+    joined = symbols.join(around, ["file_id", "symbol"], "left")
     return joined.select("file_id", "symbol", "parent", F.when(F.col("outer_names").isNotNull(), F.concat_ws(".", "outer_names", "name")).alias("qualified_name"))
 
 
@@ -241,16 +230,16 @@ def sym15_finalize(t):
 
 
 def batch_units(files: DataFrame, size: int = UNIT) -> DataFrame:
-    """Work units of ``size`` files by id within a snapshot."""
-    unit = F.floor((F.row_number().over(W.partitionBy("snapshot_id").orderBy("id")) - 1) / size)
-    rows = files.select("snapshot_id", "id", unit.alias("unit"))
-    units = rows.groupBy("snapshot_id", "unit").agg(F.count(F.lit(1)).alias("files"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    return units.withColumn("next_cursor", F.when(F.lead("unit").over(W.partitionBy("snapshot_id").orderBy("unit")).isNotNull(), F.col("last_id")))
+    """Work units of ``size`` files by id within a snapshot; a snapshot of any size is numbered by ranges."""
+    numbered = number_rows(files.select("snapshot_id", "id"), [F.asc("id")], "k", ["snapshot_id"])
+    units = numbered.groupBy("snapshot_id", F.floor((F.col("k") - 1) / size).alias("unit")).agg(F.count(F.lit(1)).alias("files"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    last = units.groupBy("snapshot_id").agg(F.max("unit").alias("last"))
+    return units.join(last, "snapshot_id").select("snapshot_id", "unit", "files", "first_id", "last_id", F.when(F.col("unit") < F.col("last"), F.col("last_id")).alias("next_cursor"))
 
 
-@query("sym16", "WITH u AS (SELECT snapshot_id, id, (row_number() OVER (PARTITION BY snapshot_id ORDER BY id) - 1) // 7 AS unit FROM files), g AS (SELECT snapshot_id, unit, count(*) AS files, min(id) AS first_id, max(id) AS last_id FROM u GROUP BY 1, 2) SELECT *, CASE WHEN unit < max(unit) OVER (PARTITION BY snapshot_id) THEN last_id END AS next_cursor FROM g")
+@query("sym16", "WITH u AS (SELECT snapshot_id, id, (row_number() OVER (PARTITION BY snapshot_id ORDER BY id) - 1) // 50 AS unit FROM files), g AS (SELECT snapshot_id, unit, count(*) AS files, min(id) AS first_id, max(id) AS last_id FROM u GROUP BY 1, 2) SELECT *, CASE WHEN unit < max(unit) OVER (PARTITION BY snapshot_id) THEN last_id END AS next_cursor FROM g")
 def sym16_units(t):
-    return batch_units(t("files"), 7)
+    return batch_units(t("files"))
 
 
 @query("sym17", f"SELECT snapshot_id, unit_index, status, retry_count, files_processed AS files, bytes_processed AS symbols FROM {JOBS} WHERE status <> 'completed'")
@@ -258,27 +247,31 @@ def sym17_jobs(t):
     return job_states(t("job_events")).where("status <> 'completed'").select("snapshot_id", "unit_index", "status", "retry_count", F.col("files_processed").alias("files"), F.col("bytes_processed").alias("symbols"))
 
 
-def symbol_tree(nodes: DataFrame, levels: int = 100) -> DataFrame:
+def symbol_tree(nodes: DataFrame) -> DataFrame:
     """Root and depth of every node(node, parent); a missing or self parent makes a root.
 
-    Pointer jumping: the distance known of each node doubles in every round.
+    Pointer jumping: the distance known of each node doubles in every round, and
+    rounds go on until every node is at its root, so chains may be of any length.
+    Nodes on or below a circle of parents have no root: root and depth are null.
     """
-    parents = nodes.select(F.col("node").alias("known"))
+    parents = nodes.select(F.col("node").alias("known")).distinct()
     real = nodes.join(parents, nodes.parent == F.col("known"), "left")
     up = F.when(F.col("known").isNotNull() & (F.col("known") != F.col("node")), F.col("known"))
-    state = real.select("node", F.coalesce(up, F.col("node")).alias("at"), up.isNotNull().cast("long").alias("depth"))
-    step = 1
-    while step < levels:
-        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
-        state = state.join(ahead, "at").select("node", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
-        step *= 2
-    return state.select("node", F.col("at").alias("root"), "depth")
+    state = save(real.select("node", F.coalesce(up, F.col("node")).alias("at"), up.isNotNull().cast("long").alias("depth"), up.isNull().alias("settled")), "tree")
+    left = -1
+    while (now := state.where("not settled").count()) and now != left:
+        left = now
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"), F.col("settled").alias("done"))
+        moved = state.where("not settled").join(ahead, "at").select("node", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done").alias("settled"))
+        before, state = state, save(state.where("settled").unionByName(moved), "tree")
+        drop_saved(before)
+    return state.select("node", F.when(F.col("settled"), F.col("at")).alias("root"), F.when(F.col("settled"), F.col("depth")).alias("depth"))
 
 
 @query("sym18", "WITH RECURSIVE n AS (SELECT event_id AS node, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id - 1 END AS parent FROM events), tree AS (SELECT node, node AS root, 0::BIGINT AS depth FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n) UNION ALL SELECT n.node, tree.root, tree.depth + 1 FROM n JOIN tree ON n.parent = tree.node) SELECT * FROM tree")
 def sym18_tree(t):
     nodes = t("events").select(F.col("event_id").alias("node"), F.when(F.col("event_id") % 10 != 0, F.col("event_id") - 1).alias("parent"))
-    return symbol_tree(nodes, 16)
+    return symbol_tree(nodes)
 
 
 @query("sym19", "SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM extractions e WHERE e.file_id = f.id)")

@@ -28,36 +28,52 @@ def without_redelivery(events: DataFrame, keys: list[str], time: str, delay: str
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-_STATE = "done boolean, failures int, last string, last_id long, cursor_at long, reason string"
+_STATE = "done_id long, last_id long, last string, cursor_at long, failure_ids array<long>, reasons array<string>"
 _OUT = "snapshot_id long, unit_index long, status string, retry_count long, cursor_at long, failure_reason string"
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done, failures, last, last_id, cursor, reason = state.get if state.exists else (False, 0, None, -1, None, None)
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    for row in rows.itertuples(index=False):
-        if row.event_id <= last_id:
-            continue  # delivered again
-        last_id, cursor, last = int(row.event_id), int(row.cursor_at), row.event
-        if row.event == "completed":
-            done = True
-        elif row.event == "failure" and not done:
-            failures, reason = failures + 1, row.reason
-    state.update((done, failures, last, last_id, cursor, reason))
-    status = "completed" if done else "failed" if failures >= RETRIES else "retrying" if last == "failure" else "pending"
-    yield pd.DataFrame([[*key, status, min(failures, RETRIES), cursor, reason]], columns=["snapshot_id", "unit_index", "status", "retry_count", "cursor_at", "failure_reason"])
+    """State after the events so far, whatever the order they came in.
+
+    Held are the first completion, the newest event and the failures before the
+    first completion by id: a repeat changes none of them, a late event takes its
+    place among them.
+    """
+    done_id, last_id, last, cursor, ids, reasons = state.get if state.exists else (None, -1, None, None, [], [])
+    rows = pd.concat(list(batches))
+    completed = rows.loc[rows.event == "completed", "event_id"]
+    if len(completed):
+        done_id = min(int(completed.min()), done_id if done_id is not None else 1 << 62)
+    newest = rows.loc[rows.event_id.idxmax()] if rows.index.is_unique else rows.iloc[int(rows.event_id.to_numpy().argmax())]
+    if newest.event_id > last_id:
+        last_id, last, cursor = int(newest.event_id), newest.event, int(newest.cursor_at)
+    failed = rows[rows.event == "failure"]
+    failures = dict(zip(ids, reasons, strict=True)) | dict(zip(failed.event_id.astype(int).tolist(), failed.reason.tolist(), strict=True))
+    early = sorted(k for k in failures if done_id is None or k < done_id)
+    state.update((done_id, last_id, last, cursor, early, [failures[k] for k in early]))
+    status = "completed" if done_id is not None else "failed" if len(early) >= RETRIES else "retrying" if last == "failure" else "pending"
+    yield pd.DataFrame([[*key, status, min(len(early), RETRIES), cursor, failures[early[-1]] if early else None]], columns=["snapshot_id", "unit_index", "status", "retry_count", "cursor_at", "failure_reason"])
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """The state of each unit as its events come in order: completed sticks, repeats are dropped."""
+    """The state of each unit as its events come: completed sticks, repeats change nothing, late events count in their place.
+
+    A unit's state holds one entry for each failure before its first completion.
+    """
     return events.groupBy(*UNIT).applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def replay_safe_sink(keys: list[str], path: str, spark_dir_name: str = "batch"):
-    """A ``foreachBatch`` writer: each micro-batch owns a partition that a replay overwrites."""
+    """A ``foreachBatch`` writer: each micro-batch owns a partition that a replay overwrites with the same rows.
+
+    Of several rows with one key the greatest stays, so a replay that comes in
+    another order writes what was written before.
+    """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        once = rows.dropDuplicates(keys).withColumn(spark_dir_name, F.lit(batch_id))
+        rest = [c for c in rows.columns if c not in keys]
+        once = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(rows.columns) if rest else rows.distinct()
+        once = once.withColumn(spark_dir_name, F.lit(batch_id))
         once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(spark_dir_name).parquet(path)
 
     return write
