@@ -9,9 +9,16 @@
 3. Every band of a signature links a class to the least class in its bucket.
    The components of these links are candidate clusters. They hold every pair
    that shares a bucket, so nothing is lost by linking to one member alone.
-4. Inside a cluster all pairs are counted exactly on the full sets, block by
-   block (``BLOCK`` classes against ``BLOCK``), so that a cluster of any size
-   is spread over many tasks. The true links' components are the result.
+   Links of dissimilar texts can chain into large clusters: classes in clusters
+   of more than ``BLOCK`` get bands of twice as many rows from further
+   coordinates, which hardly ever join texts below the threshold, and the
+   clusters are formed again from those.
+4. Inside a cluster pairs are counted exactly on the full sets, in blocks of
+   about ``BLOCK`` classes, so that a cluster of any size is spread over many
+   tasks. First every block is compared within itself and with the cluster's
+   least class. Classes that are linked by then need no more comparing among
+   themselves: only those outside the largest linked part of their cluster meet
+   all blocks, block against block. The true links' components are the result.
 
 Defined results: a null or empty text and a text without words have no
 shingles and no link; a row without doc_id has no link (component null, kept
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import modest_batches, save, table
+from lithic.llm.common import drop_saved, modest_batches, save, table
 from lithic.llm.components import connected_components
 
 BLOCK = 128
@@ -62,13 +69,13 @@ def shingle_sets(piece: T.Slice, hasher: T.WordHasher, n: int) -> tuple[np.ndarr
     return np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), offsets
 
 
-def signatures(shingles: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
-    """Circulant MinHash of non-empty sets: (rows, coordinates)."""
+def signatures(shingles: np.ndarray, offsets: np.ndarray, coordinates: int, first: int = 0) -> np.ndarray:
+    """Circulant MinHash of non-empty sets: (rows, coordinates), those from ``first`` on."""
     out = np.empty((len(offsets) - 1, coordinates), dtype=np.uint32)
     place = (T.mix(shingles) >> _U(32)).astype(np.uint32)  # sigma
     a, b = np.empty_like(place), np.empty_like(place)
     for k in range(coordinates):
-        np.add(place, np.uint32(k), out=a)  # the ring turned by k
+        np.add(place, np.uint32(first + k), out=a)  # the ring turned by k
         np.right_shift(a, np.uint32(16), out=b)  # pi: a bijection on the ring
         a ^= b
         a *= np.uint32(0x7FEB352D)
@@ -81,6 +88,18 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray, coordinates: int) -> n
     return out
 
 
+def _band_keys(shingles: np.ndarray, at: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
+    """A key for each band of each non-empty set: (sets, bands)."""
+    sig = signatures(shingles, at, bands * rows, first).astype(np.uint64)
+    keys = np.zeros((len(sig), bands), dtype=np.uint64)
+    for j in range(bands):
+        key = np.full(len(sig), first + j + 1, dtype=np.uint64)
+        for k in range(j * rows, (j + 1) * rows):
+            key = T.mix(key * _U(0x9E3779B97F4A7C15) + sig[:, k])
+        keys[:, j] = key
+    return keys
+
+
 def _profile_batches(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.WordHasher(3, fold_case=True)
@@ -96,12 +115,7 @@ def _profile_batches(n: int, bands: int, rows: int):
                     at = np.append(offsets[full], offsets[-1])
                     for lane, salt in enumerate((0x51ED270B, 0xB5297A4D)):
                         digest[lane, full] = np.add.reduceat(T.mix(shingles ^ _U(salt)), at[:-1])
-                    sig = signatures(shingles, at, bands * rows).astype(np.uint64)
-                    for j in range(bands):
-                        key = np.full(len(full), j + 1, dtype=np.uint64)
-                        for k in range(j * rows, (j + 1) * rows):
-                            key = T.mix(key * _U(0x9E3779B97F4A7C15) + sig[:, k])
-                        keys[:, j] = key
+                    keys = _band_keys(shingles, at, bands, rows)
                 count = np.zeros(piece.rows + 1, dtype=np.int32)
                 count[1:] = np.cumsum(np.where(sizes > 0, bands, 0))
                 yield pa.record_batch(
@@ -118,6 +132,23 @@ def _profile_batches(n: int, bands: int, rows: int):
     return run
 
 
+def _finer_batches(n: int, bands: int, rows: int, first: int):
+    """Keys of further bands, for texts that have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = T.WordHasher(3, fold_case=True)
+        for batch in batches:
+            for piece in T.slices(batch.column(1)):
+                shingles, offsets = shingle_sets(piece, hasher, n)
+                full = np.flatnonzero(np.diff(offsets))
+                if len(full):
+                    keys = _band_keys(shingles, np.append(offsets[full], offsets[-1]), bands, rows, first)
+                    cuts = pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands)
+                    yield pa.record_batch([batch.column(0).take(pa.array(full + piece.first)), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel().view(np.int64)))], names=["node", "bands"])
+
+    return run
+
+
 def _set_batches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.WordHasher(3, fold_case=True)
@@ -180,6 +211,59 @@ def _verify(percent: int):
     return run
 
 
+def _bucket_clusters(buckets: DataFrame) -> DataFrame:
+    """(node, component) of the classes(class_id, key) that share keys, the least class of each component left out."""
+    hubs = save(buckets.groupBy("key").agg(F.min("class_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
+    found = connected_components(buckets.join(hubs, "key").select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
+    drop_saved(hubs)
+    return found
+
+
+def _sizes(clusters: DataFrame) -> DataFrame:
+    return save(clusters.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("members")), "sizes")
+
+
+def _members(clusters: DataFrame, some: DataFrame) -> DataFrame:
+    """(node, component) of all classes in some clusters, the least ones included."""
+    own = clusters.join(some.select("component"), "component", "left_semi").select("node", "component")
+    return own.unionByName(some.select(F.col("component").alias("node"), "component"))
+
+
+def _first_links(sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links inside each block and to the least class of the cluster."""
+    least = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    spread = max(1, total // 512)  # clusters of one block share tasks
+    block = F.explode(least).alias("block")
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(spread))).otherwise(F.xxhash64("cluster", "block"))
+    tasks = sets.select("node", "cluster", "shingles", "blocks", block).select("node", "cluster", "shingles", key.alias("task"))
+    return tasks.groupBy("task").applyInArrow(_verify(percent), "a long, b long")
+
+
+def _rest_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
+    """Links between blocks that the first ones leave open; None where all clusters are of one block.
+
+    Of two classes in the largest linked part of a cluster nothing is open; all
+    others meet every block of it.
+    """
+    several = sets.where("blocks > 1").select("node", "cluster", "blocks", "own")
+    if several.isEmpty():
+        return None
+    known = connected_components(links)
+    placed = save(several.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "placed")
+    parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+    best = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("best"), (F.sum("n") - F.max("n")).alias("outside"))
+    best = save(best.where("outside > 0").withColumn("groups", F.ceil(F.col("outside") / BLOCK).cast("int")), "best")
+    open_ = placed.join(best, "cluster").withColumn("group", F.when(F.col("part") != F.col("best"), F.pmod(F.xxhash64("node", F.lit("group")), F.col("groups")).cast("int")))
+    every = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.col("own").alias("block"), g.alias("group")))
+    out = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("group")))
+    tasks = F.when(F.col("group").isNull(), every).otherwise(F.array_distinct(F.concat(every, out)))
+    spread = open_.select("node", F.explode(tasks).alias("t"))
+    sent = sets.select("node", "cluster", "shingles").join(spread, "node").select("node", "cluster", "shingles", F.xxhash64("cluster", "t.block", "t.group").alias("task"))
+    found = save(sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
+    drop_saved(placed, best)
+    return found
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for every row of docs(doc_id, text).
 
@@ -192,25 +276,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int =
     some = profiles.where("n_shingles > 0 and doc_id is not null")
     classes = save(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
 
-    buckets = classes.select("class_id", F.explode("bands").alias("key"))
-    hubs = save(buckets.groupBy("key").agg(F.min("class_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
-    candidates = buckets.join(hubs, "key").select(F.col("class_id").alias("a"), F.col("hub").alias("b"))
-    clusters = connected_components(candidates)
-
-    sizes = clusters.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("members"))
-    sizes = save(sizes, "sizes")
-    total = sizes.agg(F.sum("members")).first()[0] or 0
-    members = clusters.unionByName(sizes.select(F.col("component").alias("node"), "component"))
+    clusters = save(_bucket_clusters(classes.select("class_id", F.explode("bands").alias("key"))), "clusters")
+    sizes = _sizes(clusters)
+    large = sizes.where(F.col("members") > BLOCK)
+    if not large.isEmpty():
+        finer = bands_for(percent, 2 * rows)
+        own = _members(clusters, large).select("node")
+        keys = docs.join(own, docs.doc_id == own.node).select("node", "text").mapInArrow(_finer_batches(n, finer, 2 * rows, bands * rows), "node long, bands array<long>")
+        again = _bucket_clusters(keys.select(F.col("node").alias("class_id"), F.explode("bands").alias("key")))
+        clusters = save(clusters.join(large.select("component"), "component", "left_anti").select("node", "component").unionByName(again), "clusters")
+        sizes = _sizes(clusters)
+    members = _members(clusters, sizes)
     # one row a document where rows repeat an id; only the cluster members' texts are read on
     texts = docs.join(members, docs.doc_id == members.node).select("node", F.col("component").alias("cluster"), "text")
-    sets = texts.mapInArrow(_set_batches(n), "node long, cluster long, shingles binary").join(sizes, F.col("cluster") == sizes.component)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = sets.select("node", "cluster", "shingles", blocks.alias("blocks"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = max(1, total // 512)
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(spread))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    links = pairs.select("node", "cluster", "shingles", key.alias("task")).groupBy("task").applyInArrow(_verify(percent), "a long, b long")
-    components = connected_components(links)
+    sets = texts.mapInArrow(_set_batches(n), "node long, cluster long, shingles binary").join(sizes, F.col("cluster") == sizes.component)
+    sets = save(sets.select("node", "cluster", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")), "sets")
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    links = save(_first_links(sets, percent, total), "links")
+    rest = _rest_links(sets, links, percent)
+    components = connected_components(links if rest is None else links.unionByName(rest))
+    drop_saved(clusters, sets)
 
     to_class = profiles.join(classes.select("c1", "c2", "class_id"), ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     found = to_class.join(components, F.col("class_id") == components.node, "left")
@@ -230,7 +316,20 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that have a smaller id in their group."""
-    found = near_duplicates(docs, n, percent)
-    gone = save(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicate rows, with all its columns.
+
+    Rows are linked by their texts alone: each gets a number of its own, so rows
+    that repeat an id or have none are rows like others, and a row is never
+    dropped for what another row with its id says. Of a group the row with the
+    least id stays, rows without an id last. Rows without words are all kept.
+    """
+    keyed = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), n, percent)
+    ids = keyed.select(F.col("_row").alias("_own"), F.col("doc_id").cast("long").alias("_id"))
+    linked = found.where("doc_id <> component_id").select("doc_id", "component_id")
+    linked = save(linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct()), "linked")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_own").alias("row"))
+    first = linked.join(ids, F.col("doc_id") == F.col("_own")).groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.row").alias("doc_id"))
+    gone = save(linked.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("_row")), "dropped")
+    drop_saved(linked)
+    return keyed.join(gone, "_row", "left_anti").select(docs.columns)

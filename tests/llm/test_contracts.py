@@ -194,10 +194,41 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == root
 
 
-def test_drop_near_duplicates_keeps_one(docs, rows):
-    _, root = plain_components(rows, 5, 80)
-    kept = near_dedup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None} | {k for k, v in root.items() if k == v}
+def test_a_chain_of_dissimilar_texts(spark, monkeypatch):
+    """Texts that share half of their shingles with the next ones fall apart again and are not all compared with all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rnd = random.Random(6)
+    stream = [f"w{rnd.randrange(10**6)}" for _ in range(24_000)]
+    rows = [(k, " ".join(stream[k * 40 : k * 40 + 120])) for k in range(500)]  # similarity 0.5 to the next
+    for k in range(0, 500, 50):  # with true copies among them
+        own = rows[k][1].split()
+        own[5] = "x"
+        rows.append((1000 + k, " ".join(own)))
+    rows += [(2000 + k, " ".join([*stream[: 100 + k], f"n{k}", *stream[100 + k : 300]])) for k in range(40)]  # and one dense group
+    _, root = plain_components(rows, 3, 85)
+    seen, verify = [], near_dedup._first_links
+    monkeypatch.setattr(near_dedup, "_first_links", lambda sets, *more: seen.append({r.cluster: r["count"] for r in sets.groupBy("cluster").count().collect()}) or verify(sets, *more))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 6).collect()
+    assert {r.doc_id: r.component_id for r in found} == root
+    assert max(n for cluster, n in seen[0].items() if cluster < 2000) < 40  # not one of 500
+    assert max(seen[0].values()) >= 40
+
+
+def test_drop_near_duplicates_keeps_one_row(spark, docs, rows):
+    """One row of each group: repeated rows, null ids and ids with several texts included."""
+    more = [*rows, (7, rows[9][1], None, None, None, None, None, "other text"), (None, rows[30][1], None, None, None, None, None, None)]
+    numbered = [(k, *r[1:]) for k, r in enumerate(sorted(more, key=lambda r: (r[0] is None, r[0] or 0)))]
+    sets, root = plain_components(numbered, 5, 80)
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(more, SCHEMA).repartition(3))
+    assert kept.columns == docs.columns
+    order = sorted(more, key=lambda r: (r[0] is None, r[0] or 0))
+    groups = {root[k] for k in sets if sets[k]}
+    wordless = [order[k] for k in sets if not sets[k]]
+    found = kept.collect()
+    assert len(found) == len(groups) + len(wordless)
+    # the least id of each group stays
+    least = collections.Counter(order[g][0] for g in groups) + collections.Counter(r[0] for r in wordless)
+    assert collections.Counter(r.doc_id for r in found) == least
 
 
 # ---------------------------------------------------------------- 4 pages
