@@ -12,9 +12,10 @@
 3. The rows are grouped exactly on 96-bit fingerprints of the whole windows.
    Confirmed places come together by document and are cut from the texts.
 
-The sketch has about one cell for eight bytes of text, at most ``MAX_CELLS`` in
-a row: a broadcast of at most 128 MB. Beyond that it estimates more windows as
-repeated, which costs a larger exact pass and loses nothing.
+The sketch has about one cell for eight bytes of text, however large the corpus.
+Up to ``MAX_CELLS`` cells a row its bits are broadcast, at most 128 MB. A larger
+one stays where it was merged, dealt out by cells: tasks send it the anchors
+that they hold in one document alone, and the answers come back by document.
 
 Defined results: a null or empty text has no words and keeps the empty text;
 a text shorter than a window is kept whole; rows repeated with the same id and
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import modest_batches, table, text_bytes
+from lithic.llm.common import modest_batches, save, table, text_bytes
 
 ANCHOR = 18
 ROWS = 2
@@ -67,30 +68,34 @@ class _Windows:
 
     def places(self) -> np.ndarray:
         """The anchor of each place that is the anchor of some whole window."""
+        return self.grams[self.place_at()]
+
+    def place_at(self) -> np.ndarray:
+        """Words at which the anchor of some whole window starts."""
         if not len(self.whole):
-            return self.anchors
+            return np.zeros(0, dtype=np.int64)
         low = np.where(self.whole, self.anchors, _U(0))
         pad = np.zeros(self.span - 1, dtype=np.uint64)
         most = _sliding(np.maximum, np.concatenate([pad, low, pad]), self.span)
-        return self.grams[(most == self.grams) & (most > 0)]
+        return np.flatnonzero((most == self.grams) & (most > 0))
 
 
 def _cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
     return T.mix(anchors ^ _U(0x5851F42D4C957F2D + row)) & _U(width - 1)
 
 
-def _sketch_batches(window: int, anchor: int, width: int):
-    block = min(width, BLOCK_CELLS)
+def _sketch_batches(window: int, anchor: int, width: int, rows: int):
+    block = block_cells(width)
     blocks = width // block
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
         anchors = np.concatenate(held)
         keys, once, more = [], [], []
-        for row in range(ROWS):
+        for row in range(rows):
             cells, counts = np.unique(_cells(anchors, row, width), return_counts=True)
-            cut = np.searchsorted(cells, np.arange(blocks + 1, dtype=np.uint64) * _U(block))
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                own, n = (cells[cut[b] : cut[b + 1]] % _U(block)).astype(np.uint32), counts[cut[b] : cut[b + 1]]
+            parts, first = np.unique(cells // _U(block), return_index=True)
+            for b, lo, hi in zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(cells)], strict=True):
+                own, n = (cells[lo:hi] % _U(block)).astype(np.uint32), counts[lo:hi]
                 keys.append(row * blocks + b)
                 once.append(own[n == 1].tobytes())
                 more.append(own[n > 1].tobytes())
@@ -128,17 +133,111 @@ def _merge_block(block: int):
     return run
 
 
-def merged_sketch(docs: DataFrame, window: int, anchor: int, width: int) -> list[np.ndarray]:
-    """For each sketch row a bitmap of the cells that hold two places or more (ROWS * width bits)."""
-    block = min(width, BLOCK_CELLS)
-    rows = docs.select("text").mapInArrow(_sketch_batches(window, anchor, width), "block int, once binary, more binary")
-    merged = rows.groupBy("block").applyInArrow(_merge_block(block), "block int, bits binary")
+def block_cells(width: int) -> int:
+    """Cells of one part of a sketch row."""
+    return min(width, max(BLOCK_CELLS, width >> 16))
+
+
+def merged_sketch(docs: DataFrame, window: int, anchor: int, width: int, rows: int = ROWS) -> DataFrame:
+    """Parts of the sketch, rows of (block, bits): which cells hold two places or more."""
+    parts = docs.select("text").mapInArrow(_sketch_batches(window, anchor, width, rows), "block int, once binary, more binary")
+    return parts.groupBy("block").applyInArrow(_merge_block(block_cells(width)), "block int, bits binary")
+
+
+def collected_sketch(merged: DataFrame, width: int) -> list[np.ndarray]:
+    """A bitmap for each row of a sketch of at most MAX_CELLS cells a row."""
+    block = block_cells(width)
     bits = np.zeros((ROWS * (width // block), block // 8), dtype=np.uint8)
     for row in merged.collect():
         bits[row.block] = np.frombuffer(row.bits, dtype=np.uint8)
     return [half.reshape(-1) for half in np.split(bits, ROWS)]
 
 
+def _ask_batches(window: int, anchor: int, width: int):
+    """Anchors of documents by part of the sketch; block -1 for those that repeat in what a task holds."""
+    block = block_cells(width)
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        anchors, k1, k2 = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((k2, k1, anchors))
+        anchors, k1, k2 = anchors[order], k1[order], k2[order]
+        same = anchors[1:] == anchors[:-1]
+        again = np.append(same, False) | np.append(False, same)
+        part = np.where(again, -1, (_cells(anchors, 0, width) // _U(block)).astype(np.int64))
+        order = np.lexsort((k2, k1, part))
+        part, anchors, k1, k2 = part[order], anchors[order], k1[order], k2[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        columns: list[list] = [[], [], [], []]
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
+            first, n = _runs(k1[a:b], k2[a:b])
+            for column, x in zip(columns, (k1[a:b][first], k2[a:b][first], n.astype(np.int32), anchors[a:b]), strict=True):
+                column.append(x.tobytes())
+        return pa.record_batch([pa.array(part[cut], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "k1", "k2", "n", "anchors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = T.WordHasher(10)
+        held, size = [], 0
+        for batch in batches:
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            for piece in T.slices(batch.column(2)):
+                w = _Windows(piece, hasher, window, anchor)
+                own = w.places()  # each place once, so what repeats inside a document repeats here too
+                if not len(own):
+                    continue
+                row = np.searchsorted(w.ranges, w.place_at(), side="right") - 1
+                held.append((own, keys[0][piece.first + row], keys[1][piece.first + row]))
+                size += len(own)
+                if size >= HOLD:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
+
+def _anchor_rows(k1: np.ndarray, k2: np.ndarray, anchors: np.ndarray) -> pa.Table:
+    order = np.lexsort((k2, k1))
+    k1, k2, anchors = k1[order], k2[order], anchors[order]
+    first, n = _runs(k1, k2)
+    return pa.table({"k1": k1[first], "k2": k2[first], "anchors": pa.array([anchors[a : a + m].tobytes() for a, m in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())})
+
+
+def _asked(rows: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    got = [np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=kind) for c, kind in (("k1", np.int64), ("k2", np.int64), ("n", np.int32), ("anchors", np.uint64))]
+    return [np.repeat(got[0], got[2]), np.repeat(got[1], got[2]), got[3]]
+
+
+def _answer(width: int):
+    block = block_cells(width)
+
+    def run(asks: pa.Table, bits: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return _anchor_rows(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64)))
+        k1, k2, anchors = _asked(asks)
+        cell = _cells(anchors, 0, width) % _U(block)
+        held = np.frombuffer(bits.column("bits")[0].as_py(), dtype=np.uint8)
+        yes = (held[(cell >> _U(3)).astype(np.int64)] >> (cell & _U(7)).astype(np.uint8)) & 1 == 1
+        return _anchor_rows(k1[yes], k2[yes], anchors[yes])
+
+    return run
+
+
+def _known_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _anchor_rows(*_asked(batch)).to_batches()
+
+
+def repeated_anchors(keyed: DataFrame, window: int, anchor: int, width: int) -> DataFrame:
+    """(k1, k2, anchors): for each document the anchors that a sketch of any size estimates at two or more."""
+    bits = merged_sketch(keyed, window, anchor, width, 1)
+    rows = save(keyed.select("k1", "k2", "text").mapInArrow(_ask_batches(window, anchor, width), "block int, k1 binary, k2 binary, n binary, anchors binary"), "asks")
+    out = "k1 long, k2 long, anchors binary"
+    known = rows.where("block < 0").mapInArrow(_known_batches, out)
+    told = rows.where("block >= 0").groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_answer(width), out)
+    return known.unionByName(told).groupBy("k1", "k2").agg(F.collect_list("anchors").alias("anchors"))
+
+
 _PLACES = "bucket int, send boolean, h binary, lane binary, k1 binary, k2 binary, n binary, pos binary"
 
 
@@ -187,19 +286,27 @@ def _place_batches(window: int, anchor: int, width: int, buckets: int, sketch):
         schema = pa.schema([("bucket", pa.int32()), ("send", pa.bool_()), *((x, pa.binary()) for x in ("h", "lane", "k1", "k2", "n", "pos"))])
         return pa.record_batch([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
+    def estimated(w: _Windows, batch: pa.RecordBatch, first: int) -> np.ndarray:
+        """Which windows of a slice are estimated at two or more."""
+        hope = w.whole.copy()
+        if sketch is None:  # answers came with the documents
+            for row, (a, b) in enumerate(zip(w.ranges[:-1].tolist(), np.minimum(w.ranges[1:], len(hope)).tolist(), strict=True)):
+                if a < b:
+                    hope[a:b] &= np.isin(w.anchors[a:b], np.frombuffer(b"".join(batch.column(3)[first + row].as_py()), dtype=np.uint64))
+            return hope
+        for row, bits in enumerate(sketch.value):
+            cell = _cells(w.anchors, row, width)
+            hope &= (bits[(cell >> _U(3)).astype(np.int64)] >> (cell & _U(7)).astype(np.uint8)) & 1 == 1
+        return hope
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.WordHasher(10)
-        bits = sketch.value
         held, size = [], 0
         for batch in batches:
             keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
             for piece in T.slices(batch.column(2)):
                 w = _Windows(piece, hasher, window, anchor)
-                hope = w.whole.copy()
-                for row in range(ROWS):
-                    cell = _cells(w.anchors, row, width)
-                    hope &= (bits[row][(cell >> _U(3)).astype(np.int64)] >> (cell & _U(7)).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(hope)
+                at = np.flatnonzero(estimated(w, batch, piece.first))
                 if len(at):
                     owner = np.searchsorted(w.ranges, at, side="right") - 1
                     pos = (at - w.ranges[owner]).astype(np.int32)
@@ -294,12 +401,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_bytes(docs)
     width = 1 << 16
-    while width * 8 < size and width < MAX_CELLS:
+    while width * 8 < size:
         width *= 2
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, anchor, width))
     buckets = max(8, size // (6 * (HOLD // 2)))
     keyed = docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("doc_id", "text")})
-    places = keyed.select("k1", "k2", "text").mapInArrow(_place_batches(window, anchor, width, buckets, sketch), _PLACES)
+    if width <= MAX_CELLS:
+        sketch = spark.sparkContext.broadcast(collected_sketch(merged_sketch(docs, window, anchor, width), width))
+        sent = keyed.select("k1", "k2", "text")
+    else:
+        sketch = None
+        sent = keyed.join(repeated_anchors(keyed, window, anchor, width), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
+    places = sent.mapInArrow(_place_batches(window, anchor, width, buckets, sketch), _PLACES)
     repeated = places.groupBy("bucket").applyInArrow(_exact(buckets), _MARKS)
     marks = repeated.groupBy("bucket").applyInArrow(_by_document, "k1 long, k2 long, starts binary")
     return keyed.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "starts").mapInArrow(_cut_batches(window), "doc_id long, n_words long, n_removed long, kept_text string")

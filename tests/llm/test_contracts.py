@@ -446,9 +446,12 @@ def test_token_counts(docs, rows, nothing):
 # ---------------------------------------------------------------- 10 passages
 
 
-@pytest.mark.parametrize("window", [35, 20, 1])
-def test_repeated_windows(docs, rows, nothing, window, monkeypatch):
+@pytest.mark.parametrize(("window", "cells"), [(35, 1 << 29), (20, 1 << 29), (1, 1 << 29), (35, 1), (20, 1)])
+def test_repeated_windows(docs, rows, nothing, window, cells, monkeypatch):
+    """With the sketch broadcast, and with one that is too large for that."""
     monkeypatch.setattr(substring_dedup, "HOLD", 3000)
+    monkeypatch.setattr(substring_dedup, "MAX_CELLS", cells)
+    monkeypatch.setattr(substring_dedup, "BLOCK_CELLS", 1 << (20 if cells > 1 else 12))
     count = collections.Counter(tuple(w[k : k + window]) for w in (words(r[1]) for r in rows) for k in range(len(w) - window + 1))
     expected = []
     for r in rows:
