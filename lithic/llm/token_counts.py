@@ -9,6 +9,8 @@ pair they were pushed for. Counts of short pre-tokens are remembered in a table
 of bounded size.
 
 The vocabulary is a file of known size that is read on the driver and broadcast.
+A file with a normalizer, another pre-tokenizer, merges that are ignored or added
+tokens that take in blanks is refused with an error.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are
 independent, so repeated rows and null ids need no rule; extra columns are
@@ -50,6 +52,7 @@ class Vocabulary:
 
     def __init__(self, content: bytes) -> None:
         spec = json.loads(content)
+        self._check(spec)
         symbol = _byte_symbols()
         number = {bytes([b]): b for b in range(256)}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -61,6 +64,21 @@ class Vocabulary:
         self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
 
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Only plain byte-level files are counted right; any other is refused."""
+        cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        wrong = [
+            *(f"pre_tokenizer.{k}" for k, v in plain.items() if cut.get(k, v if k == "use_regex" else None) != v),
+            *(k for k in ("normalizer", "post_processor", "truncation", "padding") if spec.get(k)),
+            *(f"model.{k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)),
+            *(f"added_tokens.{k}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)),
+        ]
+        if model.get("type", "BPE") != "BPE" or wrong:
+            raise ValueError(f"not a plain byte-level BPE vocabulary: {', '.join(wrong) or model.get('type')}")
+
+
 def count_merged(raw: bytes, merges: dict[tuple[int, int], tuple[int, int]]) -> int:
     """Symbols left of ``raw`` when no pair can be merged any more."""
     n = len(raw)

@@ -70,9 +70,10 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """value and place (file, block, id) of everything between two magics."""
+    """value, place (file, block, id) and key of everything between two magics; only the key is the same in every scan."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    key = F.struct(F.xxhash64("value"), F.crc32(F.col("value")), F.octet_length("value"))
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), key.alias("key"))
 
 
 def _field(name: str) -> Column:
@@ -131,8 +132,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     marked = save(marked.withColumn("owner", owner), "marked")
     records = marked.where("record")
     cut = records.where("payload_digest is null").select("file", F.col("at").alias("owner"), F.col("head").alias("head_"), F.col("length").alias("length_"))
-    parts = marked.join(cut, ["file", "owner"]).select("file", "block", "id", "owner", "head_", "length_")
-    parts = pieces.join(F.broadcast(parts) if parts.isEmpty() else parts, ["file", "block", "id"])
+    parts = save(marked.join(cut, ["file", "owner"]).select("file", "block", "id", "owner", "head_", "length_", "key"), "parts")
+    # a second scan may cut the files into other stretches, so texts are found again by what they are
+    texts = pieces.select("file", "key", "value").join(parts.select("file", "key").distinct(), ["file", "key"], "left_semi").groupBy("file", "key").agg(F.first("value").alias("value"))
+    parts = parts.join(texts, ["file", "key"])
     joined = parts.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "value"))), lambda p: p["value"]), MAGIC).alias("whole"), F.first("head_").alias("head"), F.first("length_").alias("length"))
     columns = ["head", "payload_bytes", "payload_digest"]
     every = records.where("payload_digest is not null").select(columns).unionByName(_digested(joined).select(columns))

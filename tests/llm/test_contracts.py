@@ -277,8 +277,9 @@ def test_archive_round_trip(spark, split):
         expected.append((page_id, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", lead if again else None))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    clash = "page_id long, url string, html string, digest string, bytes int, first string, value string"
     try:
-        for frame, result in ((spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), expected), (spark.createDataFrame([], "page_id long, url string, html string"), [])):
+        for frame, result in ((spark.createDataFrame([(*p, "x", 1, "y", "z") for p in pages], clash).repartition(2), expected), (spark.createDataFrame([], "page_id long, url string, html string"), [])):
             path = new_path(spark, "warc")
             warc.write_archives(frame, path)
             same([tuple(r) for r in warc.read_archives(spark, path).drop("url").collect()], result)
@@ -443,6 +444,16 @@ def test_token_counts(docs, rows, nothing):
     assert [counter.count(t) for t in texts] == [count(t) for t in texts]
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    public = pytest.importorskip("public_tokenizers")
+    spec = json.load(open(public.path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [{"content": "<x>", "lstrip": True}]}):
+        with pytest.raises(ValueError, match="byte-level"):
+            token_counts.Vocabulary(json.dumps(spec | change).encode())
+
+
 # ---------------------------------------------------------------- 10 passages
 
 

@@ -1,7 +1,7 @@
 """The corpus pipeline keeps its columns and lets each stage's decisions take effect."""
 
 import corpus_pipeline
-from lithic.llm import decontaminate, near_dedup
+from lithic.llm import decontaminate, mixing, near_dedup, quality
 from lithic.llm.common import save, table
 
 
@@ -13,12 +13,19 @@ def test_stages(spark, small):
         assert docs.columns == columns
         seen[name] = (before, docs)
     assert all(after.count() for _, after in seen.values())
+    before, after = seen["quality rules"]
+    verdicts = {r.doc_id: r.kept for r in quality.quality_rules(before, table(spark, small, "labels")).collect()}
+    assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in before.select("doc_id").collect() if verdicts[r.doc_id])
     before, after = seen["near-duplicates"]
     kept = {r.doc_id for r in near_dedup.near_duplicates(before).where("kept").collect()}
-    assert {r.doc_id for r in after.collect()} == kept
-    _, clean = seen["decontamination"]
+    assert {r.doc_id for r in after.collect()} == kept and after.count() == len(kept)
+    before, clean = seen["decontamination"]
+    hit = {r.doc_id for r in decontaminate.decontaminate(before, table(spark, small, "benchmark")).where("contaminated").collect()}
+    assert sorted(r.doc_id for r in clean.collect()) == sorted({r.doc_id for r in before.select("doc_id").collect()} - hit)
     assert decontaminate.decontaminate(clean, table(spark, small, "benchmark")).where("contaminated").count() == 0
-    mixed = seen["mixing"][1]
+    before, mixed = seen["mixing"]
+    times = {r.doc_id: r.times for r in mixing.mix_sources(before).where("times > 0").collect()}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == times
     assert mixed.groupBy("doc_id").count().where("count > 3").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, mixed, small)
     assert last.count() == mixed.count() and set(columns) <= set(last.columns)
