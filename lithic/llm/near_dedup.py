@@ -9,16 +9,18 @@
 3. Every band of a signature links a class to the least class in its bucket.
    The components of these links are candidate clusters. They hold every pair
    that shares a bucket, so nothing is lost by linking to one member alone.
-   Links of dissimilar texts can chain into large clusters: classes in clusters
-   of more than ``BLOCK`` get bands of twice as many rows from further
-   coordinates, which hardly ever join texts below the threshold, and the
-   clusters are formed again from those.
 4. Inside a cluster pairs are counted exactly on the full sets, in blocks of
    about ``BLOCK`` classes, so that a cluster of any size is spread over many
    tasks. First every block is compared within itself and with the cluster's
    least class. Classes that are linked by then need no more comparing among
    themselves: only those outside the largest linked part of their cluster meet
-   all blocks, block against block. The true links' components are the result.
+   all blocks, block against block.
+5. Texts that share half of their words meet in some bucket of the first bands,
+   so common boilerplate makes large clusters of texts that are not linked. Where
+   more than a quarter of a cluster is outside its largest linked part, its
+   classes get bands of twice as many rows from further coordinates, which such
+   texts hardly ever share, and only classes of different linked parts that share
+   one of those buckets are compared. The true links' components are the result.
 
 Defined results: a null or empty text and a text without words have no
 shingles and no link; a row without doc_id has no link (component null, kept
@@ -132,19 +134,23 @@ def _profile_batches(n: int, bands: int, rows: int):
     return run
 
 
-def _finer_batches(n: int, bands: int, rows: int, first: int):
-    """Keys of further bands, for texts that have shingles."""
+def _finer_batches(bands: int, rows: int, first: int):
+    """Keys of further bands of non-empty sets(node, part, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = T.WordHasher(3, fold_case=True)
         for batch in batches:
-            for piece in T.slices(batch.column(1)):
-                shingles, offsets = shingle_sets(piece, hasher, n)
-                full = np.flatnonzero(np.diff(offsets))
-                if len(full):
-                    keys = _band_keys(shingles, np.append(offsets[full], offsets[-1]), bands, rows, first)
-                    cuts = pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands)
-                    yield pa.record_batch([batch.column(0).take(pa.array(full + piece.first)), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel().view(np.int64)))], names=["node", "bands"])
+            at = 0
+            while at < batch.num_rows:
+                sets, size, to = [], 0, at
+                while to < batch.num_rows and size < T.SLICE_BYTES // 8:
+                    sets.append(np.frombuffer(batch.column(2)[to].as_buffer(), dtype=np.uint64))
+                    size += len(sets[-1])
+                    to += 1
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                keys = _band_keys(np.concatenate(sets), offsets, bands, rows, first)
+                cuts = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+                yield pa.record_batch([*(batch.column(k).slice(at, to - at) for k in (0, 1)), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel().view(np.int64)))], names=["node", "part", "bands"])
+                at = to
 
     return run
 
@@ -229,8 +235,9 @@ def _members(clusters: DataFrame, some: DataFrame) -> DataFrame:
     return own.unionByName(some.select(F.col("component").alias("node"), "component"))
 
 
-def _first_links(sets: DataFrame, percent: int, total: int) -> DataFrame:
+def _first_links(sets: DataFrame, percent: int, sizes: DataFrame) -> DataFrame:
     """Links inside each block and to the least class of the cluster."""
+    total = sizes.agg(F.sum("members")).first()[0] or 0
     least = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     spread = max(1, total // 512)  # clusters of one block share tasks
     block = F.explode(least).alias("block")
@@ -239,29 +246,56 @@ def _first_links(sets: DataFrame, percent: int, total: int) -> DataFrame:
     return tasks.groupBy("task").applyInArrow(_verify(percent), "a long, b long")
 
 
-def _rest_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
-    """Links between blocks that the first ones leave open; None where all clusters are of one block.
+def _in_blocks(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sets(node, cluster, shingles) with the number of blocks of their cluster and the block they are in."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    joined = sets.join(sizes, F.col("cluster") == F.col("component"))
+    return joined.select("node", "cluster", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+
+
+def _open(sets: DataFrame, known: DataFrame) -> DataFrame | None:
+    """Classes of clusters of several blocks that are not linked throughout; None without such clusters.
 
-    Of two classes in the largest linked part of a cluster nothing is open; all
-    others meet every block of it.
+    group: for classes outside the largest linked part the group that meets all
+    blocks; chained: whether more than a quarter of the cluster is outside.
     """
     several = sets.where("blocks > 1").select("node", "cluster", "blocks", "own")
     if several.isEmpty():
         return None
-    known = connected_components(links)
     placed = save(several.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "placed")
     parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    best = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("best"), (F.sum("n") - F.max("n")).alias("outside"))
-    best = save(best.where("outside > 0").withColumn("groups", F.ceil(F.col("outside") / BLOCK).cast("int")), "best")
-    open_ = placed.join(best, "cluster").withColumn("group", F.when(F.col("part") != F.col("best"), F.pmod(F.xxhash64("node", F.lit("group")), F.col("groups")).cast("int")))
+    best = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("best"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    best = best.select("cluster", "best", F.ceil(F.col("outside") / BLOCK).cast("int").alias("groups"), (4 * F.col("outside") > F.col("n")).alias("chained"))
+    group = F.when(F.col("part") != F.col("best"), F.pmod(F.xxhash64("node", F.lit("group")), F.col("groups")).cast("int"))
+    found = save(placed.join(best, "cluster").withColumn("group", group).select("node", "cluster", "blocks", "own", "part", "groups", "group", "chained"), "open")
+    drop_saved(placed)
+    return None if found.isEmpty() else found
+
+
+def _between_blocks(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Links of the classes outside the largest linked part of their cluster with all its classes."""
     every = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.col("own").alias("block"), g.alias("group")))
     out = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("group")))
     tasks = F.when(F.col("group").isNull(), every).otherwise(F.array_distinct(F.concat(every, out)))
     spread = open_.select("node", F.explode(tasks).alias("t"))
     sent = sets.select("node", "cluster", "shingles").join(spread, "node").select("node", "cluster", "shingles", F.xxhash64("cluster", "t.block", "t.group").alias("task"))
-    found = save(sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
-    drop_saved(placed, best)
-    return found
+    return save(sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
+
+
+def _shared_buckets(keys: DataFrame) -> DataFrame:
+    """keys(node, part, key) in buckets that hold more than one part, with the bucket's size."""
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "members")
+    return save(keys.select("node", "key").join(several, "key"), "buckets")
+
+
+def _within_buckets(sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Links of classes that share one of the buckets(node, key, members)."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = sets.select("node", "shingles").join(buckets, "node").select("node", F.col("key").alias("cluster"), "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    spread = max(1, buckets.count() // 512)
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(spread))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
+    return save(each.select("node", "cluster", "shingles", task.alias("task")).groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
@@ -278,25 +312,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int =
 
     clusters = save(_bucket_clusters(classes.select("class_id", F.explode("bands").alias("key"))), "clusters")
     sizes = _sizes(clusters)
-    large = sizes.where(F.col("members") > BLOCK)
-    if not large.isEmpty():
-        finer = bands_for(percent, 2 * rows)
-        own = _members(clusters, large).select("node")
-        keys = docs.join(own, docs.doc_id == own.node).select("node", "text").mapInArrow(_finer_batches(n, finer, 2 * rows, bands * rows), "node long, bands array<long>")
-        again = _bucket_clusters(keys.select(F.col("node").alias("class_id"), F.explode("bands").alias("key")))
-        clusters = save(clusters.join(large.select("component"), "component", "left_anti").select("node", "component").unionByName(again), "clusters")
-        sizes = _sizes(clusters)
-    members = _members(clusters, sizes)
     # one row a document where rows repeat an id; only the cluster members' texts are read on
+    members = _members(clusters, sizes)
     texts = docs.join(members, docs.doc_id == members.node).select("node", F.col("component").alias("cluster"), "text")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    sets = texts.mapInArrow(_set_batches(n), "node long, cluster long, shingles binary").join(sizes, F.col("cluster") == sizes.component)
-    sets = save(sets.select("node", "cluster", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")), "sets")
-    total = sizes.agg(F.sum("members")).first()[0] or 0
-    links = save(_first_links(sets, percent, total), "links")
-    rest = _rest_links(sets, links, percent)
-    components = connected_components(links if rest is None else links.unionByName(rest))
-    drop_saved(clusters, sets)
+    sets = save(_in_blocks(texts.mapInArrow(_set_batches(n), "node long, cluster long, shingles binary"), sizes), "sets")
+    links = save(_first_links(sets, percent, sizes), "links")
+    components = connected_components(links)
+    open_ = _open(sets, components)
+    if open_ is not None:
+        links = links.unionByName(_between_blocks(sets, open_.where("not chained"), percent))
+        chained = open_.where("chained")
+        if not chained.isEmpty():
+            finer = _finer_batches(bands_for(percent, 2 * rows), 2 * rows, bands * rows)
+            keys = sets.join(chained.select("node", "part"), "node").select("node", "part", "shingles").mapInArrow(finer, "node long, part long, bands array<long>")
+            buckets = _shared_buckets(keys.select("node", "part", F.explode("bands").alias("key")))
+            links = links.unionByName(_within_buckets(sets, buckets, percent))
+        components = connected_components(links)
 
     to_class = profiles.join(classes.select("c1", "c2", "class_id"), ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     found = to_class.join(components, F.col("class_id") == components.node, "left")

@@ -194,24 +194,28 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == root
 
 
-def test_a_chain_of_dissimilar_texts(spark, monkeypatch):
-    """Texts that share half of their shingles with the next ones fall apart again and are not all compared with all."""
+def test_common_boilerplate(spark, monkeypatch):
+    """Texts that share half of their shingles make one cluster, in which few pairs are compared."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rnd = random.Random(6)
-    stream = [f"w{rnd.randrange(10**6)}" for _ in range(24_000)]
-    rows = [(k, " ".join(stream[k * 40 : k * 40 + 120])) for k in range(500)]  # similarity 0.5 to the next
-    for k in range(0, 500, 50):  # with true copies among them
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    common = fresh(80)
+    rows = [(k, " ".join(common + fresh(40))) for k in range(600)]
+    for k in range(0, 600, 50):  # with true copies among them
         own = rows[k][1].split()
-        own[5] = "x"
+        own[100] = "x"
         rows.append((1000 + k, " ".join(own)))
-    rows += [(2000 + k, " ".join([*stream[: 100 + k], f"n{k}", *stream[100 + k : 300]])) for k in range(40)]  # and one dense group
+    dense = fresh(300)  # and a group that is linked at once
+    rows += [(2000 + k, " ".join([*dense[: 100 + k], f"n{k}", *dense[100 + k :]])) for k in range(60)]
     _, root = plain_components(rows, 3, 85)
-    seen, verify = [], near_dedup._first_links
-    monkeypatch.setattr(near_dedup, "_first_links", lambda sets, *more: seen.append({r.cluster: r["count"] for r in sets.groupBy("cluster").count().collect()}) or verify(sets, *more))
+    sizes, sent = [], []
+    first, within, between = near_dedup._first_links, near_dedup._within_buckets, near_dedup._between_blocks
+    monkeypatch.setattr(near_dedup, "_first_links", lambda sets, *more: sizes.extend(r["count"] for r in sets.groupBy("cluster").count().collect()) or first(sets, *more))
+    monkeypatch.setattr(near_dedup, "_within_buckets", lambda sets, buckets, *more: sent.append(buckets.count()) or within(sets, buckets, *more))
+    monkeypatch.setattr(near_dedup, "_between_blocks", lambda sets, open_, *more: sent.append(open_.count()) or between(sets, open_, *more))
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 6).collect()
     assert {r.doc_id: r.component_id for r in found} == root
-    assert max(n for cluster, n in seen[0].items() if cluster < 2000) < 40  # not one of 500
-    assert max(seen[0].values()) >= 40
+    assert max(sizes) > 500 and sum(sent) < 20 * 600 < 600 * 600 / 8
 
 
 def test_drop_near_duplicates_keeps_one_row(spark, docs, rows):
