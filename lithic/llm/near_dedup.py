@@ -17,10 +17,11 @@
    all blocks, block against block.
 5. Texts that share half of their words meet in some bucket of the first bands,
    so common boilerplate makes large clusters of texts that are not linked. Where
-   more than a quarter of a cluster is outside its largest linked part, its
-   classes get bands of twice as many rows from further coordinates, which such
-   texts hardly ever share, and only classes of different linked parts that share
-   one of those buckets are compared. The true links' components are the result.
+   so many classes are outside the largest linked part that meeting all blocks
+   would cost more than further bands, the cluster's classes get bands of twice
+   as many rows from further coordinates, which such texts hardly ever share, and
+   only classes of different linked parts that share one of those buckets are
+   compared. The true links' components are the result.
 
 Defined results: a null or empty text and a text without words have no
 shingles and no link; a row without doc_id has no link (component null, kept
@@ -253,19 +254,20 @@ def _in_blocks(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return joined.select("node", "cluster", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
 
 
-def _open(sets: DataFrame, known: DataFrame) -> DataFrame | None:
+def _open(sets: DataFrame, known: DataFrame, most: int) -> DataFrame | None:
     """Classes of clusters of several blocks that are not linked throughout; None without such clusters.
 
     group: for classes outside the largest linked part the group that meets all
-    blocks; chained: whether more than a quarter of the cluster is outside.
+    blocks; chained: whether there are more than ``most`` such groups.
     """
     several = sets.where("blocks > 1").select("node", "cluster", "blocks", "own")
     if several.isEmpty():
         return None
     placed = save(several.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "placed")
     parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    best = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("best"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    best = best.select("cluster", "best", F.ceil(F.col("outside") / BLOCK).cast("int").alias("groups"), (4 * F.col("outside") > F.col("n")).alias("chained"))
+    best = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("best"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    groups = F.ceil(F.col("outside") / BLOCK).cast("int")
+    best = best.select("cluster", "best", groups.alias("groups"), (groups > most).alias("chained"))
     group = F.when(F.col("part") != F.col("best"), F.pmod(F.xxhash64("node", F.lit("group")), F.col("groups")).cast("int"))
     found = save(placed.join(best, "cluster").withColumn("group", group).select("node", "cluster", "blocks", "own", "part", "groups", "group", "chained"), "open")
     drop_saved(placed)
@@ -318,13 +320,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int =
     sets = save(_in_blocks(texts.mapInArrow(_set_batches(n), "node long, cluster long, shingles binary"), sizes), "sets")
     links = save(_first_links(sets, percent, sizes), "links")
     components = connected_components(links)
-    open_ = _open(sets, components)
+    finer = bands_for(percent, 2 * rows)
+    open_ = _open(sets, components, finer // 2)
     if open_ is not None:
         links = links.unionByName(_between_blocks(sets, open_.where("not chained"), percent))
         chained = open_.where("chained")
         if not chained.isEmpty():
-            finer = _finer_batches(bands_for(percent, 2 * rows), 2 * rows, bands * rows)
-            keys = sets.join(chained.select("node", "part"), "node").select("node", "part", "shingles").mapInArrow(finer, "node long, part long, bands array<long>")
+            keys = sets.join(chained.select("node", "part"), "node").select("node", "part", "shingles").mapInArrow(_finer_batches(finer, 2 * rows, bands * rows), "node long, part long, bands array<long>")
             buckets = _shared_buckets(keys.select("node", "part", F.explode("bands").alias("key")))
             links = links.unionByName(_within_buckets(sets, buckets, percent))
         components = connected_components(links)
