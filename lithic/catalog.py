@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lithic.functions import formats  # noqa: F401
-from lithic.operators import catalogue, explore, graph, snapshots, structure, symbols  # noqa: F401
+from lithic.operators import audit, catalogue, explore, graph, snapshots, structure, symbols  # noqa: F401
 from lithic.registry import ORACLES, QUERIES
 from lithic.sources import connectors, inputs, paths  # noqa: F401
 from lithic.streaming import jobs  # noqa: F401

@@ -152,7 +152,9 @@ def scan(text: str, language: str | None) -> tuple[list[tuple], list[tuple]]:
                 facts.append(("EXPORTS", m[1], m.start(1), -1))
             else:
                 facts += [("EXPORTS", x[0].split()[0], m.start(2) + x.start(), -1) for x in re.finditer(r"\w[\w\s]*", m[2])]
-    facts += [("CALLS", m[1], m.start(1), -1) for m in _CALL.finditer(plain) if m[1] not in NO_CALL and m.start(1) not in declared]
+    # what stands in the body of a type itself, not of a member, is a signature
+    signature = lambda at: bodies.get(holder(at)) == "interface"
+    facts += [("CALLS", m[1], m.start(1), -1) for m in _CALL.finditer(plain) if m[1] not in NO_CALL and m.start(1) not in declared and not signature(m.start(1))]
     return sorted((d[:4] for d in declared.values()), key=lambda d: d[2]), sorted(facts, key=lambda f: f[2])
 
 

@@ -292,6 +292,20 @@ def snp26_inventory(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("snp26_shares", "SELECT snapshot_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, count(language) AS supported_files, coalesce(sum(size_bytes) FILTER (WHERE language IS NOT NULL), 0)::BIGINT AS supported_bytes, round(coalesce(count(*) FILTER (WHERE language = 'java') / nullif(count(language), 0), 0), 9) AS java_share, round(coalesce(count(*) FILTER (WHERE language IN ('javascript', 'typescript', 'tsx')) / nullif(count(language), 0), 0), 9) AS script_share FROM (SELECT f.snapshot_id, f.size_bytes, e.language FROM files f LEFT JOIN extractions e ON e.file_id = f.id) q GROUP BY 1")
+def snp26_shares(t):
+    rows = t("files").join(t("extractions").select(F.col("file_id").alias("id"), "language"), "id", "left")
+    return language_shares(rows)
+
+
+def language_shares(rows: DataFrame) -> DataFrame:
+    """Files and bytes of each snapshot, those in supported languages, and the shares of Java and of scripts among them."""
+    known, one_of = F.count("language"), lambda *names: F.count_if(F.col("language").isin(*names))
+    share = lambda n: F.round(F.coalesce(n / F.nullif(known, F.lit(0)), F.lit(0.0)), 9)
+    supported = F.coalesce(F.sum(F.when(F.col("language").isNotNull(), F.col("size_bytes"))), F.lit(0))
+    return rows.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), known.alias("supported_files"), supported.alias("supported_bytes"), share(one_of("java")).alias("java_share"), share(one_of("javascript", "typescript", "tsx")).alias("script_share"))
+
+
 # ---- fixed values: upper ends of the size buckets in bytes
 BUCKETS = [4096, 16384, 65536, 262144, 524288, 1048576, 4194304, 10485760]
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from lithic.functions.formats import bytes_label, plural
 from lithic.operators.symbols import _EXTRACTED, extraction_summary, file_details
 from lithic.registry import query
-from lithic.sources.paths import base_name, extension_of, under
+from lithic.sources.paths import base_name, extension_of, plain_path, under
 
-BUCKETS, NODES, SYMBOLS = 8, 60, 200
+BUCKETS, NODES, SYMBOLS, PAGE = 8, 60, 200, 100
 
 
 def latest_completed(snapshots: DataFrame) -> DataFrame:
@@ -141,13 +141,31 @@ def level(files: DataFrame, directory: str) -> DataFrame:
     return folders.unionByName(own.select("snapshot_id", F.lit("file").alias("kind"), base_name(F.col("path")).alias("name"), F.col("size_bytes").alias("weight")))
 
 
-def level_page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset+limit of each level with the offset of the next page."""
+def level_page(rows: DataFrame, offset: int, limit: int = PAGE) -> DataFrame:
+    """Rows offset .. offset+limit of each level with the offset of the next page, null on the last, and whether there is one.
+
+    The limit is put between 1 and ``PAGE``, the offset at 0 or more. Each task
+    sends on only the first rows of a level; the rest is counted.
+    """
+    offset, end = max(0, offset), max(0, offset) + max(1, min(limit, PAGE))
     order = W.partitionBy("snapshot_id").orderBy("kind", "name")
-    numbered = rows.withColumns({"place": F.row_number().over(order).cast("long"), "total": F.count(F.lit(1)).over(W.partitionBy("snapshot_id"))})
-    end = offset + limit
-    page = numbered.where((F.col("place") > offset) & (F.col("place") <= end))
-    return page.withColumn("next_cursor", F.when(F.col("total") > end, end)).drop("total")
+    first = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= end)
+    totals = rows.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("total"))
+    page = first.where(F.col("place") > offset).join(totals, "snapshot_id")
+    return page.withColumns({"next_cursor": F.when(F.col("total") > end, end), "truncated": F.col("total") > end}).drop("total")
+
+
+def structure_page(snapshots: DataFrame, files: DataFrame, directory: str, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A page of a directory of each completed snapshot; an unsafe path and an open snapshot have no rows."""
+    path = plain_path(directory)
+    done = snapshots.where("status = 'completed'").select(F.col("id").alias("snapshot_id")).distinct()
+    own = files.join(done, "snapshot_id", "left_semi")
+    return level_page(level(own if path is not None else own.where("false"), path or ""), offset, limit)
+
+
+@query("rdm8_page", "WITH p AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY kind, name) AS place, count(*) OVER (PARTITION BY snapshot_id) AS total FROM (SELECT snapshot_id, 'directory' AS kind, split_part(path, '/', 2) AS name, count(*) AS weight FROM files WHERE regexp_matches(path, '^en/[^/]*/') GROUP BY 1, 3 UNION ALL SELECT snapshot_id, 'file', split_part(path, '/', 2), size_bytes FROM files WHERE regexp_full_match(path, 'en/[^/]*')) l WHERE snapshot_id IN (SELECT id FROM snapshots WHERE status = 'completed')) SELECT snapshot_id, kind, name, weight, place, CASE WHEN total > 5 THEN 5 END AS next_cursor, total > 5 AS truncated FROM p WHERE place > 2 AND place <= 5")
+def rdm8_structure(t):
+    return structure_page(t("snapshots"), t("files"), "/en/", 2, 3)
 
 
 _LEVEL = "(SELECT snapshot_id, 'directory' AS kind, split_part(path, '/', 2) AS name, count(*) AS weight FROM files WHERE regexp_matches(path, '^en/[^/]*/') GROUP BY 1, 3 UNION ALL SELECT snapshot_id, 'file', split_part(path, '/', 2), size_bytes FROM files WHERE regexp_full_match(path, 'en/[^/]*'))"
@@ -155,7 +173,7 @@ _LEVEL = "(SELECT snapshot_id, 'directory' AS kind, split_part(path, '/', 2) AS
 
 @query("rdm8", f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY kind, name) AS place, count(*) OVER (PARTITION BY snapshot_id) AS total FROM {_LEVEL} l) SELECT snapshot_id, kind, name, weight, place, CASE WHEN total > 5 THEN 5 END AS next_cursor FROM p WHERE place > 2 AND place <= 5")
 def rdm8_page(t):
-    return level_page(level(t("files"), "en"), 2, 3)
+    return level_page(level(t("files"), "en"), 2, 3).drop("truncated")
 
 
 @query("rdm9", "SELECT file_id, name, start_line, k, n, n > 200 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM text_lines) q WHERE k <= 200")
@@ -212,21 +230,24 @@ def rdm12_items(t):
     return level_items(level(t("files"), "en"), " M ", "directory").select("snapshot_id", "name", "label")
 
 
-def _keep(most: int) -> tuple[Column, Column]:
-    """Rows kept and order number: all that fit, else all but one slot for each kind that overflows."""
-    own = W.partitionBy("snapshot_id")
-    order = F.row_number().over(own.orderBy("kind", F.desc("weight"), "name")).cast("long")
-    n, folders = F.count(F.lit(1)).over(own), F.count_if(F.col("kind") == "directory").over(own)
-    both = (folders > most - 2) & (n > folders)
-    return F.when(n <= most, n).when(both, most - 2).otherwise(most - 1), order
-
-
 def overflow(rows: DataFrame, most: int = NODES) -> DataFrame:
-    """What a level shows and how many of each kind it hides."""
-    keep, order = _keep(max(2, most))
-    ranked = rows.withColumns({"place": order, "keep": keep})
-    hidden = F.count_if(F.col("place") > F.col("keep")).over(W.partitionBy("snapshot_id", "kind"))
-    return ranked.withColumn("hidden", hidden).where("place <= keep")
+    """What a level shows and how many of each kind it hides.
+
+    All rows that fit, else all but one slot for each kind that overflows. Each
+    task sends on only its first rows of a level; the rest is counted by kind.
+    """
+    most = max(2, most)
+    kinds = rows.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "directory").alias("folders"), F.count_if(F.col("kind") == "file").alias("files"))
+    both = (F.col("folders") > most - 2) & (F.col("n") > F.col("folders"))
+    kinds = kinds.withColumn("keep", F.when(F.col("n") <= most, F.col("n")).when(both, most - 2).otherwise(most - 1))
+    order = F.row_number().over(W.partitionBy("snapshot_id").orderBy("kind", F.desc("weight"), "name"))
+    first = rows.withColumn("place", order.cast("long")).where(F.col("place") <= most)
+    shown = first.join(kinds, "snapshot_id").where("place <= keep")
+    folder = F.col("kind") == "directory"
+    # folders come first, so those shown are the least of their number and the slots
+    folders = F.least("folders", "keep")
+    hidden = F.when(folder, F.col("folders") - folders).otherwise(F.col("files") - (F.col("keep") - folders))
+    return shown.withColumn("hidden", hidden).drop("n", "folders", "files")
 
 
 _FLAT = "(SELECT snapshot_id, CASE WHEN id % 3 = 0 THEN 'directory' ELSE 'file' END AS kind, path AS name, size_bytes AS weight FROM files)"

@@ -144,6 +144,31 @@ def sym7_replace(t):
     return replace_file_symbols(rows, fresh, rows.where("file_id % 3 = 0"))
 
 
+def resolve_parents(symbols: DataFrame) -> DataFrame:
+    """symbols(file_id, id, symbol_key, parent_key, ...) with the parent's id, looked up inside the file; ``unresolved`` where there is none."""
+    parents = symbols.groupBy("file_id", F.col("symbol_key").alias("parent_key")).agg(F.max("id").alias("parent_id"))
+    joined = symbols.join(parents, ["file_id", "parent_key"], "left")
+    return joined.select(*symbols.columns, "parent_id", (F.col("parent_key").isNotNull() & F.col("parent_id").isNull()).alias("unresolved"))
+
+
+def checked_parents(symbols: DataFrame) -> DataFrame:
+    """``resolve_parents``, but a parent that is not in the symbol's own file is an error."""
+    found = save(resolve_parents(symbols), "parents")
+    lost = found.where("unresolved").select("file_id", "symbol_key", "parent_key").head(1)
+    if lost:
+        raise ValueError(f"parent {lost[0].parent_key!r} of {lost[0].symbol_key!r} is not among the symbols of file {lost[0].file_id}")
+    return found.drop("unresolved")
+
+
+@query("sym7_parents", "WITH s AS (SELECT file_id, file_id * 100000 + start_line AS id, concat(path, '#', start_line) AS symbol_key, min(start_line) OVER (PARTITION BY file_id) AS head, start_line, path FROM text_lines) SELECT file_id, id, CASE WHEN start_line <> head THEN file_id * 100000 + head END AS parent_id FROM s")
+def sym7_parents(t):
+    """Every line's parent is its file's first line."""
+    rows = t("text_lines").select("file_id", "path", "start_line", (F.col("file_id") * 100_000 + F.col("start_line")).alias("id"), F.concat("path", F.lit("#"), "start_line").alias("symbol_key"))
+    heads = rows.groupBy("file_id").agg(F.min_by("symbol_key", "start_line").alias("head"))
+    keyed = rows.join(heads, "file_id").withColumn("parent_key", F.when(F.col("head") != F.col("symbol_key"), F.col("head")))
+    return checked_parents(keyed.select("file_id", "id", "symbol_key", "parent_key")).select("file_id", "id", "parent_id")
+
+
 @query("sym8", "SELECT snapshot_id, unit_index AS file, arg_max(event, event_id) AS status FROM job_events GROUP BY 1, 2")
 def sym8_upsert(t):
     return t("job_events").groupBy("snapshot_id", F.col("unit_index").alias("file")).agg(F.max_by("event", "event_id").alias("status"))

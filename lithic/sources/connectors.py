@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.registry import query
+from lithic.saved import new_path
 
 API = "id long, name string, full_name string, html_url string, description string, language string, topics array<string>, stargazers_count long, forks_count long, license struct<spdx_id:string>, fork boolean, archived boolean, pushed_at string"
 
@@ -38,15 +40,27 @@ def src1_api(t):
     return rows.select("id", "full_name", "description", "language", F.array_join("topics", "|").alias("topics"), "stars", "forks", "license", "fork", "archived", "pushed_at", "source_login", "source_kind")
 
 
+#: bytes of members that a task gathers before it sends them
+_SEND = 8 << 20
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size_bytes", pa.int64()), ("content", pa.binary())])
     for batch in batches:
-        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as archive:
+        for name, raw in zip(batch.column(0), batch.column(1), strict=True):
+            rows: list[tuple] = []
+            held = 0
+            with tarfile.open(fileobj=pa.BufferReader(raw.as_buffer()), mode="r|*") as archive:  # one pass, without a copy of the archive
                 for member in archive:
                     if member.isfile():
                         content = archive.extractfile(member).read()
-                        yield pa.record_batch([[name], [member.name], [len(content)], [content]], schema=schema)
+                        rows.append((name.as_py(), member.name, len(content), content))
+                        held += len(content)
+                        if held >= _SEND:
+                            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            rows, held = [], 0
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def scan_archives(archives: DataFrame) -> DataFrame:
@@ -120,13 +134,34 @@ def src5_contents(t):
     return decoded.select("path", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"))
 
 
+def normalised(rows: DataFrame) -> DataFrame:
+    """Catalogue rows with the defaults of missing fields, as live ones have them."""
+    defaults = {"topics": F.array().cast("array<string>"), "stars": F.lit(0), "forks": F.lit(0), "fork": F.lit(False), "archived": F.lit(False)}
+    return rows.withColumns({c: F.coalesce(c, v) for c, v in defaults.items() if c in rows.columns})
+
+
 def with_fallback(live: DataFrame, failed: DataFrame, bundled: DataFrame) -> DataFrame:
-    """Live rows where the source answered, bundled rows where it failed; tagged."""
+    """Live rows where the source answered, bundled rows, normalised again, where it failed; tagged."""
     good = live.join(failed.select("login").distinct(), live.source_login == F.col("login"), "left_anti").withColumn("origin", F.lit("live"))
-    bad = bundled.join(failed.select("login").distinct(), bundled.source_login == F.col("login"), "left_semi").withColumn("origin", F.lit("fallback"))
+    bad = normalised(bundled).join(failed.select("login").distinct(), bundled.source_login == F.col("login"), "left_semi").withColumn("origin", F.lit("fallback"))
     return good.unionByName(bad)
 
 
+def load_state(configured: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: how many sources are asked for, and whether rows are not_loaded (none is), fallback (all failed) or live."""
+    asked = configured.select("login").distinct().join(failed.select("login").distinct().withColumn("bad", F.lit(True)), "login", "left")
+    n, bad = F.count(F.lit(1)), F.count_if(F.col("bad"))
+    return asked.agg(n.alias("requested"), F.when(n == 0, "not_loaded").when(bad == n, "fallback").otherwise("live").alias("origin"))
+
+
+@query("src6_state", "WITH c AS (SELECT DISTINCT source_login AS login FROM repos), f AS (SELECT DISTINCT login FROM source_outcomes WHERE failed) SELECT 'some' AS configured, count(*) AS requested, CASE WHEN count(*) = 0 THEN 'not_loaded' WHEN count(f.login) = count(*) THEN 'fallback' ELSE 'live' END AS origin FROM c LEFT JOIN f USING (login) UNION ALL SELECT 'failed', count(*), CASE WHEN count(*) = 0 THEN 'not_loaded' ELSE 'fallback' END FROM c JOIN f USING (login) UNION ALL SELECT 'none', 0, 'not_loaded'")
+def src6_state(t):
+    """The state for all sources, for those that failed and for an empty configuration."""
+    asked, failed = t("repos").select(F.col("source_login").alias("login")), t("source_outcomes").where("failed")
+    parts = {"some": asked, "failed": asked.join(failed.select("login").distinct(), "login", "left_semi"), "none": asked.where("false")}
+    return reduce(DataFrame.unionByName, (load_state(rows, failed).select(F.lit(name).alias("configured"), "requested", "origin") for name, rows in parts.items()))
+
+
 @query("src6", "WITH f AS (SELECT DISTINCT login FROM source_outcomes WHERE failed) SELECT id, 'live' AS origin FROM repos WHERE source_login NOT IN (SELECT login FROM f) UNION ALL SELECT id, 'fallback' FROM repos WHERE source_login IN (SELECT login FROM f) AND id % 2 = 0")
 def src6_fallback(t):
     return with_fallback(t("repos"), t("source_outcomes").where("failed"), t("repos").where("id % 2 = 0")).select("id", "origin")
@@ -169,8 +204,49 @@ def snk1_append(t):
     return content_additions(t("files"), t("files").where("id % 4 = 0"))
 
 
+def export_sources(default: str, host: str, urls: list[str] | None = None) -> Column:
+    """The sources that an export of ``source_key`` names: those given, else the default owner's, else each part of the key."""
+    page = lambda login: F.concat(F.lit(f"https://{host}/"), login)
+    own = F.when(F.col("source_key") == default, F.array(page(F.col("source_key")))).otherwise(F.transform(F.split("source_key", "\\+"), page))
+    return F.array(*map(F.lit, urls)) if urls else own
+
+
+def export_headers(repos: DataFrame, default: str, host: str = "forge.example", urls: list[str] | None = None) -> DataFrame:
+    """One row for each source key: its sources and number of rows."""
+    counts = repos.groupBy(F.col("source_login").alias("source_key")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("source_key", (F.col("source_key") == default).alias("is_default"), F.array_join(export_sources(default, host, urls), ",").alias("sources"), "n")
+
+
+def write_export(repos: DataFrame, path: str, default: str, host: str = "forge.example", urls: list[str] | None = None) -> None:
+    """JSON lines of all rows in a folder for each source key, and the headers beside them.
+
+    However many rows a key has, they are written by many tasks. Nothing to
+    export is an error.
+    """
+    if repos.isEmpty():
+        raise ValueError("there is nothing to export")
+    repos.withColumn("source_key", F.col("source_login")).write.partitionBy("source_key").json(f"{path}/rows")
+    export_headers(repos, default, host, urls).write.json(f"{path}/headers")
+
+
+@query("snk2_headers", "SELECT source_login AS source_key, source_login = 'owner7' AS is_default, concat('https://forge.example/', source_login) AS sources, count(*) AS n FROM repos GROUP BY source_login")
+def snk2_headers(t):
+    """Headers as they are read back from an export."""
+    path = new_path(t.spark, "export")
+    write_export(t("repos").select("id", "full_name", "stars", "source_login"), path, "owner7")
+    return t.spark.read.schema("source_key string, is_default boolean, sources string, n long").json(f"{path}/headers")
+
+
+@query("snk2_rows", "SELECT source_login AS source_key, id, full_name, stars FROM repos")
+def snk2_rows(t):
+    """Rows as they are read back from an export."""
+    path = new_path(t.spark, "export")
+    write_export(t("repos").select("id", "full_name", "stars", "source_login"), path, "owner7")
+    return t.spark.read.schema("id long, full_name string, stars long, source_key string").json(f"{path}/rows").select("source_key", "id", "full_name", "stars")
+
+
 def export_envelopes(repos: DataFrame, default: str) -> DataFrame:
-    """One JSON-ready row for each source key: its sources, size and rows in order."""
+    """One JSON document for each source key, for keys whose rows fit one row of a table; ``write_export`` has no such limit."""
     row = F.to_json(F.struct("id", "full_name", "stars"))
     grouped = repos.groupBy(F.col("source_login").alias("source_key")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("id", row.alias("row")))).alias("rows"))
     return grouped.select("source_key", (F.col("source_key") == default).alias("is_default"), F.array_join(F.split("source_key", "\\+"), ",").alias("sources"), "n", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]")).alias("payload"))
@@ -186,6 +262,25 @@ def replace_by_source(spark: SparkSession, rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(path)
 
 
+def with_source(rows: DataFrame, host: str = "forge.example") -> DataFrame:
+    """Each row with the source that it comes from, derived again: login, kind and url."""
+    owner = F.substring_index("full_name", "/", 1)
+    login = F.coalesce("source_login", F.when(owner != "", owner), F.lit("unknown"))
+    kind = F.col("source_kind") if "source_kind" in rows.columns else F.lit(None)
+    url = F.col("source_url") if "source_url" in rows.columns else F.lit(None)
+    return rows.withColumns({"source_login": login, "source_kind": F.coalesce(kind, F.lit("user")), "source_url": F.coalesce(url, F.concat(F.lit(f"https://{host}/"), login))})
+
+
+@query("snk3", "SELECT id, concat('k', id % 5) AS source_key, CASE WHEN id % 5 = 3 THEN stars + 1 ELSE stars END AS stars, coalesce(CASE WHEN id % 4 = 0 THEN NULL ELSE source_login END, split_part(full_name, '/', 1)) AS source_login, 'user' AS source_kind FROM repos WHERE NOT (id % 5 = 3 AND id % 2 = 0)")
+def snk3_replace(t):
+    """A store of five keys in which one key's rows are replaced by half of them."""
+    rows = t("repos").select("id", "full_name", "stars", F.when(F.col("id") % 4 != 0, F.col("source_login")).alias("source_login"), F.concat(F.lit("k"), F.col("id") % 5).alias("source_key"))
+    path, rows = new_path(t.spark, "cache"), with_source(rows)
+    replace_by_source(t.spark, rows, path)
+    replace_by_source(t.spark, rows.where("id % 5 = 3 and id % 2 <> 0").withColumn("stars", F.col("stars") + 1), path)
+    return t.spark.read.schema(rows.schema).parquet(path).select("id", "source_key", "stars", "source_login", "source_kind")
+
+
 def fresh(rows: DataFrame, as_of: Column, ttl_ms: int = 900_000) -> DataFrame:
     """Cached rows(fetched_at in ms, expires_at in ms or null) that still count."""
     return rows.where(F.coalesce(F.col("expires_at") > as_of, as_of - F.col("fetched_at") <= ttl_ms))

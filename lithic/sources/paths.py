@@ -16,6 +16,14 @@ def safe_path(raw: Column) -> Column:
     return F.when(~bad, path)
 
 
+def plain_path(raw: str) -> str | None:
+    """``safe_path`` of one path on the driver: a parameter of a query."""
+    path = raw.strip("/")
+    parts = path.split("/") if path else []
+    bad = any(c < " " or c == "\\" for c in path) or any(p in ("", ".", "..") for p in parts)
+    return None if bad else path
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
