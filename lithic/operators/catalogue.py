@@ -247,12 +247,12 @@ def cat9_ingest(t):
 
 @query(
     "cat10",
-    """WITH r AS (SELECT source_login AS login, count(*) AS n FROM repos WHERE id % 3 <> 0 GROUP BY 1), f AS (SELECT DISTINCT login FROM source_outcomes WHERE failed)
+    """WITH r AS (SELECT source_login AS login, count(*) AS n FROM repos GROUP BY 1), f AS (SELECT DISTINCT login FROM source_outcomes WHERE failed)
        SELECT coalesce(r.login, f.login) AS login, coalesce(n, 0) AS repositories, CASE WHEN f.login IS NULL THEN 'connected' WHEN n > 0 THEN 'degraded' ELSE 'error' END AS status
        FROM r FULL OUTER JOIN f ON r.login = f.login""",
 )
 def cat10_connected_sources(t):
-    return connected_sources(t("repos").where("id % 3 <> 0"), t("source_outcomes").where("failed"))
+    return connected_sources(t("repos"), t("source_outcomes").where("failed"))
 
 
 def connected_sources(repos: DataFrame, failures: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ def get_or_create(known: DataFrame, wanted: DataFrame, keys: list[str]) -> DataF
     return wanted.dropDuplicates(keys).join(known.select(keys), keys, "left_anti")
 
 
-@query("snp1", "SELECT DISTINCT repository_id, commit_sha FROM snapshots WHERE id % 2 = 0 AND (repository_id, commit_sha) NOT IN (SELECT (repository_id, commit_sha) FROM snapshots WHERE id % 97 = 1)")
+@query("snp1", "SELECT DISTINCT split_part(full_name, '/', 1) AS owner, split_part(full_name, '/', 2) AS name FROM repo_sources WHERE id NOT IN (SELECT id FROM repos WHERE archived)")
 def snp1_get_or_create(t):
-    rows = t("snapshots").select("id", *ATTEMPT)
-    return get_or_create(rows.where("id % 97 = 1"), rows.where("id % 2 = 0"), ATTEMPT).select(*ATTEMPT)
+    """Repositories of all sources that are not among the archived ones, which are known already."""
+    named = lambda rows: rows.select(F.substring_index("full_name", "/", 1).alias("owner"), F.substring_index("full_name", "/", -1).alias("name"))
+    return get_or_create(named(t("repos").where("archived")), named(t("repo_sources")), ["owner", "name"])
 
 
 @query("snp2", "SELECT repository_id, concat('ref', id % 3) AS ref, arg_max(commit_sha, id) AS commit_sha FROM snapshots GROUP BY 1, 2")
@@ -55,10 +56,10 @@ def acquisition_modes(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return requests.join(done, "repository_id", "left").withColumn("mode", F.when(F.col("done"), "incremental_api").otherwise("bulk_archive")).drop("done")
 
 
-@query("snp5", "WITH r AS (SELECT DISTINCT user_id % 30 + 1 AS repository_id FROM events) SELECT repository_id, CASE WHEN EXISTS (SELECT 1 FROM snapshots s WHERE s.repository_id = r.repository_id AND status = 'completed' AND id % 7 = 0) THEN 'incremental_api' ELSE 'bulk_archive' END AS mode FROM r")
+@query("snp5", "WITH r AS (SELECT DISTINCT user_id % 30 + 1 AS repository_id FROM events) SELECT repository_id, CASE WHEN EXISTS (SELECT 1 FROM snapshots s WHERE s.repository_id = r.repository_id AND status = 'completed') THEN 'incremental_api' ELSE 'bulk_archive' END AS mode FROM r")
 def snp5_modes(t):
     wanted = t("events").select((F.col("user_id") % 30 + 1).alias("repository_id")).distinct()
-    return acquisition_modes(wanted, t("snapshots").where("id % 7 = 0"))
+    return acquisition_modes(wanted, t("snapshots"))
 
 
 def acquire(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -69,22 +70,24 @@ def acquire(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return joined.select(*ATTEMPT, F.when(F.col("id").isNull(), "new").otherwise("reuse").alias("action"), F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("attempt_number", F.coalesce("last", F.lit(0)) + 1).alias("attempt_number"), "mode")
 
 
-_RESOLVED = "(SELECT repository_id, commit_sha, id, status, attempt_number FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, commit_sha ORDER BY status = 'completed' DESC, attempt_number DESC) AS k FROM snapshots WHERE status <> 'failed' AND id % 3 <> 0) q WHERE k = 1)"
+_RESOLVED = "(SELECT repository_id, commit_sha, id, status, attempt_number FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, commit_sha ORDER BY status = 'completed' DESC, attempt_number DESC) AS k FROM snapshots WHERE status <> 'failed') q WHERE k = 1)"
 
 
-@query("snp6", f"""WITH r AS (SELECT DISTINCT repository_id, commit_sha FROM snapshots), s AS (SELECT * FROM snapshots WHERE id % 3 <> 0), m AS (SELECT repository_id, commit_sha, max(attempt_number) AS last FROM s GROUP BY 1, 2)
+@query("snp6", f"""WITH r AS (SELECT DISTINCT repository_id, commit_sha FROM snapshots), s AS (SELECT * FROM snapshots), m AS (SELECT repository_id, commit_sha, max(attempt_number) AS last FROM s GROUP BY 1, 2)
     SELECT r.repository_id, r.commit_sha, CASE WHEN f.id IS NULL THEN 'new' ELSE 'reuse' END AS action, coalesce(f.status, 'pending') AS status, coalesce(f.attempt_number, coalesce(last, 0) + 1) AS attempt_number,
     CASE WHEN r.repository_id IN (SELECT repository_id FROM s WHERE status = 'completed') THEN 'incremental_api' ELSE 'bulk_archive' END AS mode FROM r LEFT JOIN {_RESOLVED} f USING (repository_id, commit_sha) LEFT JOIN m USING (repository_id, commit_sha)""")
 def snp6_acquire(t):
     rows = t("snapshots")
-    return acquire(rows.select(*ATTEMPT).distinct(), rows.where("id % 3 <> 0"))
+    return acquire(rows.select(*ATTEMPT).distinct(), rows)
 
 
 def job_states(events: DataFrame, budget: int = RETRIES) -> DataFrame:
     """State of each unit after its events in order: completed sticks, failures count against the budget."""
+    unit = ["snapshot_id", "unit_index"]
     done = F.bool_or(F.col("event") == "completed")
-    first_done = F.min(F.when(F.col("event") == "completed", F.col("event_id")))
-    failures = events.withColumn("_done", first_done.over(W.partitionBy("snapshot_id", "unit_index")))
+    # one row a unit, joined: a unit of any number of events is not held by one task
+    first_done = events.where("event = 'completed'").groupBy(*unit).agg(F.min("event_id").alias("_done"))
+    failures = events.join(first_done, unit, "left")
     early = F.col("_done").isNull() | (F.col("event_id") < F.col("_done"))
     failed = F.count_if((F.col("event") == "failure") & early)
     last = F.max_by("event", "event_id")

@@ -188,9 +188,10 @@ def rdm9_whole(t):
 
 
 def file_symbols(symbols: DataFrame, most: int = SYMBOLS) -> DataFrame:
-    """The first symbols of each file by position with their true number."""
-    k, n = F.row_number().over(W.partitionBy("file_id").orderBy("start_line")).cast("long"), F.count(F.lit(1)).over(W.partitionBy("file_id"))
-    return symbols.withColumns({"k": k, "n": n}).where(F.col("k") <= most).withColumn("truncated", F.col("n") > most)
+    """The first symbols of each file by position with their true number; each task sends on only the first ones of a file."""
+    k = F.row_number().over(W.partitionBy("file_id").orderBy("start_line")).cast("long")
+    counts = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return symbols.withColumn("k", k).where(F.col("k") <= most).join(counts, "file_id").withColumn("truncated", F.col("n") > most)
 
 
 def failure_class(reason: Column) -> Column:

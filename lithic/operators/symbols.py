@@ -61,10 +61,10 @@ def gate(files: DataFrame, ceiling: int = SIZE_CEILING) -> DataFrame:
     return files.withColumns({"status": status, "failure_reason": reason})
 
 
-@query("sym3", "SELECT id, CASE WHEN l IS NULL OR size_bytes > 5000 THEN 'skipped_unsupported' WHEN id % 11 = 0 OR id % 13 = 0 THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN l IS NULL THEN NULL WHEN size_bytes > 5000 THEN concat('exceeds size ceiling (', size_bytes, ' > 5000 bytes)') WHEN id % 11 = 0 THEN 'object missing' WHEN id % 13 = 0 THEN 'parse produced syntax errors' END AS failure_reason FROM (SELECT id, size_bytes, CASE WHEN contains(path, '.') AND lower(regexp_extract(path, '\\.([^.]*)$', 1)) IN ('java','js','jsx','mjs','cjs','ts','mts','cts','tsx') THEN 1 END AS l FROM files) q")
+@query("sym3", "SELECT id, CASE WHEN l IS NULL OR size_bytes > 10485760 THEN 'skipped_unsupported' WHEN id % 11 = 0 OR id % 13 = 0 THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN l IS NULL THEN NULL WHEN size_bytes > 10485760 THEN concat('exceeds size ceiling (', size_bytes, ' > 10485760 bytes)') WHEN id % 11 = 0 THEN 'object missing' WHEN id % 13 = 0 THEN 'parse produced syntax errors' END AS failure_reason FROM (SELECT id, size_bytes, CASE WHEN contains(path, '.') AND lower(regexp_extract(path, '\\.([^.]*)$', 1)) IN ('java','js','jsx','mjs','cjs','ts','mts','cts','tsx') THEN 1 END AS l FROM files) q")
 def sym3_gate(t):
     rows = t("files").select("id", "path", "size_bytes", F.when(F.col("id") % 11 != 0, F.col("text")).alias("content"), (F.col("id") % 13 != 0).alias("parsed"))
-    return gate(rows, 5000).select("id", "status", "failure_reason")
+    return gate(rows).select("id", "status", "failure_reason")
 
 
 def declarations(files: DataFrame) -> DataFrame:

@@ -116,3 +116,40 @@ def test_exports(spark, tmp_path):
     assert [r[0] for r in keys.select(export_sources("o", "h", ["u"])).collect()] == [["u"], ["u"]]
     logins = spark.createDataFrame([("o",), ("p",)], "login string")
     assert [load_state(a, b).first().origin for a, b in ((logins, logins), (logins, logins.limit(1)), (logins.limit(0), logins))] == ["fallback", "live", "not_loaded"]
+
+
+def test_states_of_sources(spark):
+    from lithic.operators.catalogue import connected_sources
+
+    repos = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "source_login string")
+    failures = spark.createDataFrame([("b",), ("c",), ("c",)], "login string")
+    assert {tuple(r) for r in connected_sources(repos, failures).collect()} == {("a", 2, "connected"), ("b", 1, "degraded"), ("c", 0, "error")}
+
+
+def test_size_ceiling(spark):
+    from lithic.operators.symbols import gate
+
+    rows = [("a.ts", 10, b"x", True), ("a.ts", 11, b"x", True), ("a.md", 1, b"x", True), ("a.js", 1, None, True), ("a.js", 1, b"\xff", True), ("A.JAVA", 1, b"x", False)]
+    found = gate(spark.createDataFrame(rows, "path string, size_bytes long, content binary, parsed boolean"), 10).select("status", "failure_reason").collect()
+    assert [tuple(r) for r in found] == [
+        ("extracted", None), ("skipped_unsupported", "exceeds size ceiling (11 > 10 bytes)"), ("skipped_unsupported", None), ("failed", "object missing"), ("failed", "not valid UTF-8"), ("failed", "parse produced syntax errors"),
+    ]
+
+
+def test_jobs_end_to_end(spark, small):
+    from lithic.plans import jobs as plans
+    from lithic.views import Tables
+
+    t = Tables(spark, small)
+    assert plans.catalogue_job(t("repo_sources"), "owner7").count() > 0
+    assert plans.overview_job(t).count() == t("snapshots").select("repository_id").distinct().count()
+    edges = plans.graph_job(t)
+    assert edges.count() == edges.select("snapshot_id", "type", "source", "key").count() > 0
+    assert {r.violations for r in plans.audit_job(t).collect()} == {0}
+
+
+def test_every_rule_of_the_schema_counts(spark, small):
+    from lithic import catalog
+
+    found = {r.rule: r.violations for r in catalog.QUERIES["sch1_all"](spark, small).collect()}
+    assert len(found) == 25 and sum(n > 0 for n in found.values()) >= 22
