@@ -223,10 +223,6 @@ def qry19_map_places(t):
     return places.select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
 
 
-#: groups whose middles are broadcast
-_GROUPS = 10_000
-
-
 def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
@@ -243,7 +239,7 @@ def nearest_in_group(rows: DataFrame, probes: int = 8, step: int = 32) -> DataFr
     """
     middle = rows.select("group", F.posexplode("v").alias("k", "x")).groupBy("group", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
     middle = middle.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("_m"))
-    placed = rows.join(F.broadcast(middle) if middle.count() <= _GROUPS else middle, "group").withColumn("_r", F.sqrt(_distance("v", "_m"))).drop("_m")
+    placed = rows.join(middle, "group").withColumn("_r", F.sqrt(_distance("v", "_m"))).drop("_m")
     ranked = number_rows(placed, [F.asc("_r"), F.asc("id")], "_k", ["group"])
     # strips of equal breadth in distance, about ``step`` rows each
     breadth = ranked.groupBy("group").agg((F.greatest((F.max("_r") - F.min("_r")) / F.greatest(F.count(F.lit(1)) / step, F.lit(1.0)), F.lit(1e-9))).alias("_w"))
@@ -254,8 +250,7 @@ def nearest_in_group(rows: DataFrame, probes: int = 8, step: int = 32) -> DataFr
     bound = own.join(near, ["group", "_s"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("_k") - F.col("_at")) <= probes)).groupBy("group", "id").agg(F.min(_distance("v", "w")).alias("_b"))
     # rounding of roots and sums must not shut a winner out
     reach = F.sqrt(F.col("_b")) * (1 + 1e-9) + 1e-6
-    wide = save(ranked.join(bound, ["group", "id"]), "bounded")
-    seekers = wide.withColumn("_s", F.explode(F.sequence(F.floor((F.col("_r") - reach) / F.col("_w")), F.floor((F.col("_r") + reach) / F.col("_w")))))
+    seekers = ranked.join(bound, ["group", "id"]).withColumn("_s", F.explode(F.sequence(F.floor((F.col("_r") - reach) / F.col("_w")), F.floor((F.col("_r") + reach) / F.col("_w")))))
     strips = ranked.select("group", F.col("id").alias("other"), F.col("v").alias("w"), F.col("_r").alias("_o"), F.floor(F.col("_r") / F.col("_w")).alias("_s"))
     pairs = seekers.join(strips, ["group", "_s"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("_r") - F.col("_o")) <= reach))
     pairs = pairs.select("id", "other", F.round(_distance("v", "w"), 9).alias("d"))
