@@ -8,7 +8,8 @@ is cut where the running total of tokens reaches the budget. Within a source
 that cut is one place in one round of its queue, so the decision is one row a
 source; it goes back to the documents without moving a text.
 
-DataFrame operations alone. Targets come from the same law in closed form: the
+DataFrame operations alone. Sources are numbered and levelled in one task, which
+holds one row a source: millions of sources fit, more do not. Targets come from the same law in closed form: the
 level L with sum(min(L * weight, repeats * size)) = budget.
 
 Defined results: a null text has size 0 and is taken 0 times; the null source

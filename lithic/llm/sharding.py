@@ -20,7 +20,8 @@ DataFrame operations alone.
 Defined results: the shard depends on the id and the shard count, so rows with
 one id, and all null ids, share a shard; a null text has size 1 and the CRC of
 the empty text; slots number each shard's rows without gaps, in an order of
-hashes, and equal rows take neighbouring slots; extra columns are kept, and
+hashes, and equal rows (same id and text, which no place tells apart) take
+neighbouring slots and are numbered by one task; extra columns are kept, and
 columns that this operator adds replace those of the same name; an empty table
 gives an empty result. Fewer than one shard is an error.
 """
