@@ -39,10 +39,10 @@ def qry1_search(t):
     return search(_classified(t), language="Java", topic="kafka", needle="  Spring ").select("id")
 
 
-@query("qry2", "SELECT id, row_number() OVER (ORDER BY pushed_at DESC NULLS LAST, id) AS by_push, row_number() OVER (ORDER BY name, id) AS by_name, row_number() OVER (ORDER BY forks DESC, id) AS by_forks FROM repos")
+@query("qry2", "SELECT id, row_number() OVER (ORDER BY pushed_at DESC NULLS LAST, id) AS by_push, row_number() OVER (ORDER BY name COLLATE en, id) AS by_name, row_number() OVER (ORDER BY forks DESC, id) AS by_forks FROM repos")
 def qry2_sort(t):
     rows = t("repos").select("id", "pushed_at", "name", "forks")
-    for order, out in (([F.desc_nulls_last("pushed_at")], "by_push"), ([F.asc("name")], "by_name"), ([F.desc("forks")], "by_forks")):
+    for order, out in (([F.desc_nulls_last("pushed_at")], "by_push"), ([F.collate("name", "UNICODE")], "by_name"), ([F.desc("forks")], "by_forks")):
         rows = number_rows(rows, [*order, F.asc("id")], out)
     return rows.select("id", "by_push", "by_name", "by_forks")
 

@@ -153,3 +153,9 @@ def test_every_rule_of_the_schema_counts(spark, small):
 
     found = {r.rule: r.violations for r in catalog.QUERIES["sch1_all"](spark, small).collect()}
     assert len(found) == 25 and sum(n > 0 for n in found.values()) >= 22
+
+
+def test_names_in_the_order_of_a_language(spark):
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(["b", "A", "a-c", "ab", "é", "B", "e", "f"])], "id long, name string")
+    found = number_rows(rows, [F.collate("name", "UNICODE"), F.asc("id")])
+    assert [r["name"] for r in found.orderBy("position").collect()] == ["A", "a-c", "ab", "b", "B", "e", "é", "f"]
