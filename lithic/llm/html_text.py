@@ -61,7 +61,7 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 #: words of names that mark furniture
 MARKED = set(
     "ad ads adv advert adverts advertisement advertising adsense banner billboard sponsor sponsored sponsors promo promotion "
-    "cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay paywall "
+    "promoted cookie cookies consent gdpr notice notices notification alert alerts disclaimer popup modal overlay paywall rail skip toolbar subscription cta "
     "sidebar sidenav aside widget widgets related recommended recommendations teaser trending popular "
     "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager toc topbar "
     "footer copyright colophon masthead header search searchbox share sharing social follow subscribe newsletter signup login tags tagcloud hidden".split()
