@@ -149,18 +149,39 @@ def _table(symbols: DataFrame, keys: list[str], most: int) -> DataFrame:
     return counts.join(refs, keys)
 
 
+#: what symbols a fact may mean, by the fact's type
+MEANS = {"CALLS": ("callable", ["function", "method"]), "EXTENDS": ("type", ["class", "interface"]), "IMPLEMENTS": ("type", ["class", "interface"])}
+
+
+def _resolved(facts: DataFrame, symbols: DataFrame, also: list[str], most: int) -> DataFrame:
+    """Facts with state, target and candidates; symbols and facts agree in name and in the columns ``also``."""
+    near = _table(symbols, ["file_id", *also, "callee"], most).select("file_id", *also, "callee", F.col("n").alias("n1"), F.col("refs").alias("refs1"))
+    far = _table(symbols, ["snapshot_id", "family", *also, "callee"], most).select("snapshot_id", "family", *also, "callee", F.col("n").alias("n2"), F.col("refs").alias("refs2"))
+    joined = facts.join(near, ["file_id", *also, "callee"], "left").join(far, ["snapshot_id", "family", *also, "callee"], "left")
+    n, refs = F.coalesce("n1", "n2", F.lit(0)), F.coalesce("refs1", "refs2")
+    state = F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("UNKNOWN")
+    return joined.select(*facts.columns, state.alias("state"), F.when(n == 1, F.get(refs, F.lit(0))).alias("target"), F.when(n > 1, refs).alias("candidates"))
+
+
+def _named(symbols: DataFrame) -> DataFrame:
+    return symbols.select("snapshot_id", "file_id", "family", "path", "start_line", "kind", F.col("name").alias("callee"), *(c for c in ("start_column", "fact") if c in symbols.columns))
+
+
 def resolve_names(facts: DataFrame, symbols: DataFrame, kinds: list[str], most: int = CANDIDATES) -> DataFrame:
     """Target of each fact(fact, file_id, snapshot_id, family, callee): its own file first, else its snapshot and family.
 
     One hit resolves, several leave it ambiguous with the first candidates, none unknown.
     """
-    fit = symbols.where(F.col("kind").isin(*kinds)).select("snapshot_id", "file_id", "family", "path", "start_line", F.col("name").alias("callee"), *(c for c in ("start_column", "fact") if c in symbols.columns))
-    near = _table(fit, ["file_id", "callee"], most).select("file_id", "callee", F.col("n").alias("n1"), F.col("refs").alias("refs1"))
-    far = _table(fit, ["snapshot_id", "family", "callee"], most).select("snapshot_id", "family", "callee", F.col("n").alias("n2"), F.col("refs").alias("refs2"))
-    joined = facts.join(near, ["file_id", "callee"], "left").join(far, ["snapshot_id", "family", "callee"], "left")
-    n, refs = F.coalesce("n1", "n2", F.lit(0)), F.coalesce("refs1", "refs2")
-    state = F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("UNKNOWN")
-    return joined.select(*facts.columns, state.alias("state"), F.when(n == 1, F.get(refs, F.lit(0))).alias("target"), F.when(n > 1, refs).alias("candidates"))
+    return _resolved(facts, _named(symbols).where(F.col("kind").isin(*kinds)), [], most)
+
+
+def resolve_facts(facts: DataFrame, symbols: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """``resolve_names`` for facts(type, ...) of all types in MEANS at once: names are gathered and joined once."""
+    role = F.coalesce(*(F.when(F.col("type") == kind, F.lit(r)) for kind, (r, _) in MEANS.items()))
+    meant = dict(MEANS.values())
+    of = F.coalesce(*(F.when(F.col("kind").isin(*kinds), F.lit(r)) for r, kinds in meant.items()))
+    fit = _named(symbols).withColumn("role", of).where("role is not null")
+    return _resolved(facts.withColumn("role", role), fit, ["role"], most).drop("role")
 
 
 def _symbols(t) -> DataFrame:
@@ -260,11 +281,11 @@ def rel11_persist(t):
 EDGE = ["snapshot_id", "type", "source_kind", "source", "target_kind", "target", "state", "name", "key", "candidates", "path", "file_id"]
 
 
-def _edges_of(resolved: DataFrame, kind: str, source_kind: str = "symbol", target_kind: str = "symbol") -> DataFrame:
-    """Resolved facts as edges."""
+def _edges_of(resolved: DataFrame, kind: str | None, source_kind: str = "symbol", target_kind: str = "symbol") -> DataFrame:
+    """Resolved facts as edges of one type, or of the types they name."""
     has = lambda c, default: F.col(c) if c in resolved.columns else F.lit(None).cast(default)
     rows = resolved.select(
-        "snapshot_id", F.lit(kind).alias("type"), F.lit(source_kind).alias("source_kind"), (F.col("fact") if source_kind == "symbol" else F.col("path")).alias("source"), F.when(F.col("target").isNotNull(), target_kind).alias("target_kind"),
+        "snapshot_id", F.lit(kind).alias("type") if kind else "type", F.lit(source_kind).alias("source_kind"), (F.col("fact") if source_kind == "symbol" else F.col("path")).alias("source"), F.when(F.col("target").isNotNull(), target_kind).alias("target_kind"),
         "target", "state", has("callee", "string").alias("name"), has("candidates", "array<string>").alias("candidates"), "path", "file_id",
     )
     return rows.withColumn("key", edge_key(F.col("snapshot_id"), F.col("type"), F.col("source"), F.col("target"), F.col("name"))).select(EDGE)
@@ -318,9 +339,12 @@ def rel13_directories(t):
 
 def build(t) -> DataFrame:
     """All edges of the derived snapshots."""
+    symbols = _symbols(t)
     relative = resolve_imports(_imports(t), t("files")).withColumn("fact", F.col("path"))
+    types = F.when(F.col("kind") == "class", F.array(F.lit("CALLS"), F.lit("EXTENDS"))).otherwise(F.array(F.lit("CALLS")))
+    facts = symbols.where("callee <> ''").select("fact", "file_id", "snapshot_id", "path", "family", "callee", F.explode(types).alias("type"))
     return reduce(UNION, [
-        contains_edges(t("files"), _nested(t), t("directories")), _edges_of(relative, "IMPORTS", "file", "file"), _edges_of(_calls(t), "CALLS"), _edges_of(_heritage(t), "EXTENDS"), _edges_of(_exports(t), "EXPORTS", "file"),
+        contains_edges(t("files"), _nested(t), t("directories")), _edges_of(relative, "IMPORTS", "file", "file"), _edges_of(resolve_facts(facts, symbols), None), _edges_of(_exports(t), "EXPORTS", "file"),
     ])
 
 
@@ -368,15 +392,14 @@ def build_from_text(files: DataFrame) -> DataFrame:
     bodies = symbols.where(F.col("kind").isin("function", "method")).select("file_id", F.col("fact").alias("symbol"), "start_at", "end_at")
     around = enclosing(calls.select("file_id", "fact", "at"), bodies, _OFFSETS)
     calls = calls.join(around, ["file_id", "fact"]).select(*own, F.col("name").alias("callee"), F.col("symbol").alias("source")).distinct()
-    calls = resolve_names(calls, symbols, ["function", "method"])
 
     heads = symbols.select("file_id", F.col("start_at").alias("owner_at"), F.col("fact").alias("source"))
     heritage = of("EXTENDS", "IMPLEMENTS").join(heads, ["file_id", "owner_at"]).select(*own, F.element_at(F.split("name", "\\."), -1).alias("callee"), "source").distinct()
-    heritage = resolve_names(heritage, symbols, _TYPES)
+    named_facts = resolve_facts(UNION(calls, heritage.select(calls.columns)), symbols)
 
     exports = resolve_exports(of("EXPORTS").select(*own, F.col("name").alias("callee")).distinct(), symbols).withColumns({"source": F.lit(None).cast("string"), "candidates": F.lit(None).cast("array<string>")})
     named = ["snapshot_id", "file_id", "path", "type", "source", "target", "state", "candidates", "callee"]
-    between = reduce(UNION, (rows.select(named) for rows in (calls, heritage, exports)))
+    between = reduce(UNION, (rows.select(named) for rows in (named_facts, exports)))
     to_symbols = between.select("snapshot_id", "file_id", "path", "type", F.coalesce("source", "path").alias("source"), F.when(F.col("source").isNull(), "file").otherwise("symbol").alias("source_kind"), F.lit("symbol").alias("kind"), "target", "state", "candidates", F.col("callee").alias("name"))
     found = UNION(imports, to_symbols).withColumn("target_kind", F.when(F.col("target").isNotNull(), F.col("kind")))
     found = found.withColumn("key", edge_key(F.col("snapshot_id"), F.col("type"), F.col("source"), F.col("target"), F.col("name"))).select(EDGE)
