@@ -79,12 +79,12 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
 #: damage done to the tables so that rules have something to count: table -> (columns in SQL, rows left)
 _DAMAGE = {
     "snapshots": ("id, repository_id, commit_sha, CASE WHEN id % 90 = 1 THEN 1 ELSE attempt_number END AS attempt_number, CASE WHEN id % 70 = 3 THEN 'gone' ELSE status END AS status, CASE WHEN id % 80 <> 5 THEN acquisition_mode END AS acquisition_mode, CASE WHEN id % 6 <> 1 THEN completed_at END AS completed_at", "id <> 3"),
-    "jobs": ("snapshot_id, unit_index, CASE WHEN unit_index = 3 AND snapshot_id % 4 = 0 THEN 'late' ELSE status END AS status", "snapshot_id > 0"),
-    "extractions": ("snapshot_id, file_id, CASE WHEN file_id % 50 = 7 THEN 'odd' ELSE status END AS status", "file_id % 45 <> 2"),
+    "jobs": ("snapshot_id, CASE WHEN unit_index = 4 AND snapshot_id % 3 = 0 THEN 0 ELSE unit_index END AS unit_index, CASE WHEN unit_index = 3 AND snapshot_id % 4 = 0 THEN 'late' ELSE status END AS status", "snapshot_id > 0"),
+    "extractions": ("CASE WHEN file_id % 33 IN (4, 5) THEN 1 ELSE snapshot_id END AS snapshot_id, CASE WHEN file_id % 33 = 4 THEN file_id + 1 ELSE file_id END AS file_id, CASE WHEN file_id % 50 = 7 THEN 'odd' ELSE status END AS status", "file_id % 45 <> 2"),
     "symbols": ("file_id, CASE WHEN start_line % 40 = 8 THEN 'path' ELSE fact END AS fact, CASE WHEN start_line % 30 = 4 THEN 'field' ELSE kind END AS kind", "file_id > 0"),
-    "edges": ("snapshot_id, file_id, CASE WHEN length(source) % 9 = 0 THEN 'LIKES' ELSE 'CALLS' END AS type, 'symbol' AS source_kind, CASE WHEN state = 'RESOLVED' THEN CASE WHEN length(source) % 7 = 0 THEN 'thing' ELSE 'symbol' END END AS target_kind, CASE WHEN length(source) % 11 = 0 THEN 'INFERRED' ELSE state END AS state, CASE WHEN length(source) % 5 = 0 THEN 0.5 WHEN length(source) % 13 = 0 THEN 1.5 END AS confidence, CASE WHEN length(source) % 8 = 0 THEN 'same' ELSE key END AS key", "file_id > 0"),
+    "edges": ("snapshot_id, file_id, CASE WHEN length(source) % 9 = 0 THEN 'LIKES' ELSE 'CALLS' END AS type, CASE WHEN length(source) % 6 = 0 THEN 'row' ELSE 'symbol' END AS source_kind, CASE WHEN state = 'RESOLVED' THEN CASE WHEN length(source) % 7 = 0 THEN 'thing' ELSE 'symbol' END END AS target_kind, CASE WHEN length(source) % 11 = 0 THEN 'INFERRED' WHEN length(source) % 7 = 1 THEN 'GUESSED' ELSE state END AS state, CASE WHEN length(source) % 5 = 0 THEN 0.5 WHEN length(source) % 13 = 0 THEN 1.5 END AS confidence, CASE WHEN length(source) % 8 = 0 THEN 'same' ELSE key END AS key", "file_id > 0"),
     "files": ("id, snapshot_id, CASE WHEN id % 60 = 9 THEN 'same' ELSE path END AS path", "id % 48 <> 6"),
-    "directories": ("snapshot_id, CASE WHEN length(path) % 5 = 4 THEN 'x' ELSE path END AS path, parent_path", "snapshot_id > 0"),
+    "directories": ("snapshot_id, CASE WHEN path LIKE '%/m1' OR path LIKE '%/m2' THEN 'x' WHEN path = 'en' THEN 'y' ELSE path END AS path, parent_path", "snapshot_id > 0"),
 }
 _SOURCES = {
     "jobs": JOBS,
