@@ -450,7 +450,9 @@ _CODE = f"""f AS MATERIALIZED (SELECT f.snapshot_id, f.id AS file_id, f.doc_id,
 @query("rel14_text", f"WITH {_CODE} SELECT snapshot_id, type, source, target, state, candidates, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM g")
 def rel14_from_text(t):
     """The graph of source files, from their text alone."""
-    return build_from_text(code_of(t)).select("snapshot_id", "type", "source", "target", "state", F.array_join("candidates", ",").alias("candidates"), "key")
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # files take longer to scan than to read
+    files = t.saved("code", lambda: code_of(t).repartition(parts, "id"))
+    return build_from_text(files).select("snapshot_id", "type", "source", "target", "state", F.array_join("candidates", ",").alias("candidates"), "key")
 
 
 _IMPORTED = f"(SELECT f.snapshot_id, f.path, arg_min(g.path, precedence) AS target FROM files f LEFT JOIN (SELECT x.file_id, g.path, precedence FROM {_TRY} x JOIN files g ON g.snapshot_id = x.snapshot_id AND g.path = candidate) g ON g.file_id = f.id GROUP BY 1, 2, f.id)"
