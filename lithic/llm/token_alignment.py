@@ -70,7 +70,7 @@ class Aligner:
         self._memory = Memory(self._chunks, REMEMBER)
 
     def _chunks(self, chunks: list[str]) -> list[tuple[str, bytes, bytes]]:
-        return list(map(self._align, chunks, map(np.ndarray.tolist, self.a.chunk_ids(chunks)), self.b.ids(chunks)))
+        return list(map(self._align, chunks, self.a.chunk_ids(chunks), self.b.ids(chunks)))
 
     def _align(self, chunk: str, first: list[int], second: list[int]) -> tuple[str, bytes, bytes]:
         """Groups as text, the four numbers, and the codes of all links; _BROKEN if the bytes differ."""
@@ -79,23 +79,19 @@ class Aligner:
         if b"".join(left) != raw or b"".join(right) != raw:
             return _BROKEN
         groups, codes, stride = [], [], self.b.size
-        at = at_a = at_b = 0  # bytes behind the last tokens taken
-        i = j = from_i = from_j = 0
-        while i < len(first):
-            if at_a == at:
+        i = j = from_i = from_j = at_a = at_b = 0  # tokens taken, where the group begins, bytes behind what is taken
+        while at_a < len(raw) or at_b < len(raw):
+            if at_a <= at_b:
                 at_a += len(left[i])
                 i += 1
-            while at_b < at_a:
+            else:
                 at_b += len(right[j])
                 j += 1
-            while at_a < at_b:
-                at_a += len(left[i])
-                i += 1
             if at_a == at_b:
                 mine, other = first[from_i:i], second[from_j:j]
                 groups.append(",".join(map(str, mine)) + "|" + ",".join(map(str, other)))
                 codes += [x * stride + y for x in mine for y in other]
-                at, from_i, from_j = at_a, i, j
+                from_i, from_j = i, j
         return ";".join(groups), np.array([len(first), len(second), len(groups), len(codes)], dtype=np.int64).tobytes(), np.array(codes, dtype=np.int64).tobytes()
 
     def texts(self, texts: list[str]) -> list[tuple[str, bytes, bytes]]:
