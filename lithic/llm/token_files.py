@@ -62,7 +62,7 @@ class Encoder:
         self._level = ByteLevel(content)
         self.width = 2 if max(self._level.size, end + 1) <= 1 << 16 else 4
         self._end = self._bytes([end])
-        self._memory = Memory(lambda chunks: [self._bytes(ids) for ids in self._level.chunk_ids(chunks)])
+        self._memory = Memory(lambda chunks: self._level.chunk_ids(chunks, self._bytes, self.width))
 
     def _bytes(self, ids) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()

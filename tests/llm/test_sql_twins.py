@@ -13,7 +13,7 @@ def value(x):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_as_sql(spark, small, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     cursor = connection.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
