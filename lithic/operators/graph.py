@@ -54,7 +54,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
     return found.select("file_id", "line", F.col("column").alias("place"), "type", "name")
 
 
-@query("rel1", "SELECT file_id, start_line AS line, 'CALLS' AS type, callee AS name FROM text_lines WHERE callee <> '' AND callee NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function', 'return', 'super', 'constructor', 'import', 'require') UNION ALL SELECT file_id, start_line, 'IMPORTS', concat('./', name) FROM text_lines WHERE kind = 'class' AND name <> ''")
+@query("rel1", f"SELECT file_id, start_line AS line, 'CALLS' AS type, callee AS name FROM text_lines WHERE callee <> '' AND callee NOT IN {tuple(sorted(NO_CALL))} UNION ALL SELECT file_id, start_line, 'IMPORTS', concat('./', name) FROM text_lines WHERE kind = 'class' AND name <> ''")
 def rel1_facts(t):
     """Facts in code made of the documents' lines: a call a line, an import for each first line."""
     code = F.concat(F.when(F.col("kind") == "class", F.concat(F.lit("import x from './"), "name", F.lit("'; "))).otherwise(""), F.when(F.col("callee") != "", F.concat("callee", F.lit("(1);"))).otherwise(""))

@@ -49,7 +49,6 @@ def test_declarations(sources):
         (1, "class", "Widget"): (1, 5),
         (1, "method", "draw"): (2, 4),
         (1, "function", "helper"): (6, 6),
-        (1, "function", "arrow"): (7, 7),
         (2, "class", "Outer"): (1, 7),
         (2, "class", "Inner"): (2, 6),
         (2, "method", "size"): (3, 5),
