@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from lithic.saved import drop_saved, new_path, save, shared_dir
 
-__all__ = ["drop_saved", "modest_batches", "new_path", "packed", "save", "shared_dir", "table", "text_bytes", "word_count"]
+__all__ = ["drop_saved", "free_prefix", "modest_batches", "new_path", "packed", "save", "shared_dir", "table", "text_bytes", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def word_count(text: Column | str, pattern: str = r"[^\x20\x09-\x0D]+") -> Colum
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """What no column of ``docs`` begins with, in any case: working columns named so clash with none."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most ``rows`` rows from here on: texts are long, and a task holds a few batches."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -15,8 +15,8 @@ level L with sum(min(L * weight, repeats * size)) = budget.
 Defined results: a null text has size 0 and is taken 0 times; the null source
 is a source like others, the last one; rows with equal ids in one source share
 a place and are taken alike; ties of finish time go by source and place; extra
-columns are kept, and columns that this operator adds replace those of the same
-name; an empty table gives an empty result.
+columns are kept whatever their names, and columns that this operator adds
+replace those of the same name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithic.llm.common import save, table, word_count
+from lithic.llm.common import free_prefix, save, table, word_count
 from lithic.llm.running import running_total
 
 #: finish times are cut into this many equal steps up to the level
@@ -61,8 +61,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     the document, ``taken`` how many words that is.
     """
     docs = docs.drop("size", "source_size", "target", "times", "taken")
-    sized = docs.withColumn("size", word_count("text")).withColumn("_place", place_of(F.col("doc_id"))).withColumn("_source", F.col("source").cast("string"))
-    units = save(sized.groupBy(F.col("_source").alias("source"), "_place").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "units")
+    place, source, name, round_, last = (f"{free_prefix(docs)}{n}" for n in ("place", "source", "name", "round", "last"))
+    sized = docs.withColumn("size", word_count("text")).withColumn(place, place_of(F.col("doc_id"))).withColumn(source, F.col("source").cast("string"))
+    units = save(sized.groupBy(F.col(source).alias("source"), F.col(place).alias("_place")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "units")
     sources = save(source_targets(units.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "sources")
     n = units.count()
 
@@ -78,11 +79,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     total = running_total(served, [], "step", [F.col("finish"), F.col("number"), F.col("_place"), F.col("round")], F.col("size"), n * repeats, "total")
     cut = total.where("total <= budget").groupBy("number").agg(F.max(F.struct("round", "_place")).alias("last"))
 
-    decided = save(sources.join(cut, "number", "left").select(F.col("source").alias("_name"), "source_size", "target", F.col("last.round").alias("_round"), F.col("last._place").alias("_last")), "mix")
-    found = sized.join(decided, F.col("_source").eqNullSafe(F.col("_name")))
-    times = F.when(F.col("_round").isNull() | (F.col("size") == 0), 0).when(F.col("_place") <= F.col("_last"), F.col("_round") + 1).otherwise(F.col("_round"))
+    decided = save(sources.join(cut, "number", "left").select(F.col("source").alias(name), "source_size", "target", F.col("last.round").alias(round_), F.col("last._place").alias(last)), "mix")
+    found = sized.join(decided, F.col(source).eqNullSafe(F.col(name)))
+    times = F.when(F.col(round_).isNull() | (F.col("size") == 0), 0).when(F.col(place) <= F.col(last), F.col(round_) + 1).otherwise(F.col(round_))
     found = found.withColumn("times", times.cast("int")).withColumn("taken", (F.col("times") * F.col("size")).cast("long"))
-    return found.drop("_place", "_source", "_name", "_round", "_last")
+    return found.drop(place, source, name, round_, last)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, repeats: int = 3) -> DataFrame:

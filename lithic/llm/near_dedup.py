@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
-from lithic.llm.common import drop_saved, modest_batches, save, table
+from lithic.llm.common import drop_saved, free_prefix, modest_batches, save, table
 from lithic.llm.components import connected_components
 
 BLOCK = 128
@@ -355,14 +355,16 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     that repeat an id or have none are rows like others, and a row is never
     dropped for what another row with its id says. Of a group the row with the
     least id stays, rows without an id last. Rows without words are all kept.
+    Extra columns are kept whatever their names.
     """
-    keyed = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), n, percent)
-    ids = keyed.select(F.col("_row").alias("_own"), F.col("doc_id").cast("long").alias("_id"))
+    row = f"{free_prefix(docs)}row"
+    keyed = save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    ids = keyed.select(F.col(row).alias("_own"), F.col("doc_id").cast("long").alias("_id"))
     linked = found.where("doc_id <> component_id").select("doc_id", "component_id")
     linked = save(linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct()), "linked")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_own").alias("row"))
     first = linked.join(ids, F.col("doc_id") == F.col("_own")).groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.row").alias("doc_id"))
-    gone = save(linked.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("_row")), "dropped")
+    gone = save(linked.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias(row)), "dropped")
     drop_saved(linked)
-    return keyed.join(gone, "_row", "left_anti").select(docs.columns)
+    return keyed.join(gone, row, "left_anti").select(docs.columns)

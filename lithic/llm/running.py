@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithic.llm.common import save
+from lithic.llm.common import drop_saved, free_prefix, save
 
 #: rows of a last stretch, on average, at most
 STRETCH = 1024
@@ -28,8 +28,10 @@ def running_total(rows: DataFrame, group: list[str], digits_of: str, order: list
     while 16**digits * STRETCH < n:
         digits += 1
     levels = [*range(2, digits, 2), digits]
-    rows = rows.withColumn("_at", F.substring(digits_of, 1, digits))
-    sums = save(rows.groupBy(*group, "_at").agg(F.sum(value).alias("_sum")), "sums")
+    prefix = free_prefix(rows)
+    at, before_ = f"{prefix}at", f"{prefix}before"
+    rows = rows.withColumn(at, F.substring(digits_of, 1, digits))
+    sums = save(rows.groupBy(*group, F.col(at).alias("_at")).agg(F.sum(value).alias("_sum")), "sums")
     offsets = None
     for above, level in zip([0, *levels], levels, strict=False):
         part = sums.groupBy(*group, F.substring("_at", 1, level).alias("_at")).agg(F.sum("_sum").alias("_sum"))
@@ -40,6 +42,7 @@ def running_total(rows: DataFrame, group: list[str], digits_of: str, order: list
             upper = offsets.select(*group, F.col("_at").alias("_above"), F.col("_before").alias("_upper"))
             part = part.join(upper, [*group, "_above"]).withColumn("_before", F.col("_before") + F.col("_upper"))
         offsets = part.select(*group, "_at", "_before")
-    offsets = save(offsets, "offsets")
-    inside = F.sum(value).over(W.partitionBy(*group, "_at").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.join(offsets, [*group, "_at"]).withColumn(out, F.col("_before") + inside).drop("_at", "_before")
+    offsets = save(offsets.select(*group, F.col("_at").alias(at), F.col("_before").alias(before_)), "offsets")
+    drop_saved(sums)
+    inside = F.sum(value).over(W.partitionBy(*group, at).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.join(offsets, [*group, at]).withColumn(out, F.col(before_) + inside).drop(at, before_)

@@ -21,8 +21,8 @@ Defined results: the shard depends on the id and the shard count, so rows with
 one id, and all null ids, share a shard; a null text has size 1 and the CRC of
 the empty text; slots number each shard's rows without gaps, in an order of
 hashes, and equal rows (same id and text, which no place tells apart) take
-neighbouring slots and are numbered by one task; extra columns are kept, and
-columns that this operator adds replace those of the same name; an empty table
+neighbouring slots and are numbered by one task; extra columns are kept
+whatever their names, and columns that this operator adds replace those of the same name; an empty table
 gives an empty result. Fewer than one shard is an error.
 """
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import table
+from lithic.llm.common import free_prefix, table
 from lithic.llm.running import running_total
 
 #: shape of a region: racks, shards a rack; regions of zone 0
@@ -115,9 +115,10 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
             "grown_shard": placed(F.col("doc_id"), shards + 1).cast("int"),
         }
     )
-    rows = rows.withColumn("_place", F.lpad(F.hex(F.xxhash64("doc_id", "text_crc32", F.lit("slot"))), 16, "0"))
-    numbered = running_total(rows, ["shard"], "_place", [F.col("_place")], F.lit(1), docs.count(), "slot")
-    return numbered.withColumn("slot", (F.col("slot") - 1).cast("long")).drop("_place")
+    place = f"{free_prefix(rows)}place"
+    rows = rows.withColumn(place, F.lpad(F.hex(F.xxhash64("doc_id", "text_crc32", F.lit("slot"))), 16, "0"))
+    numbered = running_total(rows, ["shard"], place, [F.col(place)], F.lit(1), docs.count(), "slot")
+    return numbered.withColumn("slot", (F.col("slot") - 1).cast("long")).drop(place)
 
 
 def op6_shard_tree(spark, sf_dir: str) -> DataFrame:

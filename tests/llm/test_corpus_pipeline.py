@@ -1,5 +1,7 @@
 """The corpus pipeline keeps its columns and lets each stage's decisions take effect."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lithic.llm import decontaminate, mixing, near_dedup, quality
 from lithic.llm.common import save, table
@@ -39,3 +41,18 @@ def test_no_rows(spark, small, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = save(stage(spark, docs, small), "stage")
         assert docs.count() == 0
+
+
+#: names that the operators' modules use for columns of their own, and none that they add to results
+WORKING = "_row _place _source _name _round _last _at _before _above _upper _sum _own _id __at __row row found key block node part cluster group start before first last m k n number level budget weight cap end total step times_ digest path".split()
+
+
+def test_extra_columns_of_any_name_stay_as_they_are(spark, small):
+    docs = table(spark, small, "documents").limit(150)
+    docs = save(docs.select("*", *(F.concat(F.lit(f"{name}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(name) for name in WORKING)), "wide")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = save(stage(spark, docs, small), "stage")
+        rows = docs.select("doc_id", *WORKING).collect()
+        assert rows and all(r[w] == f"{w}:{r.doc_id}" for r in rows for w in WORKING), name
+    mixed = mixing.mix_sources(table(spark, small, "documents").select("*", *(F.col("doc_id").alias(w) for w in WORKING)))
+    assert all(r[w] == r.doc_id for r in mixed.collect() for w in WORKING)
