@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithic.operators.code import NO_CALL, scan_files
-from lithic.operators.symbols import BIN, directory_chain, in_bins, nest
+from lithic.operators.quantiles import middle_and_p95
+from lithic.operators.symbols import around_points, directory_chain, nest
 from lithic.registry import query
 from lithic.saved import save
 
@@ -30,21 +31,18 @@ NONE = "∅"
 UNION = DataFrame.unionByName
 
 
-def enclosing(facts: DataFrame, symbols: DataFrame, width: int = BIN) -> DataFrame:
-    """Innermost symbol(file_id, symbol, start_at, end_at) around each fact(file_id, fact, at), null outside.
-
-    Facts and symbols meet in stretches of ``width`` positions of the file.
-    """
-    spans = in_bins(symbols, "start_at", "end_at", width).select("file_id", "bin", "symbol", "start_at", "end_at")
-    inner = facts.select("file_id", "fact", "at", F.floor(F.col("at") / width).alias("bin")).join(spans, ["file_id", "bin"]).where("start_at <= at and at <= end_at")
-    found = inner.groupBy("file_id", "fact").agg(F.max_by("symbol", F.struct("start_at", -F.col("end_at"), "symbol")).alias("symbol"))
+def enclosing(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Innermost symbol(file_id, symbol, start_at, end_at) around each fact(file_id, fact, at), null outside."""
+    spans = symbols.where("start_at <= end_at").select("file_id", "symbol", "start_at", "end_at", F.col("start_at").alias("s"), F.col("end_at").alias("e"))
+    inner = around_points(facts.select("file_id", "fact", "at"), "at", spans)
+    found = inner.groupBy("file_id", "fact").agg(F.max_by("symbol", F.struct("s", -F.col("e"), "symbol")).alias("symbol"))
     return facts.join(found, ["file_id", "fact"], "left").select("file_id", "fact", "symbol")
 
 
-@query("rel2", "SELECT f.event_id AS fact, arg_max(s.event_id, (s.start_at, -s.end_at, s.event_id)) AS symbol FROM events f LEFT JOIN spans s ON s.user_id = f.user_id AND s.event_id % 5 = 0 AND s.start_at <= f.event_id % 997 AND f.event_id % 997 <= s.end_at GROUP BY 1")
+@query("rel2", "SELECT f.event_id AS fact, arg_max(s.event_id, (s.start_at, -s.end_at, s.event_id)) AS symbol FROM events f LEFT JOIN spans s ON s.user_id = f.user_id AND s.start_at <= f.event_id % 997 AND f.event_id % 997 <= s.end_at GROUP BY 1")
 def rel2_enclosing(t):
     facts = t("events").select(F.col("event_id").alias("fact"), F.col("user_id").alias("file_id"), (F.col("event_id") % 997).alias("at"))
-    symbols = t("spans").where("event_id % 5 = 0").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("symbol"), "start_at", "end_at")
+    symbols = t("spans").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("symbol"), "start_at", "end_at")
     return enclosing(facts, symbols).select("fact", "symbol")
 
 
@@ -348,8 +346,6 @@ def build(t) -> DataFrame:
     ])
 
 
-#: offsets that calls and functions of a text meet in
-_OFFSETS = 2048
 _TYPES = ["class", "interface"]
 
 
@@ -390,7 +386,7 @@ def build_from_text(files: DataFrame) -> DataFrame:
 
     calls = of("CALLS").withColumn("fact", F.struct("at", "name"))
     bodies = symbols.where(F.col("kind").isin("function", "method")).select("file_id", F.col("fact").alias("symbol"), "start_at", "end_at")
-    around = enclosing(calls.select("file_id", "fact", "at"), bodies, _OFFSETS)
+    around = enclosing(calls.select("file_id", "fact", "at"), bodies)
     calls = calls.join(around, ["file_id", "fact"]).select(*own, F.col("name").alias("callee"), F.col("symbol").alias("source")).distinct()
 
     heads = symbols.select("file_id", F.col("start_at").alias("owner_at"), F.col("fact").alias("source"))
@@ -687,11 +683,11 @@ def degree_statistics(nodes: DataFrame) -> DataFrame:
     """For each snapshot and direction over nodes that have edges in it: number, statistics, the node with most (the least name on ties)."""
     sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("n")) for side, c in (("out", "out_degree"), ("in", "in_degree"), ("called", "called"))))
     each = nodes.select("snapshot_id", "ref", F.explode(sides).alias("e")).select("snapshot_id", "ref", "e.*").where("n > 0")
+    each = save(each, "degrees")
     n = F.col("n")
-    return each.groupBy("snapshot_id", "side").agg(
-        F.count(n).alias("nodes"), F.min(n).alias("low"), F.median(n).alias("mid"), F.expr("percentile_disc(0.95) within group (order by n)").cast("long").alias("p95"), F.max(n).alias("high"), F.round(F.avg(n), 6).alias("mean"),
-        F.min_by("ref", F.struct(-n, "ref")).alias("hub"),
-    )
+    plain = each.groupBy("snapshot_id", "side").agg(F.count(n).alias("nodes"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.avg(n), 6).alias("mean"), F.min_by("ref", F.struct(-n, "ref")).alias("hub"))
+    ordered = middle_and_p95(each, ["snapshot_id", "side"], "n").drop("n")
+    return plain.join(ordered, ["snapshot_id", "side"]).select("snapshot_id", "side", "nodes", "low", "mid", "p95", "high", "mean", "hub")
 
 
 @query("rel23_hubs", f"""WITH e AS (SELECT snapshot_id, source AS ref, 1 AS o, 0 AS i, 0 AS c FROM {GRAPH} g UNION ALL SELECT snapshot_id, target, 0, 1, CASE WHEN type = 'CALLS' THEN 1 ELSE 0 END FROM {GRAPH} g WHERE target IS NOT NULL), d AS (SELECT snapshot_id, ref, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i, sum(c)::BIGINT AS c FROM e GROUP BY 1, 2),
@@ -742,9 +738,16 @@ def pending_units(units: DataFrame, checkpoints: DataFrame, version: str) -> Dat
 
 @query("rel27", "SELECT event_type, count(*) AS n, round(min(value), 9) AS low, round(median(value), 9) AS mid, round(quantile_disc(value, 0.95), 9) AS p95, round(max(value), 9) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(stddev_pop(value) / avg(value), 6) AS cv FROM events GROUP BY 1")
 def rel27_stats(t):
-    v = F.col("value")
-    stats = t("events").groupBy("event_type").agg(F.count(v).alias("n"), F.round(F.min(v), 9).alias("low"), F.round(F.median(v), 9).alias("mid"), F.round(F.expr("percentile_disc(0.95) within group (order by value)"), 9).alias("p95"), F.round(F.max(v), 9).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
-    return stats.select("event_type", "n", "low", "mid", "p95", "high", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.col("sd") / F.col("mean"), 6).alias("cv"))
+    return sample_stats(t("events"), "event_type", "value")
+
+
+def sample_stats(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Number, extremes, middle, 95th percentile, mean, deviation and coefficient of variation of each group."""
+    v = F.col(value)
+    stats = rows.groupBy(key).agg(F.round(F.min(v), 9).alias("low"), F.round(F.max(v), 9).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    ordered = middle_and_p95(rows, [key], value).withColumnRenamed(key, "_key")
+    joined = stats.join(ordered, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.select(key, "n", "low", F.round("mid", 9).alias("mid"), F.round("p95", 9).alias("p95"), "high", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.col("sd") / F.col("mean"), 6).alias("cv"))
 
 
 @query("rel28", "SELECT user_id, round(coalesce(regr_slope(value, event_id), 0), 9) AS slope FROM events GROUP BY 1")

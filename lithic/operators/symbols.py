@@ -17,8 +17,6 @@ LANGUAGES = {"java": "java", "js": "javascript", "jsx": "javascript", "mjs": "ja
 SIZE_CEILING = 10 << 20
 VERSION = "1"
 UNIT = 50
-#: positions of a file that spans and facts meet in
-BIN = 64
 
 
 def language_of(path: Column) -> Column:
@@ -90,21 +88,50 @@ def sym4_declarations(t):
     return found.select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
-def in_bins(spans: DataFrame, start: str, end: str, width: int = BIN) -> DataFrame:
-    """spans once for each stretch of ``width`` positions that they touch, as column bin: what meets at a position shares its bin."""
-    return spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, end) / width))))
+def dyadic_nodes(start: Column, end: Column) -> Column:
+    """The fewest stretches (level, place) of 2**level positions that make up the positions from start to end.
+
+    There are at most two at a level, so at most twice the logarithm of the end.
+    """
+    behind = end + 1
+    shifted = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k)).cast("long")
+
+    def at(k: Column) -> Column:
+        low, high = -shifted(-start, k), shifted(behind, k)
+        node = lambda x: F.struct(k.cast("int").alias("level"), x.alias("place"))
+        left = F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), node(low))
+        right = F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), node(high - 1))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(behind, F.lit(1)) + 1)).cast("int"))
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
+def around_points(points: DataFrame, at: str, spans: DataFrame) -> DataFrame:
+    """points(file_id, ...) beside each of spans(file_id, start_at, end_at, ...) of their file that covers position ``at``.
+
+    A span lies at its few nodes of a tree of stretches, a point looks at the
+    stretches around it on the levels that its file uses: each span that covers
+    it is met once, and no span is copied along its length.
+    """
+    placed = spans.withColumn("_node", F.explode(dyadic_nodes(F.col("start_at"), F.greatest("start_at", "end_at"))))
+    levels = placed.groupBy("file_id").agg(F.collect_set("_node.level").alias("_levels"))  # some 60 at most
+    asking = points.join(levels, "file_id").withColumn("_level", F.explode("_levels")).drop("_levels")
+    asking = asking.withColumn("_place", F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    placed = placed.select("*", F.col("_node.level").alias("_level"), F.col("_node.place").alias("_place")).drop("_node", "start_at", "end_at")
+    return asking.join(placed, ["file_id", "_level", "_place"]).drop("_level", "_place")
 
 
 def nest(symbols: DataFrame) -> DataFrame:
     """Parent and qualified name of symbols(file_id, symbol, name, start_at, end_at) by containment.
 
     The enclosing symbols of a symbol are those of its file that begin no later
-    and end no earlier; the nearest begins last. They meet in the stretch of the
-    file where the symbol begins, not in the whole file.
+    and end no earlier; the nearest begins last. They are found as the spans
+    around the position where the symbol begins.
     """
-    outer = in_bins(symbols, "start_at", "end_at").select("file_id", "bin", F.col("symbol").alias("o"), F.col("name").alias("o_name"), F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"))
+    outer = symbols.select("file_id", F.col("symbol").alias("o"), F.col("name").alias("o_name"), "start_at", "end_at", F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"))
     wider = (F.col("o_start") < F.col("start_at")) & (F.col("o_end") >= F.col("end_at")) | (F.col("o_start") == F.col("start_at")) & (F.col("o_end") > F.col("end_at"))
-    pairs = symbols.withColumn("bin", F.floor(F.col("start_at") / BIN)).join(outer, ["file_id", "bin"]).where(wider)
+    pairs = around_points(symbols, "start_at", outer).where(wider)
     around = pairs.groupBy("file_id", "symbol").agg(
         F.max_by("o", F.struct("o_start", -F.col("o_end"), "o")).alias("parent"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_start", (-F.col("o_end")).alias("e"), "o", "o_name"))), lambda x: x["o_name"]), ".").alias("outer_names"),
