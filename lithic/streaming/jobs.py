@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lithic.operators.snapshots import JOBS, RETRIES, job_states
 from lithic.registry import query
@@ -28,39 +26,131 @@ def without_redelivery(events: DataFrame, keys: list[str], time: str, delay: str
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-_STATE = "done_id long, last_id long, last string, cursor_at long, failure_ids array<long>, reasons array<string>"
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _OUT = "snapshot_id long, unit_index long, status string, retry_count long, cursor_at long, failure_reason string"
+_KEPT = "done_id long, last_id long, last string, cursor_at long, failures long, top_id long, top_reason string"
+
+
+def on_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with several variables and timers needs this store; its data lie on disk, not in the heap."""
+    spark.conf.set(*ROCKSDB)
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State after the events so far, whatever the order they came in.
+class JobFold(StatefulProcessor):
+    """The state of a unit after the events so far, whatever the order they came in.
 
-    Held are the first completion, the newest event and the failures before the
-    first completion by id: a repeat changes none of them, a late event takes its
-    place among them.
+    One value holds the first completion, the newest event, and number and last
+    of the failures before the completion. The failures themselves are a map by
+    event, of which a batch reads only those it brings; a repeat is found there, a
+    late event takes its place. Only a completion that comes before one that is
+    known looks through the map, once, and drops what it puts an end to.
     """
-    done_id, last_id, last, cursor, ids, reasons = state.get if state.exists else (None, -1, None, None, [], [])
-    rows = pd.concat(list(batches))
-    completed = rows.loc[rows.event == "completed", "event_id"]
-    if len(completed):
-        done_id = min(int(completed.min()), done_id if done_id is not None else 1 << 62)
-    newest = rows.loc[rows.event_id.idxmax()] if rows.index.is_unique else rows.iloc[int(rows.event_id.to_numpy().argmax())]
-    if newest.event_id > last_id:
-        last_id, last, cursor = int(newest.event_id), newest.event, int(newest.cursor_at)
-    failed = rows[rows.event == "failure"]
-    failures = dict(zip(ids, reasons, strict=True)) | dict(zip(failed.event_id.astype(int).tolist(), failed.reason.tolist(), strict=True))
-    early = sorted(k for k in failures if done_id is None or k < done_id)
-    state.update((done_id, last_id, last, cursor, early, [failures[k] for k in early]))
-    status = "completed" if done_id is not None else "failed" if len(early) >= RETRIES else "retrying" if last == "failure" else "pending"
-    yield pd.DataFrame([[*key, status, min(len(early), RETRIES), cursor, failures[early[-1]] if early else None]], columns=["snapshot_id", "unit_index", "status", "retry_count", "cursor_at", "failure_reason"])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._job = handle.getValueState("job", _KEPT)
+        self._failures = handle.getMapState("failures", "event_id long", "reason string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        done, last_id, last, cursor, n, top, reason = self._job.get() if self._job.exists() else (None, -1, None, None, 0, None, None)
+        for batch in rows:
+            for event_id, event, cursor_at, why in zip(batch.event_id, batch.event, batch.cursor_at, batch.reason, strict=True):
+                event_id = int(event_id)
+                if event_id > last_id:
+                    last_id, last, cursor = event_id, event, int(cursor_at)
+                if event == "completed" and (done is None or event_id < done):
+                    done = event_id
+                    if top is not None and top > done:
+                        n, top, reason = self._settle(done)
+                elif event == "failure" and (done is None or event_id < done) and not self._failures.containsKey((event_id,)):
+                    self._failures.updateValue((event_id,), (why,))
+                    n += 1
+                    if top is None or event_id > top:
+                        top, reason = event_id, why
+        self._job.update((done, last_id, last, cursor, n, top, reason))
+        status = "completed" if done is not None else "failed" if n >= RETRIES else "retrying" if last == "failure" else "pending"
+        yield pd.DataFrame([[*key, status, min(n, RETRIES), cursor, reason]], columns=["snapshot_id", "unit_index", "status", "retry_count", "cursor_at", "failure_reason"])
+
+    def _settle(self, done: int) -> tuple:
+        late = [k[0] for k in self._failures.keys() if k[0] >= done]
+        for k in late:
+            self._failures.removeKey((k,))
+        n, top, reason = 0, None, None
+        for (k,), (why,) in self._failures.iterator():
+            n += 1
+            if top is None or k > top:
+                top, reason = k, why
+        return n, top, reason
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """The state of each unit as its events come: completed sticks, repeats change nothing, late events count in their place.
+    """The state of each unit as its events come: completed sticks, repeats change nothing, late events count in their place."""
+    on_rocksdb(events.sparkSession)
+    return events.groupBy(*UNIT).transformWithStateInPandas(JobFold(), _OUT, "Update", "None")
+
+
+_LEASED = "snapshot_id long, unit_index long, state string, attempts long, reclaims long, not_before long, at_ms long, cause string"
+_HELD = "state string, attempts long, reclaims long, since long, not_before long, last_id long"
+
+
+class Leases(StatefulProcessor):
+    """Claims with a lease and retries with a delay, on event time.
+
+    A claim sets a timer at the end of its lease, a transient failure one at the
+    time of the next attempt; both end in PENDING without any event of the unit.
+    What has happened since makes a timer void. DONE and FAILED are final. Of
+    the events of a unit that are not newer than the last one nothing comes.
+    """
 
-    A unit's state holds one entry for each failure before its first completion.
+    def __init__(self, lease_ms: int) -> None:
+        self._lease = lease_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._job = handle.getValueState("job", _HELD)
+
+    def _held(self) -> tuple:
+        return self._job.get() if self._job.exists() else ("PENDING", 0, 0, None, None, -1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        out = []
+        events = pd.concat(list(rows)).sort_values("event_id", kind="stable")
+        for event_id, event, at, transient in zip(events.event_id.astype(int), events.event, events.at_ms.astype(int), events.transient, strict=True):
+            state, attempts, reclaims, _, not_before, last_id = self._held()
+            if event_id <= last_id or state in ("DONE", "FAILED"):
+                continue
+            if event == "claimed":
+                state, not_before = "CLAIMED", None
+                self._handle.registerTimer(at + self._lease)
+            elif event == "completed":
+                state, not_before = "DONE", None
+            elif event == "failure":
+                attempts += 1
+                again = bool(transient) and attempts < ATTEMPTS
+                state, not_before = ("RETRYING", at + BACKOFF_MS * 2 ** (attempts - 1)) if again else ("FAILED", None)
+                if again:
+                    self._handle.registerTimer(not_before)
+            self._job.update((state, attempts, reclaims, at, not_before, event_id))
+            out.append((*key, state, attempts, reclaims, not_before, at, event))
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in _LEASED.split(", ")]).astype({"not_before": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        state, attempts, reclaims, since, not_before, last_id = self._held()
+        stale, due = state == "CLAIMED" and at >= since + self._lease, state == "RETRYING" and at >= not_before
+        if stale or due:
+            reclaims += int(stale)
+            self._job.update(("PENDING", attempts, reclaims, at, None, last_id))
+            yield pd.DataFrame([(*key, "PENDING", attempts, reclaims, None, at, "lease expired" if stale else "retry due")], columns=[f.split()[0] for f in _LEASED.split(", ")]).astype({"not_before": "Int64"})
+
+
+def lease_stream(events: DataFrame, time: str, lease_ms: int, delay: str = "1 minute") -> DataFrame:
+    """State changes of units from events(snapshot_id, unit_index, event_id, event, at_ms, transient, ``time``).
+
+    Timers fire when the watermark, ``delay`` behind the newest event of any unit, passes them.
     """
-    return events.groupBy(*UNIT).applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    on_rocksdb(events.sparkSession)
+    return events.withWatermark(time, delay).groupBy(*UNIT).transformWithStateInPandas(Leases(lease_ms), _LEASED, "Update", "EventTime")
 
 
 def replay_safe_sink(keys: list[str], path: str, spark_dir_name: str = "batch"):

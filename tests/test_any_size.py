@@ -36,18 +36,28 @@ def test_long_chains_and_circles(spark):
     assert found[30_000] == (30_000, 0) and found[30_001] == (30_000, 1) and found[30_002] == (30_002, 0)
 
 
-class State:
-    exists, get = False, None
+class Held:
+    """State variables of one key in plain Python."""
 
-    def update(self, value):
-        self.exists, self.get = True, value
+    def __init__(self):
+        self.value, self.map = None, {}
+        self.exists, self.get, self.update = lambda: self.value is not None, lambda: self.value, lambda v: setattr(self, "value", v)
+        self.containsKey, self.updateValue, self.removeKey = lambda k: k in self.map, lambda k, v: self.map.__setitem__(k, v), lambda k: self.map.pop(k)
+        self.keys, self.iterator = lambda: list(self.map), lambda: iter(self.map.items())
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
 
 
 def fold(batches):
-    state, out = State(), None
+    processor, out = jobs.JobFold(), None
+    processor.init(Held())
     for rows in batches:
         frame = pd.DataFrame(rows, columns=["event_id", "event", "cursor_at", "reason"])
-        out = next(jobs._fold((1, 2), iter([frame]), state)).iloc[0].tolist()
+        out = next(processor.handleInputRows((1, 2), iter([frame]), None)).iloc[0].tolist()
     return out
 
 
