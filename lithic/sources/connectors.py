@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lithic.registry import query
 from lithic.saved import new_path
+from lithic.sources.store import Store
 
 API = "id long, name string, full_name string, html_url string, description string, language string, topics array<string>, stargazers_count long, forks_count long, license struct<spdx_id:string>, fork boolean, archived boolean, pushed_at string"
 
@@ -201,7 +202,12 @@ def content_additions(files: DataFrame, store: DataFrame) -> DataFrame:
 
 @query("snk1", "SELECT DISTINCT content_hash, size_bytes FROM files WHERE content_hash NOT IN (SELECT content_hash FROM files WHERE id % 4 = 0)")
 def snk1_append(t):
-    return content_additions(t("files"), t("files").where("id % 4 = 0"))
+    """What a second write adds to a store that has a fourth of the files."""
+    store = Store(t.spark, new_path(t.spark, "contents"), "content_hash")
+    files = t("files").select("content_hash", "size_bytes")
+    first = store.append_new(t("files").where("id % 4 = 0").select(files.columns))
+    added = store.read(store.append_new(files))
+    return added.join(store.read(first), "content_hash", "left_anti")
 
 
 def export_sources(default: str, host: str, urls: list[str] | None = None) -> Column:
@@ -257,9 +263,9 @@ def snk2_export(t):
     return export_envelopes(t("repos"), "owner7")
 
 
-def replace_by_source(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Replace the stored rows of every source key in ``rows``; other keys stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(path)
+def replace_by_source(spark: SparkSession, rows: DataFrame, path: str) -> int:
+    """Replace the stored rows of every source key in ``rows`` at once; other keys stay. The number of the new version."""
+    return Store(spark, path, "source_key").replace(rows)
 
 
 def with_source(rows: DataFrame, host: str = "forge.example") -> DataFrame:
@@ -278,7 +284,7 @@ def snk3_replace(t):
     path, rows = new_path(t.spark, "cache"), with_source(rows)
     replace_by_source(t.spark, rows, path)
     replace_by_source(t.spark, rows.where("id % 5 = 3 and id % 2 <> 0").withColumn("stars", F.col("stars") + 1), path)
-    return t.spark.read.schema(rows.schema).parquet(path).select("id", "source_key", "stars", "source_login", "source_kind")
+    return Store(t.spark, path, "source_key").read().select("id", "source_key", "stars", "source_login", "source_kind")
 
 
 def fresh(rows: DataFrame, as_of: Column, ttl_ms: int = 900_000) -> DataFrame:

@@ -14,6 +14,7 @@ from lithic.operators.catalogue import MESSAGES, message
 from lithic.operators.ordering import number_rows
 from lithic.operators.symbols import declarations, nest
 from lithic.sources.connectors import initial_sources, replace_by_source, scan_archives, without_root
+from lithic.sources.store import Store
 from lithic.sources.inputs import parse_source, valid_identity
 from lithic.sources.paths import extension_of, safe_path
 
@@ -158,7 +159,7 @@ def test_replace_by_source(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "id long, source_key string")
     replace_by_source(spark, frame([(1, "a"), (2, "a"), (3, "b")]), path)
     replace_by_source(spark, frame([(4, "a")]), path)
-    assert {(r.id, r.source_key) for r in spark.read.parquet(path).collect()} == {(4, "a"), (3, "b")}
+    assert {(r.id, r.source_key) for r in Store(spark, path, "source_key").read().collect()} == {(4, "a"), (3, "b")}
 
 
 def test_formats(spark):
