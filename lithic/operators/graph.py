@@ -17,10 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithic.operators.code import NO_CALL, scan_files
+from lithic.operators.edge_store import pages, read_edges, write_edges
 from lithic.operators.quantiles import middle_and_p95
 from lithic.operators.symbols import around_points, directory_chain, nest
 from lithic.registry import query
-from lithic.saved import save
+from lithic.saved import new_path, save
 
 # ---- fixed values
 CANDIDATES = 20
@@ -651,19 +652,14 @@ def rel21_totals(t):
     return totals(_graph(t), _symbols(t), t("extractions"))
 
 
-def relationships(edges: DataFrame, wanted: DataFrame, kind: str | None = None, limit: int = 100) -> DataFrame:
-    """The first edges out of and into each wanted(snapshot_id, ref), with candidates where ambiguous."""
-    rows = edges.where(F.col("type") == kind) if kind else edges
-    sides = [rows.join(wanted.withColumnRenamed("ref", end), ["snapshot_id", end]).select("snapshot_id", F.col(end).alias("ref"), F.lit(side).alias("side"), "type", "key", "state", "candidates") for end, side in (("source", "out"), ("target", "in"))]
-    k = F.row_number().over(W.partitionBy("snapshot_id", "ref", "side").orderBy("key"))
-    found = reduce(UNION, sides).withColumn("k", k).where(F.col("k") <= limit)
-    return found.select("ref", "side", "key", F.when(F.col("state") == "AMBIGUOUS", F.size("candidates")).alias("candidates"))
-
-
 @query("rel22", f"""WITH g AS MATERIALIZED (SELECT *, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM {GRAPH} g), w AS (SELECT snapshot_id, path AS ref FROM files), u AS (SELECT w.ref, 'out' AS side, key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.source UNION ALL SELECT w.ref, 'in', key, state, cands, w.snapshot_id FROM g JOIN w ON w.snapshot_id = g.snapshot_id AND w.ref = g.target)
     SELECT ref, side, key, CASE WHEN state = 'AMBIGUOUS' THEN len(string_split(cands, ','))::INTEGER END AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, ref, side ORDER BY key) AS k FROM u) q WHERE k <= 100""")
 def rel22_relationships(t):
-    return relationships(_graph(t), t("files").select("snapshot_id", F.col("path").alias("ref")))
+    """The first page of every file on both sides, from an edge store."""
+    path = new_path(t.spark, "edge-store")
+    write_edges(build(t), path)
+    found = pages(read_edges(t.spark, path), t("files").select("snapshot_id", F.col("path").alias("ref")))
+    return found.select("ref", "side", "key", F.size("candidates").alias("candidates"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
