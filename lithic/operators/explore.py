@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lithic.functions.hashing import unit_hash
 from lithic.operators.catalogue import CATEGORIES, CLASSIFIED, catalogue_order, classify
+from lithic.operators.nearest import nearest_in_group
 from lithic.operators.ordering import number_rows
 from lithic.registry import query
-from lithic.saved import save
 
 _CATEGORY_ROWS = ", ".join(f"({k}, '{c}')" for k, c in enumerate(CATEGORIES))
 C = f"({CLASSIFIED}) c"
@@ -227,36 +227,6 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_in_group(rows: DataFrame, probes: int = 8, step: int = 32) -> DataFrame:
-    """For each row(id, group, v) the nearest other row of its group, the least id on ties.
-
-    Rows of a group are put in order of their distance from the group's middle;
-    two rows are at least as far apart as those distances. The ``probes`` rows
-    on either side in that order give each row a bound, and only rows whose
-    distance from the middle lies within the bound are compared at all. They
-    meet in strips of about ``step`` rows' breadth, so a group of any size is
-    spread over many tasks; what cannot win is never joined.
-    """
-    middle = rows.select("group", F.posexplode("v").alias("k", "x")).groupBy("group", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    middle = middle.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("_m"))
-    placed = rows.join(middle, "group").withColumn("_r", F.sqrt(_distance("v", "_m"))).drop("_m")
-    ranked = number_rows(placed, [F.asc("_r"), F.asc("id")], "_k", ["group"])
-    # strips of equal breadth in distance, about ``step`` rows each
-    breadth = ranked.groupBy("group").agg((F.greatest((F.max("_r") - F.min("_r")) / F.greatest(F.count(F.lit(1)) / step, F.lit(1.0)), F.lit(1e-9))).alias("_w"))
-    ranked = save(ranked.join(breadth, "group"), "ranked")
-    # neighbours in the order meet in stretches of the order
-    near = ranked.select("group", F.col("id").alias("other"), F.col("v").alias("w"), F.col("_k").alias("_at"), F.floor(F.col("_k") / probes).alias("_s"))
-    own = ranked.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_k") / probes) - 1, F.floor(F.col("_k") / probes) + 1)))
-    bound = own.join(near, ["group", "_s"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("_k") - F.col("_at")) <= probes)).groupBy("group", "id").agg(F.min(_distance("v", "w")).alias("_b"))
-    # rounding of roots and sums must not shut a winner out
-    reach = F.sqrt(F.col("_b")) * (1 + 1e-9) + 1e-6
-    seekers = ranked.join(bound, ["group", "id"]).withColumn("_s", F.explode(F.sequence(F.floor((F.col("_r") - reach) / F.col("_w")), F.floor((F.col("_r") + reach) / F.col("_w")))))
-    strips = ranked.select("group", F.col("id").alias("other"), F.col("v").alias("w"), F.col("_r").alias("_o"), F.floor(F.col("_r") / F.col("_w")).alias("_s"))
-    pairs = seekers.join(strips, ["group", "_s"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("_r") - F.col("_o")) <= reach))
-    pairs = pairs.select("id", "other", F.round(_distance("v", "w"), 9).alias("d"))
-    return pairs.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", F.col("m.other").alias("nearest"), F.col("m.d").alias("d"))
-
-
 _DISTANCE = "round(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(a.embedding, b.embedding)]), 9)"
 
 
