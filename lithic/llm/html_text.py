@@ -12,7 +12,8 @@
    holds the page's article, or beside which hardly any text is left
    (``REST``): only one that is named for reader comments always counts.
 3. A line weighs its text without link text; a line that is mostly links weighs
-   nothing. Where articles hold most of the page's text, lines in them weigh all
+   nothing, but a paragraph or heading of that kind stays between two lines that
+   are kept. Where articles hold most of the page's text, lines in them weigh all
    their text, links included, and at least ``ENOUGH``, and lines elsewhere
    nothing: references, linked headings and runs of short lines stay whole.
 4. Weights are summed over sliding windows of ``WINDOW`` lines. The text surges
@@ -57,6 +58,8 @@ BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption tr".split())
+#: of these, what a page has in its text and not in its menus
+PARAGRAPHS = PROSE - {"li", "tr", "dt"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: words of names that mark furniture
 MARKED = set(
@@ -135,6 +138,7 @@ class _Line:
     links: int
     article: bool
     prose: bool
+    paragraph: bool
     mark: int  # number of the innermost marked element around it, -1 outside
 
 
@@ -160,7 +164,8 @@ class _Page:
         self._parts: list[str] = []
         self._link_chars = self._links = self._inside = self._content = self._chars = 0
         self._mark = -1
-        self._prose = False
+        self._prose = self._paragraph = False
+        self.linked = np.zeros(0, dtype=bool)
         #: open elements: name, number of the marked element or -1, mark before it, characters before it, whether it holds text
         self._stack: list[tuple[str, int, int, int, bool]] = []
         self._open: dict[str, int] = {}
@@ -196,7 +201,7 @@ class _Page:
     def _end_line(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
-            self.lines.append(_Line(text, self._link_chars, self._inside > 0, self._prose, self._mark))
+            self.lines.append(_Line(text, self._link_chars, self._inside > 0, self._prose, self._paragraph, self._mark))
             self._chars += len(text)
         self._parts.clear()
         self._link_chars = 0
@@ -206,7 +211,7 @@ class _Page:
         if name in BLOCKS or mark:
             self._end_line()
             if name in BLOCKS:
-                self._prose = name in PROSE
+                self._prose, self._paragraph = name in PROSE, name in PARAGRAPHS
         elif name in ("br", "td", "th", "img"):
             self._parts.append(" ")
         if name in VOID or name in ("p", "tr", "td", "th", "dt", "dd") and not mark:
@@ -227,7 +232,7 @@ class _Page:
     def _close(self, name: str) -> None:
         if name in BLOCKS:
             self._end_line()
-            self._prose = False
+            self._prose = self._paragraph = False
         elif name in ("br", "td", "th"):
             self._parts.append(" ")
         if not self._open.get(name):
@@ -308,9 +313,12 @@ class _Page:
         links = np.array([line.links for line in self.lines])
         inside = np.array([line.article for line in self.lines])
         plain = np.maximum(size - links, 0) * live
+        self.linked = np.zeros(len(self.lines), dtype=bool)
         if 2 * plain[inside].sum() >= plain.sum() and (inside & live).any():
             return np.where(inside & live, np.maximum(size, ENOUGH), 0)
-        return np.where(live & (100 * links <= LINK_SHARE * size), plain, 0)
+        mostly = 100 * links > LINK_SHARE * size
+        self.linked = live & mostly & np.array([line.paragraph for line in self.lines])
+        return np.where(live & ~mostly, plain, 0)
 
 
 def stretches(weights: np.ndarray, prose: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -337,11 +345,22 @@ def stretches(weights: np.ndarray, prose: np.ndarray, window: int = WINDOW) -> n
     return keep & (weights > 0)
 
 
+def between(keep: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """``keep`` with the runs of linked lines that have a kept line on either side."""
+    keep = keep.copy()
+    edge = np.diff(np.concatenate([[False], linked, [False]]).astype(int))
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        if 0 < a and b < len(keep) and keep[a - 1] and keep[b]:
+            keep[a:b] = True
+    return keep
+
+
 def main_text(page: str) -> str:
     parsed = _Page(page)
     if not parsed.lines:
         return ""
-    keep = stretches(parsed.weights(), np.array([line.prose for line in parsed.lines]))
+    weights = parsed.weights()
+    keep = between(np.asarray(stretches(weights, np.array([line.prose for line in parsed.lines]))), parsed.linked)
     return "\n".join(line.text for line, kept in zip(parsed.lines, keep.tolist(), strict=True) if kept)
 
 

@@ -100,3 +100,10 @@ def test_time_grows_in_proportion(piece):
     html_text.main_text((piece + "x ") * 20_000)
     html_text.main_text(piece * 20_000 + "</aside>" * 20_000)
     assert time.perf_counter() - began < 5
+
+
+def test_linked_paragraphs_between_kept_lines_stay():
+    """In an article that nothing marks, a sentence that is one link is text as long as text is on both sides."""
+    text = ["The first paragraph goes on for long enough to be one.", "Read the whole report on the river here.", "The last paragraph goes on for long enough as well."]
+    page = f"<ul><li><a href=1>Home</a></li></ul><div><p>{text[0]}</p><p><a href='/r'>{text[1]}</a></p><p>{text[2]}</p></div><p><a href=2>Next page of this site</a></p>"
+    assert html_text.main_text(page) == "\n".join(text)
