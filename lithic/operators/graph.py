@@ -118,7 +118,13 @@ def resolve_dotted(imports: DataFrame, types: DataFrame) -> DataFrame:
     """
     parts = F.split("path", "/")
     endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
-    table = types.select("snapshot_id", "name", "path", F.explode(endings).alias("_tail")).groupBy("snapshot_id", "name", "_tail").agg(F.count_distinct("path").alias("n"), F.min("path").alias("found"), F.slice(F.array_sort(F.collect_set("path")), 1, CANDIDATES).alias("several"))
+    keys = ["snapshot_id", "name", "_tail"]
+    asked = imports.select("snapshot_id", F.substring_index("spec", ".", -1).alias("name"), F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".java")).alias("_tail")).distinct()
+    # only endings that some import asks for are kept; of their paths the first ones leave a task
+    ends = types.select("snapshot_id", "name", "path").distinct().withColumn("_tail", F.explode(endings)).join(asked, keys, "left_semi")
+    counts = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("found"))
+    first = ends.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("path"))).where(F.col("_k") <= CANDIDATES)
+    table = counts.join(first.groupBy(*keys).agg(F.array_sort(F.collect_list("path")).alias("several")), keys)
     wanted = imports.withColumns({"name": F.substring_index("spec", ".", -1), "_tail": F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".java"))})
     joined = wanted.join(table, ["snapshot_id", "name", "_tail"], "left")
     n = F.coalesce("n", F.lit(0))

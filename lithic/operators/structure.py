@@ -164,7 +164,7 @@ def structure_page(snapshots: DataFrame, files: DataFrame, directory: str, offse
 
 
 @query("rdm8_page", "WITH p AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY kind, name) AS place, count(*) OVER (PARTITION BY snapshot_id) AS total FROM (SELECT snapshot_id, 'directory' AS kind, split_part(path, '/', 2) AS name, count(*) AS weight FROM files WHERE regexp_matches(path, '^en/[^/]*/') GROUP BY 1, 3 UNION ALL SELECT snapshot_id, 'file', split_part(path, '/', 2), size_bytes FROM files WHERE regexp_full_match(path, 'en/[^/]*')) l WHERE snapshot_id IN (SELECT id FROM snapshots WHERE status = 'completed')) SELECT snapshot_id, kind, name, weight, place, CASE WHEN total > 5 THEN 5 END AS next_cursor, total > 5 AS truncated FROM p WHERE place > 2 AND place <= 5")
-def rdm8_structure(t):
+def rdm8_page(t):
     return structure_page(t("snapshots"), t("files"), "/en/", 2, 3)
 
 
@@ -172,7 +172,7 @@ _LEVEL = "(SELECT snapshot_id, 'directory' AS kind, split_part(path, '/', 2) AS
 
 
 @query("rdm8", f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY kind, name) AS place, count(*) OVER (PARTITION BY snapshot_id) AS total FROM {_LEVEL} l) SELECT snapshot_id, kind, name, weight, place, CASE WHEN total > 5 THEN 5 END AS next_cursor FROM p WHERE place > 2 AND place <= 5")
-def rdm8_page(t):
+def rdm8_structure(t):
     return level_page(level(t("files"), "en"), 2, 3).drop("truncated")
 
 
