@@ -375,13 +375,18 @@ def symbols_and_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build_from_text(files: DataFrame) -> DataFrame:
-    """The whole graph of files(snapshot_id, id, path, language, text), with nothing else given.
+    """The whole graph of files(snapshot_id, id, path, language, text), with nothing else given."""
+    symbols, facts = symbols_and_facts(files)
+    return UNION(contains_edges(files, symbols, directory_chain(files)), resolve_text(files, symbols, facts))
+
+
+def resolve_text(files: DataFrame, symbols: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges of ``facts`` among all ``symbols`` and ``files``.
 
     A call comes from the innermost function or method around it, else from its
     file; heritage from the type that has it; imports and exports from the file.
     Equal facts of one source make one edge.
     """
-    symbols, facts = symbols_and_facts(files)
     of = lambda *types: facts.where(F.col("type").isin(*types))
     own = ["snapshot_id", "file_id", "path", "family", "type"]
 
@@ -405,8 +410,7 @@ def build_from_text(files: DataFrame) -> DataFrame:
     between = reduce(UNION, (rows.select(named) for rows in (named_facts, exports)))
     to_symbols = between.select("snapshot_id", "file_id", "path", "type", F.coalesce("source", "path").alias("source"), F.when(F.col("source").isNull(), "file").otherwise("symbol").alias("source_kind"), F.lit("symbol").alias("kind"), "target", "state", "candidates", F.col("callee").alias("name"))
     found = UNION(imports, to_symbols).withColumn("target_kind", F.when(F.col("target").isNotNull(), F.col("kind")))
-    found = found.withColumn("key", edge_key(F.col("snapshot_id"), F.col("type"), F.col("source"), F.col("target"), F.col("name"))).select(EDGE)
-    return UNION(contains_edges(files, symbols, directory_chain(files)), found)
+    return found.withColumn("key", edge_key(F.col("snapshot_id"), F.col("type"), F.col("source"), F.col("target"), F.col("name"))).select(EDGE)
 
 
 def code_of(t) -> DataFrame:
@@ -450,12 +454,19 @@ _CODE = f"""f AS MATERIALIZED (SELECT f.snapshot_id, f.id AS file_id, f.doc_id,
     UNION ALL SELECT snapshot_id, 'CONTAINS', path, fact, 'EXTRACTED', NULL, NULL FROM y WHERE kind = 'class' UNION ALL SELECT snapshot_id, 'CONTAINS', concat(path, '#1:13'), fact, 'EXTRACTED', NULL, NULL FROM y WHERE kind = 'method')"""
 
 
-@query("rel14_text", f"WITH {_CODE} SELECT snapshot_id, type, source, target, state, candidates, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM g")
+TEXT_GRAPH = f"WITH {_CODE} SELECT snapshot_id, type, source, target, state, candidates, sha256(concat_ws(' ', snapshot_id, type, source, coalesce(target, '∅'), coalesce(name, '∅'))) AS key FROM g"
+
+
+def source_files(t) -> DataFrame:
+    """The made source files, written once."""
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # files take longer to scan than to read
+    return t.saved("code", lambda: code_of(t).repartition(parts, "id"))
+
+
+@query("rel14_text", TEXT_GRAPH)
 def rel14_from_text(t):
     """The graph of source files, from their text alone."""
-    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # files take longer to scan than to read
-    files = t.saved("code", lambda: code_of(t).repartition(parts, "id"))
-    return build_from_text(files).select("snapshot_id", "type", "source", "target", "state", F.array_join("candidates", ",").alias("candidates"), "key")
+    return build_from_text(source_files(t)).select("snapshot_id", "type", "source", "target", "state", F.array_join("candidates", ",").alias("candidates"), "key")
 
 
 _IMPORTED = f"(SELECT f.snapshot_id, f.path, arg_min(g.path, precedence) AS target FROM files f LEFT JOIN (SELECT x.file_id, g.path, precedence FROM {_TRY} x JOIN files g ON g.snapshot_id = x.snapshot_id AND g.path = candidate) g ON g.file_id = f.id GROUP BY 1, 2, f.id)"
