@@ -74,9 +74,11 @@ class Memory:
         if len(self._known) > self._remember:
             self._known.clear()
         new = set().union(*texts).difference(self._known)
-        missing = [c for c in new if whole(c)]
+        missing, parts = [], []
+        for c in new:
+            (missing if whole(c) else parts).append(c)
         self._known.update(zip(missing, self._make(missing), strict=True))
-        self._known.update((c, None) for c in new if not whole(c))
+        self._known.update(dict.fromkeys(parts))
         self._long = [c for c in new if len(c) > REMEMBER_LENGTH]
         return self._known
 

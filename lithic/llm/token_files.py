@@ -43,6 +43,8 @@ from lithic.llm.common import modest_batches, new_path, table, text_bytes
 END = 2
 #: ids and documents of a shard at most, but for one longer document
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
+#: chunks remembered by a worker, of about 200 bytes each
+CHUNKS = 3 << 19
 #: bytes of text of a part; the most parts, which then are larger
 PART_BYTES, MAX_PARTS = 16 << 20, 20_000
 #: row groups of few shards, so that neither writer nor reader holds many
@@ -62,7 +64,7 @@ class Encoder:
         self._level = ByteLevel(content)
         self.width = 2 if max(self._level.size, end + 1) <= 1 << 16 else 4
         self._end = self._bytes([end])
-        self._memory = Memory(lambda chunks: self._level.chunk_ids(chunks, self._bytes, self.width))
+        self._memory = Memory(lambda chunks: self._level.chunk_ids(chunks, self._bytes, self.width), CHUNKS)
 
     def _bytes(self, ids) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()

@@ -603,6 +603,27 @@ def rel18_invariants(t):
     return invariants(_graph(t), _nested(t), t("files"), t("directories"))
 
 
+#: damage that breaks some rules in a third of the snapshots each: (rule, edges, what becomes of their columns)
+_DAMAGE = [
+    ("open state with target", "state = 'UNKNOWN' AND snapshot_id % 3 = 0", {"target": "'nowhere'"}),
+    ("dangling target symbol", "type = 'CALLS' AND state = 'RESOLVED' AND snapshot_id % 3 = 1", {"target": "'gone'"}),
+    ("settled state without target", "type = 'EXTENDS' AND state = 'RESOLVED' AND snapshot_id % 3 = 2", {"target": "null", "target_kind": "null"}),
+    ("containment not extracted", "type = 'CONTAINS' AND snapshot_id % 3 = 2", {"state": "'RESOLVED'"}),
+    ("ambiguous with fewer than two", "state = 'AMBIGUOUS' AND snapshot_id % 3 < 2", {"candidates": "slice(candidates, 1, 1)"}),
+    ("ambiguous without candidates", "state = 'AMBIGUOUS' AND snapshot_id % 3 = 1", {"candidates": "slice(candidates, 1, 0)"}),
+]
+_COUNTED = " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS n FROM g WHERE {where}" for rule, where, _ in _DAMAGE)
+
+
+@query("rel18_damaged", f"WITH g AS MATERIALIZED (SELECT * FROM {GRAPH} g), c AS ({_COUNTED}) SELECT v.rule, coalesce(n, 0)::BIGINT AS violations FROM (VALUES " + ", ".join(f"('{r}')" for r in RULES) + ") v(rule) LEFT JOIN c ON c.rule = v.rule")
+def rel18_damaged(t):
+    """The rules on a graph of which six kinds of edges are damaged."""
+    edges = broken = _graph(t)
+    for _, where, changes in _DAMAGE:
+        broken = broken.withColumns({c: F.when(F.expr(where), F.expr(v).cast(edges.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()})
+    return invariants(broken, _nested(t), t("files"), t("directories"))
+
+
 def completeness(edges: DataFrame, symbols: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
     """How many symbols, files and folders do not have exactly one CONTAINS parent."""
     parents = edges.where("type = 'CONTAINS'").groupBy("snapshot_id", F.col("target_kind").alias("kind"), F.col("target").alias("ref")).agg(F.count(F.lit(1)).alias("n"))
@@ -616,6 +637,14 @@ def rel19_completeness(t):
     return completeness(_graph(t), _nested(t), t("files"), t("directories"))
 
 
+@query("rel19_damaged", f"SELECT 'symbol' AS kind, count_if(snapshot_id % 3 = 1) AS violations, count(*) AS nodes FROM {SYMBOLS} s UNION ALL SELECT 'file', count_if(snapshot_id % 3 = 0), count(*) FROM files UNION ALL SELECT 'directory', 0, count(*) FROM directories WHERE parent_path IS NOT NULL")
+def rel19_damaged(t):
+    """Completeness of a graph in which files of some snapshots have lost their folder, and symbols of others have it twice."""
+    edges = _graph(t).where("not (type = 'CONTAINS' and target_kind = 'file' and snapshot_id % 3 = 0)")
+    twice = edges.where("type = 'CONTAINS' and target_kind = 'symbol' and snapshot_id % 3 = 1")
+    return completeness(UNION(edges, twice), _nested(t), t("files"), t("directories"))
+
+
 def graph_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """Lines that only one of two graphs has."""
     return UNION(base.exceptAll(head).withColumn("side", F.lit("missing")), head.exceptAll(base).withColumn("side", F.lit("extra")))
