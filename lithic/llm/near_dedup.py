@@ -21,7 +21,11 @@
    would cost more than further bands, the cluster's classes get bands of twice
    as many rows from further coordinates, which such texts hardly ever share, and
    only classes of different linked parts that share one of those buckets are
-   compared. The true links' components are the result.
+   compared: in a bucket, too, the largest linked part is one side, met only by
+   the classes outside it. The true links' components are the result.
+
+A block holds at most about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles, so a
+task holds two such blocks, or one pair of longer texts.
 
 Defined results: a null or empty text and a text without words have no
 shingles and no link; a row without doc_id has no link (component null, kept
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm import textops as T
@@ -44,6 +48,7 @@ from lithic.llm.common import drop_saved, free_prefix, modest_batches, save, tab
 from lithic.llm.components import connected_components
 
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 20
 #: chance of missing one pair exactly at the threshold
 MISS = 1e-6
 _U = np.uint64
@@ -136,7 +141,7 @@ def _profile_batches(n: int, bands: int, rows: int):
 
 
 def _finer_batches(bands: int, rows: int, first: int):
-    """Keys of further bands of non-empty sets(node, part, shingles)."""
+    """Numbers of shingles and keys of further bands of non-empty sets(node, part, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +155,8 @@ def _finer_batches(bands: int, rows: int, first: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 keys = _band_keys(np.concatenate(sets), offsets, bands, rows, first)
                 cuts = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
-                yield pa.record_batch([*(batch.column(k).slice(at, to - at) for k in (0, 1)), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel().view(np.int64)))], names=["node", "part", "bands"])
+                size_of = pa.array(np.diff(offsets))
+                yield pa.record_batch([*(batch.column(k).slice(at, to - at) for k in (0, 1)), size_of, pa.ListArray.from_arrays(cuts, pa.array(keys.ravel().view(np.int64)))], names=["node", "part", "n", "bands"])
                 at = to
 
     return run
@@ -163,7 +169,7 @@ def _set_batches(n: int):
             for piece in T.slices(batch.column(2)):
                 shingles, offsets = shingle_sets(piece, hasher, n)
                 raw = [shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.record_batch([*(batch.column(k).slice(piece.first, piece.rows) for k in (0, 1)), pa.array(raw, type=pa.binary())], names=["node", "cluster", "shingles"])
+                yield pa.record_batch([*(batch.column(k).slice(piece.first, piece.rows) for k in (0, 1)), pa.array(np.diff(offsets)), pa.array(raw, type=pa.binary())], names=["node", "cluster", "n", "shingles"])
 
     return run
 
@@ -226,21 +232,32 @@ def _bucket_clusters(buckets: DataFrame) -> DataFrame:
     return found
 
 
-def _sizes(clusters: DataFrame) -> DataFrame:
-    return save(clusters.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("members")), "sizes")
+def _blocks(members: str, weight: str) -> Column:
+    """Blocks for so many classes with so many shingles in all."""
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
+def _spread(totals: DataFrame) -> int:
+    """Tasks that groups(members, weight) of one block each share: of about four blocks."""
+    members, weight = totals.agg(F.sum("members"), F.sum("weight")).first()
+    return max(1, (members or 0) // (4 * BLOCK), (weight or 0) // (4 * BLOCK_SHINGLES))
+
+
+def _members(clusters: DataFrame) -> DataFrame:
+    """(node, component) of all classes in clusters, the least ones included."""
+    return clusters.select("node", "component").unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _members(clusters: DataFrame, some: DataFrame) -> DataFrame:
-    """(node, component) of all classes in some clusters, the least ones included."""
-    own = clusters.join(some.select("component"), "component", "left_semi").select("node", "component")
-    return own.unionByName(some.select(F.col("component").alias("node"), "component"))
+def _sizes(clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes and shingles of each cluster."""
+    weights = classes.select(F.col("class_id").alias("node"), "n_shingles")
+    return save(_members(clusters).join(weights, "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")), "sizes")
 
 
 def _first_links(sets: DataFrame, percent: int, sizes: DataFrame) -> DataFrame:
     """Links inside each block and to the least class of the cluster."""
-    total = sizes.agg(F.sum("members")).first()[0] or 0
     least = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    spread = max(1, total // 512)  # clusters of one block share tasks
+    spread = _spread(sizes)  # clusters of one block share tasks
     block = F.explode(least).alias("block")
     key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(spread))).otherwise(F.xxhash64("cluster", "block"))
     tasks = sets.select("node", "cluster", "shingles", "blocks", block).select("node", "cluster", "shingles", key.alias("task"))
@@ -248,56 +265,78 @@ def _first_links(sets: DataFrame, percent: int, sizes: DataFrame) -> DataFrame:
 
 
 def _in_blocks(sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """sets(node, cluster, shingles) with the number of blocks of their cluster and the block they are in."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    """sets(node, cluster, n, shingles) with the number of blocks of their cluster and the block they are in."""
+    blocks = _blocks("members", "weight")
     joined = sets.join(sizes, F.col("cluster") == F.col("component"))
-    return joined.select("node", "cluster", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    return joined.select("node", "cluster", "n", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+
+
+def _outsiders(placed: DataFrame, by: str) -> DataFrame:
+    """Of each group ``by`` of placed(part, n) with several parts: the largest part, how many classes are outside it and in how many blocks they go."""
+    parts = placed.groupBy(by, "part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    order = F.struct("members", "part")
+    outside, heavy = F.sum("members") - F.max("members"), F.sum("weight") - F.max_by("weight", order)
+    best = parts.groupBy(by).agg(F.max_by("part", order).alias("best"), outside.alias("outside"), heavy.alias("heavy")).where("outside > 0")
+    return best.select(by, "best", "outside", _blocks("outside", "heavy").alias("groups"))
+
+
+def _group() -> Column:
+    """The block that a class outside the largest part is in; null for those inside."""
+    return F.when(F.col("part") != F.col("best"), F.pmod(F.xxhash64("node", F.lit("group")), F.col("groups")).cast("int"))
+
+
+def _meetings() -> Column:
+    """(block, group) of the tasks a class goes to: each block meets each group, and no two blocks of the largest part meet."""
+    every = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.col("own").alias("block"), g.alias("group")))
+    out = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("group")))
+    return F.when(F.col("group").isNull(), every).otherwise(F.array_distinct(F.concat(every, out)))
 
 
 def _open(sets: DataFrame, known: DataFrame, most: int) -> DataFrame | None:
     """Classes of clusters of several blocks that are not linked throughout; None without such clusters.
 
     group: for classes outside the largest linked part the group that meets all
-    blocks; chained: whether there are more than ``most`` such groups.
+    blocks; chained: whether they are more than ``most`` blocks of classes.
     """
-    several = sets.where("blocks > 1").select("node", "cluster", "blocks", "own")
+    several = sets.where("blocks > 1").select("node", "cluster", "n", "blocks", "own")
     if several.isEmpty():
         return None
     placed = save(several.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "placed")
-    parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    best = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("best"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    groups = F.ceil(F.col("outside") / BLOCK).cast("int")
-    best = best.select("cluster", "best", groups.alias("groups"), (groups > most).alias("chained"))
-    group = F.when(F.col("part") != F.col("best"), F.pmod(F.xxhash64("node", F.lit("group")), F.col("groups")).cast("int"))
-    found = save(placed.join(best, "cluster").withColumn("group", group).select("node", "cluster", "blocks", "own", "part", "groups", "group", "chained"), "open")
+    best = _outsiders(placed, "cluster").withColumn("chained", F.ceil(F.col("outside") / BLOCK) > most)
+    found = save(placed.join(best, "cluster").select("node", "cluster", "blocks", "own", "part", "groups", _group().alias("group"), "chained"), "open")
     drop_saved(placed)
     return None if found.isEmpty() else found
 
 
 def _between_blocks(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """Links of the classes outside the largest linked part of their cluster with all its classes."""
-    every = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.col("own").alias("block"), g.alias("group")))
-    out = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("group")))
-    tasks = F.when(F.col("group").isNull(), every).otherwise(F.array_distinct(F.concat(every, out)))
-    spread = open_.select("node", F.explode(tasks).alias("t"))
+    spread = open_.select("node", F.explode(_meetings()).alias("t"))
     sent = sets.select("node", "cluster", "shingles").join(spread, "node").select("node", "cluster", "shingles", F.xxhash64("cluster", "t.block", "t.group").alias("task"))
     return save(sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def _shared_buckets(keys: DataFrame) -> DataFrame:
-    """keys(node, part, key) in buckets that hold more than one part, with the bucket's size."""
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "members")
-    return save(keys.select("node", "key").join(several, "key"), "buckets")
+    """keys(node, part, n, key) in buckets that hold more than one part."""
+    several = keys.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    return save(keys.join(several, "key"), "buckets")
+
+
+def _bucket_tasks(buckets: DataFrame) -> DataFrame:
+    """(node, cluster, task) in which the classes of buckets(node, part, n, key) outside a bucket's largest part meet all of it."""
+    totals = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    sides = save(totals.select("key", "members", "weight", _blocks("members", "weight").alias("blocks")).join(_outsiders(buckets, "key"), "key"), "sides")
+    spread = _spread(sides.where("blocks = 1"))  # buckets of one block share tasks
+    placed = buckets.join(sides, "key").withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "group": _group()})
+    alone = F.col("blocks") == 1
+    once = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("group")))
+    each = placed.select("node", F.col("key").alias("cluster"), alone.alias("alone"), F.explode(F.when(alone, once).otherwise(_meetings())).alias("t"))
+    return each.select("node", "cluster", F.when(F.col("alone"), F.pmod(F.xxhash64("cluster"), F.lit(spread))).otherwise(F.xxhash64("cluster", "t.block", "t.group")).alias("task"))
 
 
 def _within_buckets(sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes that share one of the buckets(node, key, members)."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = sets.select("node", "shingles").join(buckets, "node").select("node", F.col("key").alias("cluster"), "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    spread = max(1, buckets.count() // 512)
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(spread))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    return save(each.select("node", "cluster", "shingles", task.alias("task")).groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
+    """Links between classes of different parts that share one of the buckets(node, part, n, key)."""
+    sent = sets.select("node", "shingles").join(_bucket_tasks(buckets), "node").select("node", "cluster", "shingles", "task")
+    return save(sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
@@ -310,14 +349,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = save(docs.mapInArrow(_profile_batches(n, bands, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "profiles")
     some = profiles.where("n_shingles > 0 and doc_id is not null")
-    classes = save(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = save(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.min_by("bands", "doc_id").alias("bands")), "classes")
 
     clusters = save(_bucket_clusters(classes.select("class_id", F.explode("bands").alias("key"))), "clusters")
-    sizes = _sizes(clusters)
+    sizes = _sizes(clusters, classes)
     # one row a document where rows repeat an id; only the cluster members' texts are read on
-    members = _members(clusters, sizes)
+    members = _members(clusters)
     texts = docs.join(members, docs.doc_id == members.node).select("node", F.col("component").alias("cluster"), "text")
-    sets = save(_in_blocks(texts.mapInArrow(_set_batches(n), "node long, cluster long, shingles binary"), sizes), "sets")
+    sets = save(_in_blocks(texts.mapInArrow(_set_batches(n), "node long, cluster long, n long, shingles binary"), sizes), "sets")
     links = save(_first_links(sets, percent, sizes), "links")
     components = connected_components(links)
     finer = bands_for(percent, 2 * rows)
@@ -326,8 +365,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rows: int =
         links = links.unionByName(_between_blocks(sets, open_.where("not chained"), percent))
         chained = open_.where("chained")
         if not chained.isEmpty():
-            keys = sets.join(chained.select("node", "part"), "node").select("node", "part", "shingles").mapInArrow(_finer_batches(finer, 2 * rows, bands * rows), "node long, part long, bands array<long>")
-            buckets = _shared_buckets(keys.select("node", "part", F.explode("bands").alias("key")))
+            keys = sets.join(chained.select("node", "part"), "node").select("node", "part", "shingles").mapInArrow(_finer_batches(finer, 2 * rows, bands * rows), "node long, part long, n long, bands array<long>")
+            buckets = _shared_buckets(keys.select("node", "part", "n", F.explode("bands").alias("key")))
             links = links.unionByName(_within_buckets(sets, buckets, percent))
         components = connected_components(links)
 

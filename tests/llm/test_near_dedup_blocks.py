@@ -1,0 +1,75 @@
+"""What the exact comparisons of operator 3 send, and that they lose no link whatever the blocks."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lithic.llm import near_dedup as N
+
+
+def buckets(spark, inside, strays, n=10):
+    """One bucket of a linked part and classes of parts of their own."""
+    rows = spark.range(inside + strays)
+    part = F.when(F.col("id") < inside, 0).otherwise(F.col("id"))
+    return rows.select(F.col("id").alias("node"), part.cast("long").alias("part"), F.lit(n).cast("long").alias("n"), F.lit(7).cast("long").alias("key"))
+
+
+@pytest.mark.parametrize("inside", [5_000, 10_000, 20_000])
+def test_one_stray_costs_in_proportion(spark, inside):
+    found = N._bucket_tasks(buckets(spark, inside, 1)).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("node") == inside).alias("met")).collect()
+    blocks = -(-inside // N.BLOCK)
+    assert len(found) == blocks and sum(r.n for r in found) == inside + blocks
+    assert all(r.met for r in found) and max(r.n for r in found) < 2 * N.BLOCK
+
+
+def test_all_different_parts_meet_in_pairs(spark):
+    sent = N._bucket_tasks(buckets(spark, 1, 700)).collect()
+    tasks = {}
+    for r in sent:
+        tasks.setdefault(r.task, set()).add(r.node)
+    met = np.eye(701, dtype=bool)
+    for nodes in tasks.values():
+        own = np.array(sorted(nodes))
+        met[np.ix_(own, own)] = True
+    assert met.all()
+
+
+def test_long_texts_make_smaller_blocks(spark):
+    found = N._bucket_tasks(buckets(spark, 60, 60, n=N.BLOCK_SHINGLES // 8)).groupBy("task").count().collect()
+    # 15 blocks of classes, 8 of those outside: about 8 and 8 long texts a task
+    assert len(found) == 15 * 8 and max(r["count"] for r in found) < 40
+    assert N._bucket_tasks(buckets(spark, 60, 60)).select("task").distinct().count() == 1
+
+
+@pytest.mark.parametrize(("block", "shingles", "most"), [(128, 1 << 20, 1), (4, 1 << 20, 1000), (4, 1 << 20, 0), (64, 100, 1000), (4, 100, 0)])
+def test_any_blocks_find_the_same_links(spark, monkeypatch, block, shingles, most):
+    """Families that share half of their words, so that their clusters hold many parts."""
+    rng = np.random.default_rng(5)
+    shared = [f"s{k}" for k in range(40)]
+    texts = {}
+    for family in range(12):
+        own = shared + [f"f{family}w{k}" for k in range(40)]
+        for copy in range(6):
+            words = list(own)
+            words[int(rng.integers(40, 80))] = f"x{family}y{copy}"
+            texts[len(texts)] = " ".join(words)
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", shingles)
+    real = N._open
+    monkeypatch.setattr(N, "_open", lambda sets, known, _: real(sets, known, most))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(docs, 3, 80).collect()}
+    sets = {d: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for d, w in ((d, t.split()) for d, t in texts.items())}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    assert found == {d: top(d) for d in sets} and len(set(found.values())) < len(found)
