@@ -23,6 +23,8 @@ columns are ignored; an empty table gives an empty archive and result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +112,13 @@ def _reachable(candidates: DataFrame) -> DataFrame:
         jump = further
 
 
+def _of_earlier_blocks(rows: DataFrame, total: Column, fold: Callable, name: str) -> DataFrame:
+    """(file, block, name): the totals of a file's blocks before each one, folded. One row a block of the file goes through the window."""
+    blocks = rows.groupBy("file", "block").agg(total.alias("own"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return blocks.select("file", "block", fold("own").over(earlier).alias(name))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record under ``path``."""
     pieces = _pieces(spark, path)
@@ -121,15 +130,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.withColumn("whole", F.when(whole, F.col("value"))).drop("value")
     small = save(_digested(parsed), "candidates")
 
-    by_file = W.partitionBy("file").orderBy("block", "id")
-    before = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(by_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = small.withColumn("at", before - len(MAGIC)).withColumn("next", F.col("at") + len(MAGIC) + F.octet_length("head") + 4 + F.col("length") + len(BREAK))
+    by_block = W.partitionBy("file", "block").orderBy("id")
+    step = F.col("size") + len(MAGIC)
+    base = _of_earlier_blocks(small, F.sum(step), F.sum, "base")
+    before = F.coalesce("base", F.lit(0)) + F.coalesce(F.sum(step).over(by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = small.join(base, ["file", "block"]).withColumn("at", before - len(MAGIC)).drop("base").withColumn("next", F.col("at") + len(MAGIC) + F.octet_length("head") + 4 + F.col("length") + len(BREAK))
     placed = save(placed, "placed")
     found = _reachable(placed.where("length is not null").select("file", "at", "next"))
     marked = placed.join(found.withColumn("record", F.lit(True)), ["file", "at"], "left")
     # records that magic cut: all pieces up to the next record belong to them
-    owner = F.last(F.when(F.col("record"), F.col("at")), ignorenulls=True).over(by_file)
-    marked = save(marked.withColumn("owner", owner), "marked")
+    begun = F.when(F.col("record"), F.col("at"))
+    carried = _of_earlier_blocks(marked, F.max(begun), F.max, "carried")
+    owner = F.coalesce(F.max(begun).over(by_block.rowsBetween(W.unboundedPreceding, 0)), F.col("carried"))
+    marked = save(marked.join(carried, ["file", "block"]).withColumn("owner", owner).drop("carried"), "marked")
     records = marked.where("record")
     cut = records.where("payload_digest is null").select("file", F.col("at").alias("owner"), F.col("head").alias("head_"), F.col("length").alias("length_"))
     parts = save(marked.join(cut, ["file", "owner"]).select("file", "block", "id", "owner", "head_", "length_", "key"), "parts")
