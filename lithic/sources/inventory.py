@@ -69,13 +69,11 @@ def pth3_layout(t):
     return read_inventory(t.spark, path).where(under(F.col("path"), "en/m3")).select("snapshot_id", "id", "path")
 
 
-@query("rdm5_layout", "SELECT snapshot_id, split_part(substr(path, 4), '/', 1) AS name, count(*) AS files FROM files WHERE snapshot_id = (SELECT arg_max(snapshot_id, (n, snapshot_id)) FROM (SELECT snapshot_id, count(*) AS n FROM files GROUP BY 1) c) AND starts_with(path, 'en/') AND contains(substr(path, 4), '/') GROUP BY 1, 2")
-def rdm5_layout(t):
-    """Child directories in the snapshot of most files, found through the index of the layout."""
+@query("pth3_lookup", "SELECT snapshot_id, id, path FROM files WHERE snapshot_id = (SELECT arg_max(snapshot_id, (n, snapshot_id)) FROM (SELECT snapshot_id, count(*) AS n FROM files GROUP BY 1) c) AND starts_with(path, 'en/')")
+def pth3_lookup(t):
+    """What lies below a directory in the snapshot of most files, found through the index of the layout."""
     path = new_path(t.spark, "inventory")
     write_inventory(t("files").select("snapshot_id", "path", "id", "size_bytes"), path)
     sizes = read_inventory(t.spark, path).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.max_by("snapshot_id", F.struct("n", "snapshot_id"))).first()[0]
-    rest = F.substring("path", 4, 1 << 20)
-    rows = files_below(t.spark, path, largest if largest is not None else 0, "en").where(F.contains(rest, F.lit("/")))
-    return rows.groupBy("snapshot_id", F.substring_index(rest, "/", 1).alias("name")).agg(F.count(F.lit(1)).alias("files"))
+    return files_below(t.spark, path, largest if largest is not None else 0, "en").select("snapshot_id", "id", "path")

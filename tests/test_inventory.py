@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lithic.operators.structure import child_directories
 from lithic.sources.inventory import files_below, read_inventory, write_inventory
 from lithic.sources.paths import under
 
@@ -59,3 +60,10 @@ def test_files_do_not_overlap(spark, stored):
 def test_an_empty_inventory(spark, tmp_path):
     write_inventory(spark.createDataFrame([], "snapshot_id long, path string, id long"), str(tmp_path / "none"))
     assert files_below(spark, str(tmp_path / "none"), 1, "a").count() == 0
+
+
+def test_levels_of_a_lookup(spark, stored):
+    """The structure reports take a lookup like any inventory."""
+    found = {r.name: r.files for r in child_directories(files_below(spark, stored, 1, "d3"), "d3").collect()}
+    # the twice written row counts twice
+    assert found == {f"e{k}": 200 + 2 * (k == 1) for k in range(25)}
