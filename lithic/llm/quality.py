@@ -8,8 +8,9 @@ pass the base rules: the cut between the two labels with the best balanced
 accuracy, taken from counts of scores in steps of ``STEP`` and put in the middle
 of the empty steps below it; ties go to the lowest cut. Every document is
 counted, scored and thresholded; only ``BUCKETS`` numbers and the score counts
-ever reach the driver. Labels are used up to ``LABELLED`` documents, those with
-the least hashes of their ids: that table is broadcast.
+ever reach the driver. All labels count: up to ``FEW`` labelled ids are broadcast;
+more are joined to the documents, of which a bit filter lets only those pass that
+may have a label, so few other texts are moved.
 
 To see n-grams that a single word's spelling would hide, a word also counts by
 its shape: its characters outside letters and digits, and whether it is all
@@ -35,11 +36,12 @@ from pyspark.sql.types import StructType
 
 from lithic.llm import textops as T
 from lithic.llm.common import modest_batches, packed, table
+from lithic.sieve import may_match
 
 BUCKETS = 1 << 16
 STEP = 0.01
-#: labelled documents used at most
-LABELLED = 100_000
+#: labelled ids broadcast at most
+FEW = 10_000
 #: n-grams added to every bucket's count, as a share of the mean count
 SMOOTH = 0.1
 _U = np.uint64
@@ -105,9 +107,14 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.record_batch([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["bucket", "raw", "trusted"])
 
 
-def log_ratios(docs: DataFrame) -> np.ndarray:
-    """log(p_trusted / p_corpus) by bucket from docs(text, trusted); zeros without trusted documents."""
-    partial = docs.select("text", "trusted").mapInArrow(_count_batches, "bucket long, raw long, trusted long")
+def log_ratios(docs: DataFrame, known: DataFrame | None = None) -> np.ndarray:
+    """log(p_trusted / p_corpus) by bucket from docs(text, trusted); zeros without trusted documents.
+
+    Trusted documents may come in a table ``known`` of their own besides docs."""
+    count = lambda rows: rows.select("text", "trusted").mapInArrow(_count_batches, "bucket long, raw long, trusted long")
+    partial = count(docs)
+    if known is not None:
+        partial = partial.unionByName(count(known).withColumn("raw", F.lit(0).cast("long")))
     counts = np.zeros((2, BUCKETS))
     for row in partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect():
         counts[0, row.bucket], counts[1, row.bucket] = row.raw, row.trusted
@@ -201,13 +208,22 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -
     spark = docs.sparkSession
     modest_batches(spark)
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(doc_id.alias("marked")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    marks = F.broadcast(marks.orderBy(F.xxhash64("marked"), "marked").limit(LABELLED))
-    marked = docs.select(doc_id.alias("doc_id"), text.alias("text")).join(marks, F.col("doc_id") == F.col("marked"), "left")
-    ratios = spark.sparkContext.broadcast(log_ratios(marked.select("text", (F.col("quality") == 1).alias("trusted"))))
-    score = _score_batches(ratios)
-    labelled = marked.where("quality is not null").select("quality", "text").mapInArrow(score, f"quality int, {_OUT}")
-    cut = threshold(labelled.where(~base_failed()).select("score", "quality"))
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(doc_id.alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    few = marks.count() <= FEW
+    texts = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    good = marks.where("quality = 1").select("doc_id", F.lit(True).alias("trusted"))
+    if few:
+        ratios = log_ratios(texts.join(F.broadcast(good), "doc_id", "left").select("text", "trusted"))
+        own = texts.join(F.broadcast(marks), "doc_id", "left_semi")
+    else:
+        # the whole corpus is counted where it lies; of the texts those that may be trusted meet their ids
+        known = may_match(texts, ["doc_id"], good).join(good, "doc_id").select("text", "trusted")
+        ratios = log_ratios(texts.select("text", F.lit(False).alias("trusted")), known)
+        own = may_match(texts, ["doc_id"], marks)
+    ratios = spark.sparkContext.broadcast(ratios)
+    labelled = own.select("doc_id", "text").mapInArrow(_score_batches(ratios), f"doc_id long, {_OUT}")
+    labelled = labelled.where(~base_failed()).select("doc_id", "score").join(marks, "doc_id")
+    cut = threshold(labelled.select("score", "quality"))
     rows, inside = packed(docs, carry or docs.columns)
     found = rows.mapInArrow(_score_batches(ratios, inside), StructType([rows.schema["row"], *StructType.fromDDL(_OUT)]))
     return found.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & (F.col("score") >= cut))

@@ -91,3 +91,30 @@ def test_same_as_plain(spark, table):
     cut = plain_cut(scores, rows, labels, failed)
     assert math.isfinite(cut)
     assert [found[doc].kept for doc, _ in rows] == [not bad and s >= cut for s, bad in zip(scores, failed, strict=True)]
+
+
+def test_all_labels_count(spark, table, monkeypatch):
+    """More labels than are broadcast: counts and threshold still come from every one of them."""
+    rows, labels = table
+    marks = [(k, q) for k, q in labels.items()] + [(4, 0), (None, 1), (5, None), (99_999, 1)]
+    frames = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string").repartition(4), spark.createDataFrame(marks, "doc_id long, quality int")
+    for name in ("FEW", "LABELLED"):
+        monkeypatch.setattr(quality, name, 10, raising=False)
+    found = sorted(quality.quality_rules(*frames).collect(), key=str)
+    scores = plain_model([*rows, rows[2]], labels)
+    by_id = {r[0]: r for r in found}
+    assert all(math.isclose(by_id[doc].score, s, rel_tol=1e-9, abs_tol=1e-12) for (doc, _), s in zip(rows, scores, strict=False))
+    for name in ("FEW", "LABELLED"):
+        monkeypatch.setattr(quality, name, 1000, raising=False)
+    assert found == sorted(quality.quality_rules(*frames).collect(), key=str)
+
+
+def test_filter_keeps_all_that_match(spark):
+    from lithic import sieve
+
+    rows, wanted = spark.range(5000).selectExpr("id", "cast(id % 7 as string) as name"), spark.range(0, 9000, 9).selectExpr("id", "cast(id % 7 as string) as name")
+    for keys in (["id"], ["id", "name"]):
+        left = sieve.may_match(rows, keys, wanted)
+        assert left.join(wanted, keys).count() == rows.join(wanted, keys).count() == 556
+        assert left.count() < 600
+    assert sieve.may_match(rows, ["id"], wanted.where("false")).count() == 0
