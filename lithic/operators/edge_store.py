@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithic.saved import drop_saved, save
+from lithic.sieve import may_match
+
 PAGE = 100
 BUCKETS = 64
 _SIDES = {"out": "source", "in": "target"}
@@ -26,11 +29,14 @@ def bucket_of(snapshot: Column, ref: Column, buckets: int) -> Column:
 def write_edges(edges: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """``edges`` in both directions under ``path``; edges without an end are left out on that side."""
     kept = ["snapshot_id", "type", "key", "state", "candidates"]
+    # ranges are drawn from one reading and filled by another: what edges are made of is done once
+    edges = save(edges.select("source", "target", *kept), "edges")
     sides = (edges.where(F.col(end).isNotNull()).select(F.lit(side).alias("side"), F.col(end).alias("ref"), *kept) for side, end in _SIDES.items())
     rows = reduce(DataFrame.unionByName, sides).withColumn("bucket", bucket_of(F.col("snapshot_id"), F.col("ref"), buckets))
     # a bucket with a hub is dealt out to several files by ranges of keys, each sorted
     spread = rows.repartitionByRange("side", "bucket", "snapshot_id", "ref", "key").sortWithinPartitions("side", "bucket", "snapshot_id", "ref", "key")
     spread.write.partitionBy("side", "bucket").option("parquet.block.size", str(8 << 20)).parquet(path)
+    drop_saved(edges)
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +64,7 @@ def pages(edges: DataFrame, wanted: DataFrame, kind: str | None = None, limit: i
     after = F.col("after") if "after" in wanted.columns else F.lit(None).cast("string")
     asked = wanted.select(F.col("snapshot_id").cast("long").alias("snapshot_id"), "ref", after.alias("_after")).distinct().withColumn("bucket", bucket_of(F.col("snapshot_id"), F.col("ref"), buckets))
     rows = edges.where(F.col("type") == kind) if kind else edges
-    rows = rows.join(asked, ["bucket", "snapshot_id", "ref"]).where(F.col("_after").isNull() | (F.col("key") > F.col("_after")))
+    rows = may_match(rows, ["snapshot_id", "ref"], asked).join(asked, ["bucket", "snapshot_id", "ref"]).where(F.col("_after").isNull() | (F.col("key") > F.col("_after")))
     by = W.partitionBy("snapshot_id", "ref", "side", "_after")
     first = rows.withColumn("k", F.row_number().over(by.orderBy("key"))).where(F.col("k") <= limit + 1)
     more = F.max(F.when(F.col("k") == limit, F.col("key"))).over(by)
