@@ -23,7 +23,7 @@ from lithic.sources.store import Store
 
 UNION = DataFrame.unionByName
 _SYMBOL = ["family", "fact", "kind", "name", "start_line", "start_column", "start_at", "end_at", "parent", "qualified_name"]
-_FACT = ["family", "type", "name", "at", "owner_at"]
+_FACT = ["family", "type", "name", "at", "owner_at", "around"]
 _OWN = ["snapshot_id", "file_id", "path"]
 _EDGE = [c for c in EDGE if c not in _OWN]
 
