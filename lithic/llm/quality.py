@@ -9,8 +9,8 @@ accuracy, taken from counts of scores in steps of ``STEP`` and put in the middle
 of the empty steps below it; ties go to the lowest cut. Every document is
 counted, scored and thresholded; only ``BUCKETS`` numbers and the score counts
 ever reach the driver. All labels count: up to ``FEW`` labelled ids are broadcast;
-more are joined to the documents, of which a bit filter lets only those pass that
-may have a label, so few other texts are moved.
+of more, a bit filter and a second one of the ids that pass it wrongly tell which
+texts are trusted, so that only texts of ids with bits in both are moved to a join.
 
 To see n-grams that a single word's spelling would hide, a word also counts by
 its shape: its characters outside letters and digits, and whether it is all
@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from lithic.llm import textops as T
 from lithic.llm.common import modest_batches, packed, table
-from lithic.sieve import may_match
+from lithic.sieve import may_match, settled
 
 BUCKETS = 1 << 16
 STEP = 0.01
@@ -216,9 +216,10 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -
         ratios = log_ratios(texts.join(F.broadcast(good), "doc_id", "left").select("text", "trusted"))
         own = texts.join(F.broadcast(marks), "doc_id", "left_semi")
     else:
-        # the whole corpus is counted where it lies; of the texts those that may be trusted meet their ids
-        known = may_match(texts, ["doc_id"], good).join(good, "doc_id").select("text", "trusted")
-        ratios = log_ratios(texts.select("text", F.lit(False).alias("trusted")), known)
+        # texts are counted where they lie; only those whose filter bits leave it open are moved to their ids
+        told = settled(texts, ["doc_id"], good.select("doc_id"), "told")
+        known = told.where("told is null").join(good, "doc_id").select("text", "trusted")
+        ratios = log_ratios(told.select("text", F.col("told").alias("trusted")), known)
         own = may_match(texts, ["doc_id"], marks)
     ratios = spark.sparkContext.broadcast(ratios)
     labelled = own.select("doc_id", "text").mapInArrow(_score_batches(ratios), f"doc_id long, {_OUT}")

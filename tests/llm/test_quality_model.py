@@ -118,3 +118,43 @@ def test_filter_keeps_all_that_match(spark):
         assert left.join(wanted, keys).count() == rows.join(wanted, keys).count() == 556
         assert left.count() < 600
     assert sieve.may_match(rows, ["id"], wanted.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 12, 64])
+def test_settled_tells_what_matches(spark, monkeypatch, bits):
+    """True and false hold whatever collides; with room for the keys hardly any is left to the join."""
+    from lithic import sieve
+
+    monkeypatch.setattr(sieve, "BITS", bits)
+    ids = [*range(2000), *range(500), *(k << 40 for k in range(1, 500)), None, None]
+    wanted = {*range(0, 3000, 9), *(k << 40 for k in range(1, 500, 7))}
+    rows = spark.createDataFrame([(k,) for k in ids], "id long").repartition(4)
+    found = sieve.settled(rows, ["id"], spark.createDataFrame([(k,) for k in wanted], "id long"), "told").collect()
+    assert sorted((r.id for r in found), key=str) == sorted(ids, key=str)
+    assert all(r.told is None or r.told == (r.id in wanted) for r in found)
+    open_ = sum(r.told is None for r in found)
+    assert open_ < 10 if bits == 1 << 26 else open_ > 0
+    assert not any(r.told for r in sieve.settled(rows, ["id"], rows.where("false"), "told").collect())
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_trusted_texts_stay_where_they_lie(spark, table, monkeypatch, bits):
+    """Above the broadcast bound too, few texts go through the join, or all if the filter is full; results are the same."""
+    from lithic import sieve
+
+    rows, labels = table
+    rows = [*rows, rows[2], (None, "no id " * 60)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    joined = []
+    real = quality.log_ratios
+
+    def counted(docs, known=None):
+        joined.append(0 if known is None else known.count())
+        return real(docs, known)
+
+    monkeypatch.setattr(quality, "log_ratios", counted)
+    same = sorted(quality.quality_rules(*frames).collect(), key=str)
+    monkeypatch.setattr(quality, "FEW", 10)
+    monkeypatch.setattr(sieve, "BITS", bits)
+    assert sorted(quality.quality_rules(*frames).collect(), key=str) == same
+    assert joined[0] == 0 and (joined[1] < 5 if bits > 64 else joined[1] > 20)
